@@ -17,7 +17,7 @@ def rounded(*names):
 
 
 def points_of_curves(spark, d):
-    flat = curves(spark, d).select("photo_id", F.posexplode("points").alias("pos", "p"))
+    flat = curves(spark, d).select("photo_id", F.posexplode_outer("points").alias("pos", "p"))
     return flat.select("photo_id", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
@@ -62,10 +62,10 @@ def _pairs(points):
 @query("geo03_sanitize_outlines", f"""WITH {QUADS}, {CURVES}, top AS (SELECT photo_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys FROM curves WHERE pos < 17 GROUP BY 1),
     j AS (SELECT q.*, xs, ys FROM quads q JOIN top USING (photo_id)),
     s AS (SELECT *, photo_id % 5 <> 1 AND photo_id % 5 <> 2 AND photo_id % 5 <> 3 AND abs(x0*y1-x1*y0 + x1*y2-x2*y1 + x2*y3-x3*y2 + x3*y0-x0*y3) / 2 > 0.0004 AS ok FROM j),
-    i AS (SELECT unnest(range(33))::INT AS i), p AS (SELECT *, i / 32 * 16 AS at, floor(i / 32 * 16)::INT AS lo FROM s, i WHERE ok)
+    i AS (SELECT unnest(range(33))::INT AS i), p AS (SELECT *, i / 32 * 16 AS place, floor(i / 32 * 16)::INT AS lo FROM s, i WHERE ok)
     SELECT photo_id, i AS pos,
-      {r6("CASE i WHEN 0 THEN x0 WHEN 32 THEN x1 ELSE xs[lo + 1] + (xs[least(lo + 1, 16) + 1] - xs[lo + 1]) * (at - lo) END")} AS top_x,
-      {r6("CASE i WHEN 0 THEN y0 WHEN 32 THEN y1 ELSE ys[lo + 1] + (ys[least(lo + 1, 16) + 1] - ys[lo + 1]) * (at - lo) END")} AS top_y,
+      {r6("CASE i WHEN 0 THEN x0 WHEN 32 THEN x1 ELSE xs[lo + 1] + (xs[least(lo + 1, 16) + 1] - xs[lo + 1]) * (place - lo) END")} AS top_x,
+      {r6("CASE i WHEN 0 THEN y0 WHEN 32 THEN y1 ELSE ys[lo + 1] + (ys[least(lo + 1, 16) + 1] - ys[lo + 1]) * (place - lo) END")} AS top_y,
       {r6("x1 + (x2 - x1) * (i / 32)")} AS right_x, {r6("x3 + (x2 - x3) * (i / 32)")} AS bottom_x, {r6("y0 + (y3 - y0) * (i / 32)")} AS left_y FROM p""")
 def _(spark, d):
     turn = F.col("photo_id") % 5
@@ -84,7 +84,7 @@ def _(spark, d):
     ).alias("outline"))
     clean = ops.sanitize_outlines(received).filter(F.col("clean").isNotNull())
     zipped = F.arrays_zip("clean.top", "clean.right", "clean.bottom", "clean.left")
-    flat = clean.select("photo_id", F.posexplode(zipped).alias("pos", "z"))
+    flat = clean.select("photo_id", F.posexplode_outer(zipped).alias("pos", "z"))
     return flat.select(
         "photo_id", "pos", F.col("z.top.x").alias("top_x"), F.col("z.top.y").alias("top_y"), F.col("z.right.x").alias("right_x"),
         F.col("z.bottom.x").alias("bottom_x"), F.col("z.left.y").alias("left_y"),
@@ -140,7 +140,7 @@ def _(spark, d):
     SELECT m.photo_id, m.pos, {r6('l.x + (l.x2 - l.x) * (m.target - l.cum) / (l.cum2 - l.cum)')} AS x, {r6('l.y + (l.y2 - l.y) * (m.target - l.cum) / (l.cum2 - l.cum)')} AS y FROM m JOIN l ON l.photo_id = m.photo_id AND l.pos = m.seg""")
 def _(spark, d):
     out = ops.resample_by_arc_length(curves(spark, d).select("photo_id", "points"), 17)
-    flat = out.select("photo_id", F.posexplode("resampled").alias("pos", "p"))
+    flat = out.select("photo_id", F.posexplode_outer("resampled").alias("pos", "p"))
     return flat.select("photo_id", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y")).select("photo_id", "pos", *rounded("x", "y"))
 
 
@@ -182,7 +182,7 @@ def _(spark, d):
     # corner k goes to place (3k + photo_id) % 4
     shuffled = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(q, (((i - F.col("photo_id")) * 3 % 4 + 4) % 4).cast("int")))
     out = ops.order_corners(quads(spark, d).select("photo_id", shuffled.alias("corners")))
-    flat = out.select("photo_id", F.posexplode("corners").alias("k", "p"))
+    flat = out.select("photo_id", F.posexplode_outer("corners").alias("k", "p"))
     return flat.select("photo_id", "k", F.col("p.x").alias("x"), F.col("p.y").alias("y")).select("photo_id", "k", *rounded("x", "y"))
 
 
@@ -208,7 +208,7 @@ def _(spark, d):
 def _(spark, d):
     rough = quads(spark, d).select("photo_id", "corners")
     bow = rough.join(curves(spark, d).select("photo_id", "points"), "photo_id")
-    flat = bow.select("photo_id", "corners", F.posexplode("points").alias("pos", "p")).select(
+    flat = bow.select("photo_id", "corners", F.posexplode_outer("points").alias("pos", "p")).select(
         "*", F.explode(F.array(*[F.lit(s) for s in range(4)])).alias("side")
     )
     a, b = F.get("corners", F.col("side")), F.get("corners", (F.col("side") + 1) % 4)
@@ -217,7 +217,7 @@ def _(spark, d):
         (a["x"] + (b["x"] - a["x"]) * (F.col("pos") / 32) + F.col("p.y")).alias("x"),
         (a["y"] + (b["y"] - a["y"]) * (F.col("pos") / 32) + F.col("p.y")).alias("y"),
     )
-    out = ops.corners_from_sides(sides, rough).select("photo_id", F.posexplode("fitted").alias("k", "p"))
+    out = ops.corners_from_sides(sides, rough).select("photo_id", F.posexplode_outer("fitted").alias("k", "p"))
     return out.select("photo_id", "k", F.col("p.x").alias("x"), F.col("p.y").alias("y")).select("photo_id", "k", *rounded("x", "y"))
 
 

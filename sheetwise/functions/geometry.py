@@ -215,47 +215,3 @@ def project(m: Sequence[Column], x: Column, y: Column) -> Column:
     """Apply a projective map and divide."""
     w = m[6] * x + m[7] * y + m[8]
     return point((m[0] * x + m[1] * y + m[2]) / w, (m[3] * x + m[4] * y + m[5]) / w)
-
-
-# ---- shared area ------------------------------------------------------------------------------
-
-
-def clip_to_quad(ring: Column, quad: Column) -> Column:
-    """The part of a convex ring inside a convex quad, cut by one side after the other."""
-    q = quad_points(quad)
-    clockwise = F.when(quad_signed_area(quad) >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    for i in range(4):
-        ring = _clip_side(ring, q[i], q[(i + 1) % 4], clockwise)
-    return ring
-
-
-def _clip_side(ring: Column, a: Column, b: Column, sign: Column) -> Column:
-    tagged = F.transform(
-        ring,
-        lambda p: F.struct(
-            p["x"].alias("x"), p["y"].alias("y"),
-            (((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])) * sign).alias("s"),
-        ),
-    )
-    # One pass with the previous point carried along; the last point precedes the first.
-    start = F.struct(
-        F.slice(ring, 1, 0).alias("out"), F.try_element_at(tagged, F.lit(-1)).alias("prev"),
-    )
-
-    def step(acc: Column, p: Column) -> Column:
-        prev = acc["prev"]
-        t = prev["s"] / (prev["s"] - p["s"])
-        meet = point(prev["x"] + (p["x"] - prev["x"]) * t, prev["y"] + (p["y"] - prev["y"]) * t)
-        here = point(p["x"], p["y"])
-        crossing = (prev["s"] >= 0) != (p["s"] >= 0)
-        added = (
-            F.when(crossing & (p["s"] >= 0), F.array(meet, here))
-            .when(crossing, F.array(meet))
-            .when(p["s"] >= 0, F.array(here))
-            .otherwise(F.slice(ring, 1, 0))
-        )
-        return F.struct(F.concat(acc["out"], added).alias("out"), p.alias("prev"))
-
-    return F.aggregate(tagged, start, step, lambda acc: acc["out"])
-
-

@@ -100,7 +100,7 @@ def close_rivals(
         _ask("smaller", F.lit(float("inf")), True, 1),
         _ask("smaller", -(F.col("area") / factor), True, -1),
     )
-    queries = cands.select(photo, "cand_idx", within.alias("x"), F.lit(True).alias("x_closed"), F.inline(asks))
+    queries = cands.select(photo, "cand_idx", within.alias("x"), F.lit(True).alias("x_closed"), F.inline_outer(asks))
     counts = dominance_counts(points, queries, [photo], ["cand_idx", "measure"], hot_rows)
     return counts.groupBy(photo, "cand_idx").agg(
         F.sum(F.when(F.col("measure") == "larger", F.col("count"))).alias("n_larger_close"),
@@ -257,5 +257,5 @@ def gate(picks: DataFrame, score: str = "score", source: str = "source") -> Data
 def attach_labels(photos: DataFrame, cands: str, labels: str, photo: str = "photo_id") -> DataFrame:
     """Zip a photo's candidate array with its label array by position; one row per candidate."""
     both = F.arrays_zip(F.col(cands).alias("cand"), F.col(labels).alias("label"))
-    exploded = photos.select(photo, F.posexplode(both).alias("cand_idx", "z"))
+    exploded = photos.select(photo, F.posexplode_outer(both).alias("cand_idx", "z"))
     return exploded.select(photo, "cand_idx", F.col("z.cand").alias("cand"), F.col("z.label").alias("label"))

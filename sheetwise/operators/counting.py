@@ -68,7 +68,7 @@ def dominance_counts(
             ),
         )
     )
-    spread = placed.select(*keys, *ids, "y", "y_tie", "weight", "is_point", F.inline(blocks))
+    spread = placed.select(*keys, *ids, "y", "y_tie", "weight", "is_point", F.inline_outer(blocks)).filter(F.col("level").isNotNull())
     counted = ordered(
         spread, [*keys, "level", "block"], ["y", "y_tie", *ids], {"below": running_sum("is_point")}, hot_rows
     )

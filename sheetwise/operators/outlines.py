@@ -3,6 +3,9 @@
 An outline is one row per photo (four corners and four edges of at most 257 points), so most of
 these are projections without a shuffle. Point tables ``(photo, side, pos, x, y)`` are folded with
 aggregates only.
+
+Arrays built here are never empty and are flattened with the ``outer`` generators: the inner ones
+make Spark add a size filter that repeats the whole array expression below.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ STRAIGHT_RMS = 1.2
 
 def outline_points(outlines: DataFrame, outline: str, width: Column, height: Column, photo: str = "photo_id") -> DataFrame:
     """One row per ring point in pixels: ``photo, pos, x, y``."""
-    ring = outlines.select(photo, width.alias("_w"), height.alias("_h"), F.posexplode(g.outline_ring(F.col(outline))).alias("pos", "p"))
+    ring = outlines.select(photo, width.alias("_w"), height.alias("_h"), F.posexplode_outer(g.outline_ring(F.col(outline))).alias("pos", "p"))
     return ring.select(photo, "pos", (F.col("p.x") * F.col("_w")).alias("x"), (F.col("p.y") * F.col("_h")).alias("y"))
 
 
@@ -43,7 +46,7 @@ def edge_table(outlines: DataFrame, outline: str, photo: str = "photo_id") -> Da
     edges = F.array(*[
         F.struct(F.lit(name).alias("edge"), o[name].alias("points")) for name in ("top", "right", "bottom", "left")
     ])
-    flat = outlines.select(photo, F.inline(edges)).select(photo, "edge", F.posexplode("points").alias("pos", "p"))
+    flat = outlines.select(photo, F.inline_outer(edges)).select(photo, "edge", F.posexplode_outer("points").alias("pos", "p"))
     return flat.select(photo, "edge", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
@@ -149,12 +152,11 @@ def rectify_points(
 
 def order_corners(quads: DataFrame, quad: str = "corners") -> DataFrame:
     """Turn each quad's corners clockwise, starting with the side that points most to the right."""
-    c = g.mean_corner(F.col(quad))
-    tagged = F.transform(
-        F.col(quad),
-        lambda p, i: F.struct(F.atan2(p["y"] - c["y"], p["x"] - c["x"]).alias("angle"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y")),
-    )
-    frame = quads.withColumn("_ring", F.array_sort(tagged))
+    c, q = g.mean_corner(F.col(quad)), g.quad_points(F.col(quad))
+    frame = quads.withColumn("_ring", F.sort_array(F.array(*[
+        F.struct(F.atan2(q[i]["y"] - c["y"], q[i]["x"] - c["x"]).alias("angle"), F.lit(i).alias("i"), q[i]["x"].alias("x"), q[i]["y"].alias("y"))
+        for i in range(4)
+    ])))
     p = [F.col("_ring")[k] for k in range(4)]
 
     def rightward(i: int) -> Column:
@@ -163,11 +165,10 @@ def order_corners(quads: DataFrame, quad: str = "corners") -> DataFrame:
         score = F.when(length < 1e-9, F.lit(float("-inf"))).otherwise((b["x"] - a["x"]) / length)
         return F.struct(score.alias("s"), F.lit(-i).alias("i"))
 
-    start = -F.greatest(*[rightward(i) for i in range(4)])["i"]
-    ring = F.transform(
-        F.sequence(F.lit(0), F.lit(3)), lambda k: g.point(F.get(F.col("_ring"), (k + start) % 4)["x"], F.get(F.col("_ring"), (k + start) % 4)["y"])
-    )
-    return frame.withColumn(quad, ring).drop("_ring")
+    frame = frame.withColumn("_start", -F.greatest(*[rightward(i) for i in range(4)])["i"])
+    ring, start = F.col("_ring"), F.col("_start")
+    turned = [F.get(ring, (F.lit(k) + start) % 4) for k in range(4)]
+    return frame.withColumn(quad, F.array(*[g.point(t["x"], t["y"]) for t in turned])).drop("_ring", "_start")
 
 
 def fit_lines(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -325,14 +326,65 @@ def corner_error(pairs: DataFrame, found: str = "corners", truth: str = "truth")
 
 
 def quad_overlap(pairs: DataFrame, a: str = "corners", b: str = "truth") -> DataFrame:
-    """Add the shared ``overlap`` area of two convex quads per row, ``contained`` (share of a) and ``iou``."""
-    shared = F.abs(g.ring_signed_area(g.clip_to_quad(F.col(a), F.col(b))))
-    frame = pairs.withColumn("overlap", F.coalesce(shared, F.lit(0.0)))
+    """Add the shared ``overlap`` area of two convex quads per row, ``contained`` (share of a) and ``iou``.
+
+    Exact: the boundary of the shared part is what each quad's sides have inside the other, and its
+    area is the sum of the cross products of those pieces. Everything is unrolled scalar arithmetic.
+    """
+    frame = pairs.select("*", *_oriented(a, "a"), *_oriented(b, "b"))
+    frame = frame.select("*", *_side_distances("a", "b"), *_side_distances("b", "a"))
+    pieces = [_piece_inside("a", "b", i, True) for i in range(4)] + [_piece_inside("b", "a", i, False) for i in range(4)]
+    total = sum(pieces[1:], pieces[0]) / 2
     area_a, area_b = F.abs(g.quad_signed_area(F.col(a))), F.abs(g.quad_signed_area(F.col(b)))
+    shared = F.greatest(F.lit(0.0), F.least(total, area_a, area_b))
+    frame = frame.withColumn("overlap", F.coalesce(shared, F.lit(0.0)))
     union = area_a + area_b - F.col("overlap")
-    return frame.withColumn("contained", F.col("overlap") / area_a).withColumn(
+    frame = frame.withColumn("contained", F.col("overlap") / area_a).withColumn(
         "iou", F.when(union > 0, F.col("overlap") / union).otherwise(F.lit(0.0))
     )
+    return frame.select(*pairs.columns, "overlap", "contained", "iou")
+
+
+_ON_LINE = 1e-9
+
+
+def _oriented(quad: str, name: str) -> list[Column]:
+    """Corner columns ``_<name>x0.. _<name>y3``, turned clockwise on screen."""
+    q = g.quad_points(F.col(quad))
+    clockwise = g.quad_signed_area(F.col(quad)) >= 0
+    return [
+        F.when(clockwise, q[k][axis]).otherwise(q[3 - k][axis]).alias(f"_{name}{axis}{k}") for k in range(4) for axis in ("x", "y")
+    ]
+
+
+def _side_distances(p: str, q: str) -> list[Column]:
+    """``_<p><q><i><j>``: signed distance of corner i of ``p`` from side j of ``q``, positive inside."""
+    c = F.col
+    out = []
+    for j in range(4):
+        ax, ay, bx, by = c(f"_{q}x{j}"), c(f"_{q}y{j}"), c(f"_{q}x{(j + 1) % 4}"), c(f"_{q}y{(j + 1) % 4}")
+        length = F.greatest(F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)), F.lit(1e-300))
+        for i in range(4):
+            out.append((((bx - ax) * (c(f"_{p}y{i}") - ay) - (by - ay) * (c(f"_{p}x{i}") - ax)) / length).alias(f"_{p}{q}{i}{j}"))
+    return out
+
+
+def _piece_inside(p: str, q: str, i: int, closed: bool) -> Column:
+    """Cross product of the part of side i of ``p`` inside ``q``; a shared side counts once, for the closed quad."""
+    c, n = F.col, (i + 1) % 4
+    ax, ay = c(f"_{p}x{i}"), c(f"_{p}y{i}")
+    ex, ey = c(f"_{p}x{n}") - ax, c(f"_{p}y{n}") - ay
+    lows, highs = [F.lit(0.0)], [F.lit(1.0)]
+    for j in range(4):
+        s, t = c(f"_{p}{q}{i}{j}"), c(f"_{p}{q}{n}{j}")
+        fx, fy = c(f"_{q}x{(j + 1) % 4}") - c(f"_{q}x{j}"), c(f"_{q}y{(j + 1) % 4}") - c(f"_{q}y{j}")
+        along = (F.abs(s) <= _ON_LINE) & (F.abs(t) <= _ON_LINE)
+        kept = (ex * fx + ey * fy > 0) if closed else F.lit(False)
+        lows.append(F.when(along, F.when(kept, 0.0).otherwise(2.0)).when((s < 0) & (t < 0), 2.0).when(s < 0, s / (s - t)).otherwise(0.0))
+        highs.append(F.when(along, 1.0).when((s >= 0) & (t < 0), s / (s - t)).otherwise(1.0))
+    span = F.greatest(F.lit(0.0), F.least(*highs) - F.greatest(*lows))
+    # relative to the first corner, so that far-off coordinates cost no digits
+    return span * ((ax - c("_ax0")) * ey - (ay - c("_ay0")) * ex)
 
 
 def corners_on_outline(
