@@ -95,7 +95,7 @@ def main() -> int:
             else:
                 wrong = "" if df.count() else "EMPTY RESULT"
         except Exception as error:  # keep going, report all
-            wrong = f"{type(error).__name__}: {str(error)[:700]}"
+            wrong = f"{type(error).__name__}: {str(error)[:400]}"
         bad += bool(wrong)
         kind = "sql " if name in bindings.SQL else "rows"
         print(f"{'FAIL' if wrong else 'ok  '} {kind} {time.time() - began:6.2f}s {name} {wrong}", flush=True)

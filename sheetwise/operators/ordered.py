@@ -13,13 +13,14 @@ work runs; results are exact. With no hot group, adaptive execution drops the ca
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
 MAX_HOT = 1024
@@ -106,7 +107,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str], *extra: Column, hot_rows: int
 
 def with_cells(df: DataFrame, keys: Sequence[str], by: Column, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Add ``_cell`` (0 outside hot groups; never falls as ``by`` grows) and return the hot rows' twin."""
-    value = by.cast("double")
+    value = _as_number(df, by)
     hot = hot_groups(
         df, keys, F.min(value).alias("_lo"), F.max(value).alias("_hi"), hot_rows=hot_rows
     ).drop("_rows")
@@ -125,30 +126,73 @@ def with_cells(df: DataFrame, keys: Sequence[str], by: Column, hot_rows: int = H
     return celled, hot_only
 
 
+def _as_number(df: DataFrame, by: Column) -> Column:
+    """A double that never falls along ``by``; strings go by their first six bytes."""
+    kind = df.select(by).schema[0].dataType
+    if isinstance(kind, T.TimestampNTZType):  # by the calendar, so no time zone can reorder it
+        days = F.date_diff(F.to_date(by), F.lit("1970-01-01").cast("date"))
+        return (days * 86400 + F.hour(by) * 3600 + F.minute(by) * 60 + F.second(by)).cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.hex(F.substring(F.encode(by, "UTF-8"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    return by.cast("double")
+
+
+Stage = Mapping[str, Spec] | Callable[[DataFrame], DataFrame]
+
+
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    columns: Mapping[str, Spec],
+    columns: Stage,
     hot_rows: int | None = HOT_ROWS,
+    *,
+    then: Sequence[Stage] = (),
 ) -> DataFrame:
     """Add ``columns`` to ``df``, computed per ``keys`` along ``order`` (all ascending, total order).
 
-    Negate a numeric column to sort it downwards. ``hot_rows=None`` skips the hot-group pass;
-    use it only where the format bounds the group (for example a 33-point edge).
+    Negate a numeric column to sort it downwards. Stages in ``then`` run in the same partitioning,
+    with no further shuffle: either more columns, which may refer to the earlier ones, or a function
+    that derives plain columns. ``hot_rows=None`` skips the hot-group pass; use it only where the
+    format bounds the group (for example a 33-point edge).
     """
     keys = list(keys)
     order = [_col(c) for c in order]
     if hot_rows is None:
-        celled, hot_only, parts = df, None, keys
+        frame, hot_frame, parts = df, None, keys
     else:
-        celled, hot_only = with_cells(df, keys, order[0], hot_rows)
+        frame, hot_frame = with_cells(df, keys, order[0], hot_rows)
         parts = [*keys, "_cell"]
 
-    upto = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    for stage in (columns, *then):
+        if callable(stage):
+            frame = stage(frame)
+            hot_frame = hot_frame if hot_frame is None else stage(hot_frame)
+            continue
+        kinds = {s.kind for s in stage.values()}
+        if hot_frame is None:
+            frame = _in_group(frame, parts, order, stage, kinds, "")
+            continue
+        carry = F.broadcast(_carry(hot_frame, keys, order, stage))
+        kept = frame.columns
+        merged = [_merge(n, s) for n, s in stage.items()]
+
+        def apply(side: DataFrame) -> DataFrame:
+            local = _in_group(side, parts, order, stage, kinds, "_l_")
+            return local.join(carry, parts, "left").select(*[F.col(f"`{c}`") for c in kept], *merged)
+
+        frame, hot_frame = apply(frame), apply(hot_frame)
+    out = [c for c in frame.columns if c != "_cell"]
+    first = [c for c in df.columns if c in out]
+    return frame.select(*[F.col(f"`{c}`") for c in [*first, *[c for c in out if c not in first]]])
+
+
+def _in_group(df: DataFrame, parts: list[str], order: list[Column], columns: Mapping[str, Spec], kinds: set[str], prefix: str) -> DataFrame:
+    """The columns within each (group, cell), by plain windows."""
     line = W.partitionBy(*parts).orderBy(*order)
-    whole = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    flat = W.partitionBy(*parts)
+    upto = line.rowsBetween(W.unboundedPreceding, 0)
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     local = {
         "sum": lambda e: F.sum(e).over(upto),
         "max": lambda e: F.max(e).over(upto),
@@ -157,22 +201,15 @@ def ordered(
         "next": lambda e: F.lead(e).over(line),
         "first": lambda e: F.first(e).over(upto),
         "final": lambda e: F.last(e).over(whole),
-        "total": lambda e: F.sum(e).over(flat),
-        "peak": lambda e: F.max(e).over(flat),
+        "total": lambda e: F.sum(e).over(whole),
+        "peak": lambda e: F.max(e).over(whole),
     }
-    if hot_only is None:
-        return celled.select("*", *[local[s.kind](s.expr).alias(n) for n, s in columns.items()])
-
-    kinds = {s.kind for s in columns.values()}
-    carry = _carry(hot_only, keys, order, columns)
-    wide = celled.select(
+    return df.select(
         "*",
-        *[local[s.kind](s.expr).alias(f"_l_{n}") for n, s in columns.items()],
-        *([F.row_number().over(line).alias("_i")] if "prev" in kinds else []),
-        *([F.lead(F.lit(1)).over(line).isNull().alias("_end")] if "next" in kinds else []),
-    ).join(F.broadcast(carry), [*keys, "_cell"], "left")
-    out = [_merge(n, s) for n, s in columns.items()]
-    return wide.select(*[F.col(f"`{c}`") for c in df.columns], *out)
+        *[local[s.kind](s.expr).alias(f"{prefix}{n}") for n, s in columns.items()],
+        *([F.row_number().over(line).alias("_i")] if prefix and "prev" in kinds else []),
+        *([F.lead(F.lit(1)).over(line).isNull().alias("_end")] if prefix and "next" in kinds else []),
+    )
 
 
 def _carry(hot_only: DataFrame, keys: list[str], order: list[Column], columns: Mapping[str, Spec]) -> DataFrame:
@@ -230,6 +267,31 @@ def _merge(name: str, spec: Spec) -> Column:
     return merged.alias(name)
 
 
+BLOCK_ROWS = 100_000
+
+
+def sliding(
+    df: DataFrame, keys: Sequence[str], pos: str, stages: Sequence[Mapping[str, Callable[[W], Column]]], reach: int,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Columns over a frame of at most ``reach`` rows either way along the dense position ``pos`` (from 1).
+
+    A group is cut into blocks of ``block_rows`` positions; rows within ``reach`` of a block's edge
+    are also copied to the neighbour, so each block is a window of its own. Each stage maps names to
+    functions of the ordered window; later stages may use earlier names, so ``reach`` is the sum of
+    the stages' frames.
+    """
+    block = F.floor((F.col(pos) - 1) / block_rows)
+    low, high = F.floor((F.col(pos) - 1 - reach) / block_rows), F.floor((F.col(pos) - 1 + reach) / block_rows)
+    spread = df.withColumn("_own", block).withColumn(
+        "_block", F.explode_outer(F.sequence(F.greatest(low, F.lit(0).cast("long")), high))
+    )
+    line = W.partitionBy(*keys, "_block").orderBy(pos)
+    for stage in stages:
+        spread = spread.select("*", *[fn(line).alias(n) for n, fn in stage.items()])
+    return spread.filter(F.col("_block") == F.col("_own")).drop("_block", "_own")
+
+
 def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of each group.
 
