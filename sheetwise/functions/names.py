@@ -45,9 +45,8 @@ def sanitize_desktop(name: Column, in_flight_prefix: str = IN_FLIGHT_PREFIX) ->
     """The name a desktop rename accepts; empty means "reject"."""
     cleaned = F.regexp_replace(_trim(F.coalesce(name, F.lit(""))), FORBIDDEN, "_")
     cleaned = F.regexp_replace(F.substring(cleaned, 1, MAX_NAME), r"[. ]+$", "")
-    guarded = F.when(cleaned.startswith(in_flight_prefix), F.concat(F.lit("_"), cleaned)).otherwise(cleaned)
-    reserved = stem_before_dot(guarded).rlike(DEVICE_NAMES)
-    return F.when(reserved, F.concat(F.lit("_"), guarded)).otherwise(guarded)
+    guard = cleaned.startswith(in_flight_prefix) | stem_before_dot(cleaned).rlike(DEVICE_NAMES)
+    return F.concat(F.when(guard, "_").otherwise(""), cleaned)
 
 
 def is_landable(name: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheetwise.functions import geometry as g
 from sheetwise.functions.names import extension, sanitize_desktop, stem
 from sheetwise.operators.counting import dominance_counts
-from sheetwise.operators.ordered import HOT_ROWS, last_seen, ordered, position, running_sum
+from sheetwise.operators.ordered import HOT_ROWS, computed_once, last_seen, ordered, position, running_sum
 from sheetwise.session import settle
 
 HALF_PI = 1.5707963267948966
@@ -85,14 +85,14 @@ def quads_from_lines(
         t = ((b["x"] - a["x"]) * b["dy"] - (b["y"] - a["y"]) * b["dx"]) / den
         corners.append(g.point(a["x"] + a["dx"] * t, a["y"] + a["dy"] * t))
         sound = sound & (F.abs(den) >= 1e-6)
-    frame = best.filter(sound).withColumn("corners", F.array(*corners))
+    frame = computed_once(best, corners=F.when(sound, F.array(*corners)))
     c = F.col("corners")
+    inside = c.isNotNull()
     for k in range(4):
         x, y = c[k]["x"], c[k]["y"]
-        sound = (x >= -0.08 * width) & (y >= -0.08 * height) & (x <= 1.08 * width) & (y <= 1.08 * height)
-        frame = frame.filter(sound)
+        inside = inside & (x >= -0.08 * width) & (y >= -0.08 * height) & (x <= 1.08 * width) & (y <= 1.08 * height)
     area = F.abs(g.quad_signed_area(c)) / (width * height)
-    kept = frame.filter(g.quad_is_convex(c) & (area >= 0.025) & (area <= 0.985))
+    kept = frame.filter(inside & g.quad_is_convex(c) & (area >= 0.025) & (area <= 0.985))
     return kept.select(photo, *[F.col("ids")[k].alias(n) for k, n in enumerate("abcd")], "corners")
 
 
@@ -235,13 +235,14 @@ def rename_plan(
     ``existing`` lists the names in the inbox. A missing extension keeps the old one; a change of letter
     case only is no collision.
     """
-    cleaned = sanitize_desktop(F.col(typed))
-    target = F.when((extension(cleaned) == "") & (cleaned != ""), F.concat(cleaned, extension(F.col(old)))).otherwise(cleaned)
-    action = (
-        F.when(cleaned == "", "reject").when(target == F.col(old), "keep")
-        .when(F.lower(target) == F.lower(old), "recase").otherwise("move")
-    )
-    planned = renames.withColumn("name", target).withColumn("action", action)
+    frame = computed_once(renames, _clean=sanitize_desktop(F.col(typed)))
+    cleaned = F.col("_clean")
+    frame = computed_once(frame, name=F.when(
+        (extension(cleaned) == "") & (cleaned != ""), F.concat(cleaned, extension(F.col(old)))).otherwise(cleaned))
+    planned = computed_once(frame, action=(
+        F.when(cleaned == "", "reject").when(F.col("name") == F.col(old), "keep")
+        .when(F.lower("name") == F.lower(old), "recase").otherwise("move")
+    )).drop("_clean")
     moves = assign_unique_names(planned.filter(F.col("action") == "move"), existing, order, hot_rows=hot_rows)
     settled = F.when(F.col("action") == "recase", F.col("name")).when(F.col("action") == "keep", F.col(old))
     rest = planned.filter(F.col("action") != "move").withColumn("final_name", settled)

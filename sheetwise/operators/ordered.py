@@ -305,3 +305,12 @@ def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: in
 def union_all(frames: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:
     """Bag union by column name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Filters on plain derived columns are pushed below them with the whole expression repeated per use;
+    a generator stops that, so large expressions stay computed once and in compiled code.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
