@@ -101,10 +101,8 @@ def close_rivals(
         _ask("smaller", -(F.col("area") / factor), True, -1),
     )
     queries = cands.select(photo, "cand_idx", within.alias("x"), F.lit(True).alias("x_closed"), F.inline_outer(asks))
-    counts = dominance_counts(points, queries, [photo], ["cand_idx", "measure"], hot_rows)
-    return counts.groupBy(photo, "cand_idx").agg(
-        F.sum(F.when(F.col("measure") == "larger", F.col("count"))).alias("n_larger_close"),
-        F.sum(F.when(F.col("measure") == "smaller", F.col("count"))).alias("n_smaller_close"),
+    return dominance_counts(
+        points, queries, [photo], ["cand_idx"], hot_rows, {"n_larger_close": "larger", "n_smaller_close": "smaller"}
     )
 
 

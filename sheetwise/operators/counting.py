@@ -10,7 +10,7 @@ spreads over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,61 +19,64 @@ from sheetwise.operators.ordered import HOT_ROWS, group_sum, ordered, running_su
 
 
 def dominance_counts(
-    points: DataFrame, queries: DataFrame, keys: Sequence[str], ids: Sequence[str], hot_rows: int | None = HOT_ROWS
+    points: DataFrame, queries: DataFrame, keys: Sequence[str], ids: Sequence[str], hot_rows: int | None = HOT_ROWS,
+    measures: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Weighted counts of points below two limits, summed per ``keys + ids``.
 
     ``points`` holds ``keys, x, y``. Each row of ``queries`` holds ``keys, ids, x, x_closed, y,
     y_closed, weight`` and adds ``weight`` times the number of points of its group with
-    ``x < limit`` (``<=`` where closed) and the same for ``y``. Several rows may share their ids,
-    so any rectangle is a sum of corners. Result: ``keys, ids, count``.
+    ``x < limit`` (``<=`` where closed) and the same for ``y`` (infinite = any). Several rows may share
+    their ids, so any rectangle is a sum of corners. Result: ``keys, ids, count``, or with ``measures``
+    (output column -> value of the queries' ``measure``) one column each.
     """
     keys, ids = list(keys), list(ids)
-    nothing = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in ids]
+    extra = [*ids, *(["measure"] if measures else [])]
+    nothing = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra]
     point_rows = points.select(
         *keys, *nothing, F.col("x").cast("double"), F.col("y").cast("double"),
         F.lit(1).alias("x_tie"), F.lit(1).alias("y_tie"), F.lit(0).alias("weight"), F.lit(1).cast("long").alias("is_point"),
     )
     query_rows = queries.select(
-        *keys, *ids, F.col("x").cast("double"), F.col("y").cast("double"),
+        *keys, *extra, F.col("x").cast("double"), F.col("y").cast("double"),
         F.when(F.col("x_closed"), 2).otherwise(0).alias("x_tie"),
         F.when(F.col("y_closed"), 2).otherwise(0).alias("y_tie"),
         F.col("weight").cast("int").alias("weight"), F.lit(0).cast("long").alias("is_point"),
     )
-    rows = point_rows.unionByName(query_rows)
-    placed = ordered(
-        rows, keys, ["x", "x_tie", "y", "y_tie", *ids],
-        {"upto": running_sum("is_point"), "size": group_sum("is_point")}, hot_rows,
+    # Points alike in x and y are interchangeable and queries do not count, so no further tie-breaker is needed.
+    placed, placed_hot = ordered(
+        point_rows.unionByName(query_rows), keys, ["x", "x_tie", "y"],
+        {"upto": running_sum("is_point"), "size": group_sum("is_point")}, hot_rows, with_pool=True,
     )
-    # Points sit in the even blocks of every level; a query with prefix p uses block (p >> l) - 1 of
-    # each level l whose bit is set in p. Level -1 keeps queries with an empty prefix.
-    top = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int")
-    levels = F.sequence(F.lit(0), top)
-    rank = F.col("upto") - 1
-    blocks = F.when(
-        F.col("is_point") == 1,
-        F.filter(
-            F.transform(levels, lambda l: F.struct(l.alias("level"), F.call_function("shiftright", rank, l).alias("block"))),
-            lambda b: b["block"] % 2 == 0,
-        ),
-    ).otherwise(
-        F.concat(
-            F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("block"))),
-            F.filter(
-                F.transform(
-                    levels,
-                    lambda l: F.struct(l.alias("level"), (F.call_function("shiftright", F.col("upto"), l) - 1).alias("block")),
-                ),
-                lambda b: b["block"] % 2 == 0,
-            ),
-        )
-    )
-    spread = placed.select(*keys, *ids, "y", "y_tie", "weight", "is_point", F.inline_outer(blocks)).filter(F.col("level").isNotNull())
     counted = ordered(
-        spread, [*keys, "level", "block"], ["y", "y_tie", *ids], {"below": running_sum("is_point")}, hot_rows
+        _blocks(placed, keys, extra), [*keys, "level", "block"], ["y", "y_tie"], {"below": running_sum("is_point")},
+        hot_rows, pool=_blocks(placed_hot, keys, extra),
     )
-    return (
-        counted.filter(F.col("is_point") == 0)
-        .groupBy(*keys, *ids)
-        .agg(F.sum(F.col("weight") * F.col("below")).cast("long").alias("count"))
+    # level -1 carries the answer of an empty prefix or of an unlimited y itself
+    part = F.col("weight") * F.when(F.col("level") >= 0, F.col("below")).otherwise(F.col("direct"))
+    if measures:
+        sums = [F.sum(F.when(F.col("measure") == m, part).otherwise(0)).cast("long").alias(n) for n, m in measures.items()]
+    else:
+        sums = [F.sum(part).cast("long").alias("count")]
+    return counted.filter(F.col("is_point") == 0).groupBy(*keys, *ids).agg(*sums)
+
+
+def _blocks(placed: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """One row per block a point lies in or a query reads.
+
+    Points sit in the even blocks of every level; a query with prefix p reads block (p >> l) - 1 of each
+    level l whose bit is set in p.
+    """
+    any_y = "y = double('infinity')"
+    levels = "sequence(0, int(floor(log2(greatest(size, 1)))))"
+    own = f"transform({levels}, l -> named_struct('level', l, 'block', shiftright(upto - 1, l)))"
+    read = f"transform({levels}, l -> named_struct('level', l, 'block', shiftright(upto, l) - 1))"
+    stay = "array(named_struct('level', -1, 'block', 0L))"
+    blocks = (
+        f"CASE WHEN is_point = 1 THEN filter({own}, b -> b.block % 2 = 0) WHEN {any_y} THEN {stay} "
+        f"ELSE concat({stay}, filter({read}, b -> b.block % 2 = 0)) END"
     )
+    direct = F.expr(f"CASE WHEN {any_y} THEN upto ELSE 0L END").alias("direct")
+    return placed.select(
+        *keys, *extra, "y", "y_tie", "weight", "is_point", direct, F.inline_outer(F.expr(blocks))
+    ).filter(F.col("level").isNotNull())

@@ -105,11 +105,17 @@ def hot_groups(df: DataFrame, keys: Sequence[str], *extra: Column, hot_rows: int
     )
 
 
-def with_cells(df: DataFrame, keys: Sequence[str], by: Column, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Add ``_cell`` (0 outside hot groups; never falls as ``by`` grows) and return the hot rows' twin."""
+def with_cells(
+    df: DataFrame, keys: Sequence[str], by: Column, hot_rows: int = HOT_ROWS, pool: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``_cell`` (0 outside hot groups; never falls as ``by`` grows) and return the hot rows' twin.
+
+    ``pool`` holds at least all rows of the groups that can be hot; all of ``df`` when left out.
+    """
     value = _as_number(df, by)
+    pool = df if pool is None else pool
     hot = hot_groups(
-        df, keys, F.min(value).alias("_lo"), F.max(value).alias("_hi"), hot_rows=hot_rows
+        pool, keys, F.min(value).alias("_lo"), F.max(value).alias("_hi"), hot_rows=hot_rows
     ).drop("_rows")
     cell = F.coalesce(
         F.when(
@@ -122,7 +128,7 @@ def with_cells(df: DataFrame, keys: Sequence[str], by: Column, hot_rows: int = H
         F.lit(0),
     )
     celled = df.join(F.broadcast(hot), list(keys), "left").withColumn("_cell", cell).drop("_lo", "_hi")
-    hot_only = df.join(F.broadcast(hot), list(keys), "inner").withColumn("_cell", cell).drop("_lo", "_hi")
+    hot_only = pool.join(F.broadcast(hot), list(keys), "inner").withColumn("_cell", cell).drop("_lo", "_hi")
     return celled, hot_only
 
 
@@ -149,20 +155,26 @@ def ordered(
     hot_rows: int | None = HOT_ROWS,
     *,
     then: Sequence[Stage] = (),
-) -> DataFrame:
+    pool: DataFrame | None = None,
+    with_pool: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Add ``columns`` to ``df``, computed per ``keys`` along ``order`` (all ascending, total order).
 
     Negate a numeric column to sort it downwards. Stages in ``then`` run in the same partitioning,
     with no further shuffle: either more columns, which may refer to the earlier ones, or a function
     that derives plain columns. ``hot_rows=None`` skips the hot-group pass; use it only where the
     format bounds the group (for example a 33-point edge).
+
+    A later pass over finer keys can only be hot inside the groups hot here: ``with_pool`` also returns
+    the rows of the hot groups, and after the same steps they are that pass's ``pool``, which spares it
+    a look at everything else.
     """
     keys = list(keys)
     order = [_col(c) for c in order]
     if hot_rows is None:
         frame, hot_frame, parts = df, None, keys
     else:
-        frame, hot_frame = with_cells(df, keys, order[0], hot_rows)
+        frame, hot_frame = with_cells(df, keys, order[0], hot_rows, pool)
         parts = [*keys, "_cell"]
 
     for stage in (columns, *then):
@@ -185,7 +197,10 @@ def ordered(
         frame, hot_frame = apply(frame), apply(hot_frame)
     out = [c for c in frame.columns if c != "_cell"]
     first = [c for c in df.columns if c in out]
-    return frame.select(*[F.col(f"`{c}`") for c in [*first, *[c for c in out if c not in first]]])
+    shape = [F.col(f"`{c}`") for c in [*first, *[c for c in out if c not in first]]]
+    if with_pool:
+        return frame.select(*shape), (frame.filter(F.lit(False)) if hot_frame is None else hot_frame).select(*shape)
+    return frame.select(*shape)
 
 
 def _in_group(df: DataFrame, parts: list[str], order: list[Column], columns: Mapping[str, Spec], kinds: set[str], prefix: str) -> DataFrame:

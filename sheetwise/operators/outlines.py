@@ -314,15 +314,18 @@ def page_size_report(sized: DataFrame) -> DataFrame:
 
 def corner_error(pairs: DataFrame, found: str = "corners", truth: str = "truth") -> DataFrame:
     """Add ``corner``: least mean corner distance over both directions and four starts, % of the truth's diagonal."""
-    f, t = g.quad_points(F.col(found)), g.quad_points(F.col(truth))
+    def gap(i: int, j: int) -> str:
+        dx, dy = f"({found}[{i}].x - {truth}[{j}].x)", f"({found}[{i}].y - {truth}[{j}].y)"
+        return f"sqrt({dx} * {dx} + {dy} * {dy})"
+
     means = [
-        sum((g.distance(d[(i - k) % 4], t[i]) for i in range(1, 4)), g.distance(d[(-k) % 4], t[0])) / 4
-        for d in (f, f[::-1])
-        for k in range(4)
+        "(" + " + ".join(gap(order[(i - k) % 4], i) for i in range(4)) + ") / 4" for order in ((0, 1, 2, 3), (3, 2, 1, 0)) for k in range(4)
+    ]
+    spans = [
+        f"greatest({', '.join(f'{truth}[{i}].{a}' for i in range(4))}) - least({', '.join(f'{truth}[{i}].{a}' for i in range(4))})" for a in ("x", "y")
     ]
-    spans = [F.greatest(*[p[a] for p in t]) - F.least(*[p[a] for p in t]) for a in ("x", "y")]
-    diagonal = F.sqrt(spans[0] * spans[0] + spans[1] * spans[1])
-    return pairs.withColumn("corner", F.least(*means) / diagonal * 100)
+    diagonal = f"sqrt(({spans[0]}) * ({spans[0]}) + ({spans[1]}) * ({spans[1]}))"
+    return pairs.withColumn("corner", F.expr(f"least({', '.join(means)}) / {diagonal} * 100"))
 
 
 def quad_overlap(pairs: DataFrame, a: str = "corners", b: str = "truth") -> DataFrame:
@@ -331,60 +334,67 @@ def quad_overlap(pairs: DataFrame, a: str = "corners", b: str = "truth") -> Data
     Exact: the boundary of the shared part is what each quad's sides have inside the other, and its
     area is the sum of the cross products of those pieces. Everything is unrolled scalar arithmetic.
     """
-    frame = pairs.select("*", *_oriented(a, "a"), *_oriented(b, "b"))
-    frame = frame.select("*", *_side_distances("a", "b"), *_side_distances("b", "a"))
+    frame = pairs.selectExpr("*", f"{_area_text(a)} AS _sa", f"{_area_text(b)} AS _sb")
+    frame = frame.selectExpr("*", *_oriented(a, "a"), *_oriented(b, "b"))
+    frame = frame.selectExpr("*", *_side_distances("a", "b"), *_side_distances("b", "a"))
     pieces = [_piece_inside("a", "b", i, True) for i in range(4)] + [_piece_inside("b", "a", i, False) for i in range(4)]
-    total = sum(pieces[1:], pieces[0]) / 2
-    area_a, area_b = F.abs(g.quad_signed_area(F.col(a))), F.abs(g.quad_signed_area(F.col(b)))
-    shared = F.greatest(F.lit(0.0), F.least(total, area_a, area_b))
-    frame = frame.withColumn("overlap", F.coalesce(shared, F.lit(0.0)))
-    union = area_a + area_b - F.col("overlap")
-    frame = frame.withColumn("contained", F.col("overlap") / area_a).withColumn(
-        "iou", F.when(union > 0, F.col("overlap") / union).otherwise(F.lit(0.0))
+    frame = frame.selectExpr("*", f"({' + '.join(pieces)}) / 2 AS _total")
+    shared = "coalesce(greatest(0.0D, least(_total, abs(_sa), abs(_sb))), 0.0D)"
+    frame = frame.selectExpr(*pairs.columns, "_sa", "_sb", f"{shared} AS overlap")
+    union = "abs(_sa) + abs(_sb) - overlap"
+    return frame.selectExpr(
+        *pairs.columns, "overlap", "overlap / abs(_sa) AS contained", f"CASE WHEN {union} > 0 THEN overlap / ({union}) ELSE 0.0D END AS iou"
     )
-    return frame.select(*pairs.columns, "overlap", "contained", "iou")
 
 
-_ON_LINE = 1e-9
+# The pieces are written as SQL text: some two hundred small terms, parsed in one go.
+_ON_LINE = "1e-9D"
+
+
+def _area_text(quad: str) -> str:
+    turns = [f"({quad}[{i}].x * {quad}[{j}].y - {quad}[{j}].x * {quad}[{i}].y)" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))]
+    return f"({' + '.join(turns)}) / 2"
 
 
-def _oriented(quad: str, name: str) -> list[Column]:
+def _oriented(quad: str, name: str) -> list[str]:
     """Corner columns ``_<name>x0.. _<name>y3``, turned clockwise on screen."""
-    q = g.quad_points(F.col(quad))
-    clockwise = g.quad_signed_area(F.col(quad)) >= 0
     return [
-        F.when(clockwise, q[k][axis]).otherwise(q[3 - k][axis]).alias(f"_{name}{axis}{k}") for k in range(4) for axis in ("x", "y")
+        f"CASE WHEN _s{name} >= 0 THEN {quad}[{k}].{axis} ELSE {quad}[{3 - k}].{axis} END AS _{name}{axis}{k}"
+        for k in range(4)
+        for axis in ("x", "y")
     ]
 
 
-def _side_distances(p: str, q: str) -> list[Column]:
+def _side_distances(p: str, q: str) -> list[str]:
     """``_<p><q><i><j>``: signed distance of corner i of ``p`` from side j of ``q``, positive inside."""
-    c = F.col
     out = []
     for j in range(4):
-        ax, ay, bx, by = c(f"_{q}x{j}"), c(f"_{q}y{j}"), c(f"_{q}x{(j + 1) % 4}"), c(f"_{q}y{(j + 1) % 4}")
-        length = F.greatest(F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)), F.lit(1e-300))
-        for i in range(4):
-            out.append((((bx - ax) * (c(f"_{p}y{i}") - ay) - (by - ay) * (c(f"_{p}x{i}") - ax)) / length).alias(f"_{p}{q}{i}{j}"))
+        a, b = (f"_{q}x{j}", f"_{q}y{j}"), (f"_{q}x{(j + 1) % 4}", f"_{q}y{(j + 1) % 4}")
+        dx, dy = f"({b[0]} - {a[0]})", f"({b[1]} - {a[1]})"
+        length = f"greatest(sqrt({dx} * {dx} + {dy} * {dy}), 1e-300D)"
+        out += [f"({dx} * (_{p}y{i} - {a[1]}) - {dy} * (_{p}x{i} - {a[0]})) / {length} AS _{p}{q}{i}{j}" for i in range(4)]
     return out
 
 
-def _piece_inside(p: str, q: str, i: int, closed: bool) -> Column:
+def _piece_inside(p: str, q: str, i: int, closed: bool) -> str:
     """Cross product of the part of side i of ``p`` inside ``q``; a shared side counts once, for the closed quad."""
-    c, n = F.col, (i + 1) % 4
-    ax, ay = c(f"_{p}x{i}"), c(f"_{p}y{i}")
-    ex, ey = c(f"_{p}x{n}") - ax, c(f"_{p}y{n}") - ay
-    lows, highs = [F.lit(0.0)], [F.lit(1.0)]
+    n = (i + 1) % 4
+    ax, ay = f"_{p}x{i}", f"_{p}y{i}"
+    ex, ey = f"(_{p}x{n} - {ax})", f"(_{p}y{n} - {ay})"
+    lows, highs = ["0.0D"], ["1.0D"]
     for j in range(4):
-        s, t = c(f"_{p}{q}{i}{j}"), c(f"_{p}{q}{n}{j}")
-        fx, fy = c(f"_{q}x{(j + 1) % 4}") - c(f"_{q}x{j}"), c(f"_{q}y{(j + 1) % 4}") - c(f"_{q}y{j}")
-        along = (F.abs(s) <= _ON_LINE) & (F.abs(t) <= _ON_LINE)
-        kept = (ex * fx + ey * fy > 0) if closed else F.lit(False)
-        lows.append(F.when(along, F.when(kept, 0.0).otherwise(2.0)).when((s < 0) & (t < 0), 2.0).when(s < 0, s / (s - t)).otherwise(0.0))
-        highs.append(F.when(along, 1.0).when((s >= 0) & (t < 0), s / (s - t)).otherwise(1.0))
-    span = F.greatest(F.lit(0.0), F.least(*highs) - F.greatest(*lows))
+        s, t = f"_{p}{q}{i}{j}", f"_{p}{q}{n}{j}"
+        fx, fy = f"(_{q}x{(j + 1) % 4} - _{q}x{j})", f"(_{q}y{(j + 1) % 4} - _{q}y{j})"
+        along = f"abs({s}) <= {_ON_LINE} AND abs({t}) <= {_ON_LINE}"
+        kept = f"{ex} * {fx} + {ey} * {fy} > 0" if closed else "false"
+        lows.append(
+            f"CASE WHEN {along} THEN CASE WHEN {kept} THEN 0.0D ELSE 2.0D END "
+            f"WHEN {s} < 0 AND {t} < 0 THEN 2.0D WHEN {s} < 0 THEN {s} / ({s} - {t}) ELSE 0.0D END"
+        )
+        highs.append(f"CASE WHEN {along} THEN 1.0D WHEN {s} >= 0 AND {t} < 0 THEN {s} / ({s} - {t}) ELSE 1.0D END")
+    span = f"greatest(0.0D, least({', '.join(highs)}) - greatest({', '.join(lows)}))"
     # relative to the first corner, so that far-off coordinates cost no digits
-    return span * ((ax - c("_ax0")) * ey - (ay - c("_ay0")) * ex)
+    return f"{span} * (({ax} - _ax0) * {ey} - ({ay} - _ay0) * {ex})"
 
 
 def corners_on_outline(

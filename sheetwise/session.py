@@ -17,6 +17,8 @@ def local_session(cores: str = "8", name: str = "sheetwise", **conf: str) -> Spa
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # the call-site record of every column expression costs more than planning itself
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("SHEETWISE_DRIVER_MEMORY", "8g"),
         "spark.sql.files.openCostInBytes": "1048576",
