@@ -3,6 +3,9 @@
 A point is ``struct<x double, y double>``; a quad is an array of four of them (top left, top right,
 bottom right, bottom left) and its formulas are unrolled, so they stay in generated code. Longer
 polylines use array functions.
+
+Divisors that can be zero go through ``try_divide`` (null), because Spark may evaluate a shared term
+before the condition that guards it.
 """
 
 from __future__ import annotations
@@ -178,7 +181,7 @@ def chord_deviation(points: Column) -> Column:
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     length = F.sqrt(dx * dx + dy * dy)
     off = F.array_max(F.transform(points, lambda p: F.abs((p["x"] - a["x"]) * dy - (p["y"] - a["y"]) * dx)))
-    return F.when(length < 1e-9, F.lit(0.0)).otherwise(off / length)
+    return F.when(length < 1e-9, F.lit(0.0)).otherwise(F.try_divide(off, length))
 
 
 # ---- projective maps --------------------------------------------------------------------------
@@ -191,7 +194,7 @@ def square_to_quad(quad: Column) -> list[Column]:
     dx1, dx2 = p1["x"] - p2["x"], p3["x"] - p2["x"]
     dy1, dy2 = p1["y"] - p2["y"], p3["y"] - p2["y"]
     den = dx1 * dy2 - dx2 * dy1
-    g, h = (sx * dy2 - dx2 * sy) / den, (dx1 * sy - sx * dy1) / den
+    g, h = F.try_divide(sx * dy2 - dx2 * sy, den), F.try_divide(dx1 * sy - sx * dy1, den)
     return [
         p1["x"] - p0["x"] + g * p1["x"], p3["x"] - p0["x"] + h * p3["x"], p0["x"],
         p1["y"] - p0["y"] + g * p1["y"], p3["y"] - p0["y"] + h * p3["y"], p0["y"],
@@ -214,4 +217,4 @@ def adjugate(m: Sequence[Column]) -> list[Column]:
 def project(m: Sequence[Column], x: Column, y: Column) -> Column:
     """Apply a projective map and divide."""
     w = m[6] * x + m[7] * y + m[8]
-    return point((m[0] * x + m[1] * y + m[2]) / w, (m[3] * x + m[4] * y + m[5]) / w)
+    return point(F.try_divide(m[0] * x + m[1] * y + m[2], w), F.try_divide(m[3] * x + m[4] * y + m[5], w))

@@ -82,7 +82,7 @@ def quads_from_lines(
     for k in range(4):
         a, b = f[ring[k]], f[ring[(k + 1) % 4]]
         den = a["dx"] * b["dy"] - a["dy"] * b["dx"]
-        t = ((b["x"] - a["x"]) * b["dy"] - (b["y"] - a["y"]) * b["dx"]) / den
+        t = F.try_divide((b["x"] - a["x"]) * b["dy"] - (b["y"] - a["y"]) * b["dx"], den)
         corners.append(g.point(a["x"] + a["dx"] * t, a["y"] + a["dy"] * t))
         sound = sound & (F.abs(den) >= 1e-6)
     frame = computed_once(best, corners=F.when(sound, F.array(*corners)))

@@ -118,7 +118,7 @@ def resample_by_arc_length(curves: DataFrame, n: int, points: str = "points", ou
         target = total * i / F.lit(float(n - 1))
         segment = F.size(F.filter(F.slice(cum, F.lit(2), F.greatest(last - 1, F.lit(0))), lambda c: c < target))
         start, length = F.get(cum, segment), F.get(cum, segment + 1) - F.get(cum, segment)
-        f = F.when(length < 1e-12, F.lit(0.0)).otherwise((target - start) / length)
+        f = F.when(length < 1e-12, F.lit(0.0)).otherwise(F.try_divide(target - start, length))
         a, b = F.get(p, segment), F.get(p, segment + 1)
         return g.point(a["x"] + (b["x"] - a["x"]) * f, a["y"] + (b["y"] - a["y"]) * f)
 
@@ -162,7 +162,7 @@ def order_corners(quads: DataFrame, quad: str = "corners") -> DataFrame:
     def rightward(i: int) -> Column:
         a, b = p[i], p[(i + 1) % 4]
         length = g.distance(a, b)
-        score = F.when(length < 1e-9, F.lit(float("-inf"))).otherwise((b["x"] - a["x"]) / length)
+        score = F.when(length < 1e-9, F.lit(float("-inf"))).otherwise(F.try_divide(b["x"] - a["x"], length))
         return F.struct(score.alias("s"), F.lit(-i).alias("i"))
 
     frame = frame.withColumn("_start", -F.greatest(*[rightward(i) for i in range(4)])["i"])
@@ -211,7 +211,7 @@ def corners_from_sides(
     def corner(i: int) -> Column:
         a, b = F.col(f"_s{(i + 3) % 4}"), F.col(f"_s{i}")
         den = a["dx"] * b["dy"] - a["dy"] * b["dx"]
-        t = ((b["px"] - a["px"]) * b["dy"] - (b["py"] - a["py"]) * b["dx"]) / den
+        t = F.try_divide((b["px"] - a["px"]) * b["dy"] - (b["py"] - a["py"]) * b["dx"], den)
         met = g.point(a["px"] + a["dx"] * t, a["py"] + a["dy"] * t)
         usable = (F.abs(den) >= parallel) & (g.distance(met, q[i]) <= max_shift * diagonal)
         return F.when(F.coalesce(usable, F.lit(False)), met).otherwise(q[i])
@@ -272,22 +272,23 @@ def page_sizes(quads: DataFrame, width: Column, height: Column, quad: str = "cor
     # Corner order TL TR BR BL; the two vanishing directions start at TL towards TR and BL.
     den2, den3 = triple(1, 2, 3), triple(3, 2, 1)
     frame = frame.select("*", chord.alias("_chord"), den2.alias("_d2"), den3.alias("_d3"),
-                         (triple(0, 2, 3) / den2).alias("_k2"), (triple(0, 2, 1) / den3).alias("_k3"))
+                         F.try_divide(triple(0, 2, 3), den2).alias("_k2"), F.try_divide(triple(0, 2, 1), den3).alias("_k3"))
     frame = frame.select(
         "*",
         (c("_k2") * c("_x1") - c("_x0")).alias("_a2"), (c("_k2") * c("_y1") - c("_y0")).alias("_b2"), (c("_k2") - 1).alias("_c2"),
         (c("_k3") * c("_x3") - c("_x0")).alias("_a3"), (c("_k3") * c("_y3") - c("_y0")).alias("_b3"), (c("_k3") - 1).alias("_c3"),
     )
     ok2, ok3 = F.abs(c("_c2")) >= 0.04, F.abs(c("_c3")) >= 0.04
-    focal = -(c("_a2") * c("_a3") + c("_b2") * c("_b3")) / (c("_c2") * c("_c3"))
-    in_range = (focal > 0.35 * 0.35 * c("_long") * c("_long")) & (focal < 4.0 * c("_long") * c("_long"))
+    focal = F.try_divide(-(c("_a2") * c("_a3") + c("_b2") * c("_b3")), c("_c2") * c("_c3"))
+    in_range = F.coalesce(focal, F.lit(0.0)) > 0.0
+    in_range = in_range & (focal > 0.35 * 0.35 * c("_long") * c("_long")) & (focal < 4.0 * c("_long") * c("_long"))
     frame = frame.withColumn("_f2", F.when(ok2 & ok3 & in_range, focal).otherwise(0.75 * 0.75 * c("_long") * c("_long")))
     across = (c("_a2") * c("_a2") + c("_b2") * c("_b2")) / c("_f2") + c("_c2") * c("_c2")
     down = (c("_a3") * c("_a3") + c("_b3") * c("_b3")) / c("_f2") + c("_c3") * c("_c3")
-    raw = F.sqrt(across / down)
+    raw = F.sqrt(F.try_divide(across, down))
     sane = (
         (F.abs(c("_d2")) >= 1e-9) & (F.abs(c("_d3")) >= 1e-9) & (ok2 | ok3) & (across > 0) & (down > 0)
-        & (raw / c("_chord") > 0.5) & (raw / c("_chord") < 2.0)
+        & (F.try_divide(raw, c("_chord")) > 0.5) & (F.try_divide(raw, c("_chord")) < 2.0)
     )
     frame = frame.withColumn("_ratio", F.when(F.coalesce(sane, F.lit(False)), raw).otherwise(c("_chord")))
     a4, letter = g.STANDARD_RATIOS
@@ -297,10 +298,12 @@ def page_sizes(quads: DataFrame, width: Column, height: Column, quad: str = "cor
         ratio = ratio.when(across_fit, F.lit(standard)).when(down_fit, F.lit(1 / standard))
         paper = paper.when(across_fit, f"{name} landscape").when(down_fit, f"{name} portrait")
     frame = frame.withColumn("ratio", ratio.otherwise(c("_ratio"))).withColumn("paper", paper.otherwise("other"))
-    scale = F.greatest(F.greatest("_top", "_bottom") / c("ratio"), F.greatest("_left", "_right"))
+    scale = F.greatest(F.try_divide(F.greatest("_top", "_bottom"), c("ratio")), F.greatest("_left", "_right"))
     frame = frame.withColumn("_scale", scale)
     w, h = c("_scale") * c("ratio"), c("_scale")
-    shrink = F.least(F.lit(1.0), g.MAX_LONG_EDGE / F.greatest(w, h), F.sqrt(g.MAX_OUTPUT_PIXELS / (w * h)))
+    shrink = F.least(
+        F.lit(1.0), F.try_divide(F.lit(g.MAX_LONG_EDGE), F.greatest(w, h)), F.sqrt(F.try_divide(F.lit(g.MAX_OUTPUT_PIXELS), w * h))
+    )
     frame = frame.withColumn("out_width", F.greatest(F.lit(g.MIN_OUTPUT_SIDE), F.rint(w * shrink).cast("int"))).withColumn(
         "out_height", F.greatest(F.lit(g.MIN_OUTPUT_SIDE), F.rint(h * shrink).cast("int"))
     )
@@ -325,7 +328,7 @@ def corner_error(pairs: DataFrame, found: str = "corners", truth: str = "truth")
         f"greatest({', '.join(f'{truth}[{i}].{a}' for i in range(4))}) - least({', '.join(f'{truth}[{i}].{a}' for i in range(4))})" for a in ("x", "y")
     ]
     diagonal = f"sqrt(({spans[0]}) * ({spans[0]}) + ({spans[1]}) * ({spans[1]}))"
-    return pairs.withColumn("corner", F.expr(f"least({', '.join(means)}) / {diagonal} * 100"))
+    return pairs.withColumn("corner", F.expr(f"try_divide(least({', '.join(means)}), {diagonal}) * 100"))
 
 
 def quad_overlap(pairs: DataFrame, a: str = "corners", b: str = "truth") -> DataFrame:
@@ -343,7 +346,8 @@ def quad_overlap(pairs: DataFrame, a: str = "corners", b: str = "truth") -> Data
     frame = frame.selectExpr(*pairs.columns, "_sa", "_sb", f"{shared} AS overlap")
     union = "abs(_sa) + abs(_sb) - overlap"
     return frame.selectExpr(
-        *pairs.columns, "overlap", "overlap / abs(_sa) AS contained", f"CASE WHEN {union} > 0 THEN overlap / ({union}) ELSE 0.0D END AS iou"
+        *pairs.columns, "overlap", "try_divide(overlap, abs(_sa)) AS contained",
+        f"CASE WHEN {union} > 0 THEN try_divide(overlap, {union}) ELSE 0.0D END AS iou"
     )
 
 
@@ -389,9 +393,9 @@ def _piece_inside(p: str, q: str, i: int, closed: bool) -> str:
         kept = f"{ex} * {fx} + {ey} * {fy} > 0" if closed else "false"
         lows.append(
             f"CASE WHEN {along} THEN CASE WHEN {kept} THEN 0.0D ELSE 2.0D END "
-            f"WHEN {s} < 0 AND {t} < 0 THEN 2.0D WHEN {s} < 0 THEN {s} / ({s} - {t}) ELSE 0.0D END"
+            f"WHEN {s} < 0 AND {t} < 0 THEN 2.0D WHEN {s} < 0 THEN try_divide({s}, {s} - {t}) ELSE 0.0D END"
         )
-        highs.append(f"CASE WHEN {along} THEN 1.0D WHEN {s} >= 0 AND {t} < 0 THEN {s} / ({s} - {t}) ELSE 1.0D END")
+        highs.append(f"CASE WHEN {along} THEN 1.0D WHEN {s} >= 0 AND {t} < 0 THEN try_divide({s}, {s} - {t}) ELSE 1.0D END")
     span = f"greatest(0.0D, least({', '.join(highs)}) - greatest({', '.join(lows)}))"
     # relative to the first corner, so that far-off coordinates cost no digits
     return f"{span} * (({ax} - _ax0) * {ey} - ({ay} - _ay0) * {ex})"

@@ -178,7 +178,7 @@ def calibration(picks: DataFrame, predicted: str = "pred", label: str = "label",
 def character_error_rate(reference: Column, read: Column) -> Column:
     """Edit distance over reference length after white-space folding, at most 1; NaN for an empty reference."""
     ref, hyp = _folded(reference), _folded(read)
-    rate = F.levenshtein(ref, hyp) / F.length(ref)
+    rate = F.try_divide(F.levenshtein(ref, hyp), F.length(ref))
     return F.when(F.length(ref) == 0, F.lit(float("nan"))).otherwise(F.least(rate, F.lit(1.0)))
 
 

@@ -16,7 +16,6 @@ from sheetwise.functions import geometry as g
 from sheetwise.operators.ordered import HOT_ROWS, best_rows, group_size, group_sum, ordered, position, running_sum
 
 LIKE_TOLERANCE = 18.0
-BANDS = {"in": "in", "out": "out", "core": "core", "extra": "extra"}
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -64,7 +63,7 @@ def otsu_split(df: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
         F.sum("n").over(whole).alias("n"), F.sum(mass).over(whole).alias("s"),
     )
     lean = F.col("s1").cast("double") * F.col("n") - F.col("s").cast("double") * F.col("n1")
-    between = lean * lean / (F.col("n1").cast("double") * (F.col("n") - F.col("n1")))
+    between = F.try_divide(lean * lean, F.col("n1").cast("double") * (F.col("n") - F.col("n1")))
     rated = F.when(F.col("n1") < F.col("n"), F.struct(between.alias("b"), (-F.col("level")).alias("o")))
     return moments.groupBy(*keys).agg(F.coalesce(F.max_by("level", rated), F.lit(0)).alias("threshold"))
 
@@ -143,9 +142,9 @@ def perimeter_score(
         share.alias("_share"), g.quad_is_convex(q).alias("_convex"), off.alias("_off"),
         (F.greatest(side1, side2) / F.greatest(F.least(side1, side2), F.lit(1.0))).alias("aspect"),
         (F.col("on_border") / F.greatest(F.col("samples") + F.col("on_border"), F.lit(1))).alias("border"),
-        (F.col("supported") / F.col("samples")).alias("support"),
-        clamp(F.col("strength_sum") / F.col("samples") / 18.0).alias("strength"),
-        (F.greatest("brighter_inside", "darker_inside") / F.col("samples")).alias("contrast"),
+        F.try_divide("supported", "samples").alias("support"),
+        clamp(F.try_divide("strength_sum", "samples") / 18.0).alias("strength"),
+        F.try_divide(F.greatest("brighter_inside", "darker_inside"), F.col("samples")).alias("contrast"),
         F.when(F.col("brighter_inside") >= F.col("darker_inside"), 1.0).otherwise(0.75).alias("_polarity"),
         (F.col("brighter_inside") / F.greatest(F.lit(1), F.col("brighter_inside") + F.col("darker_inside"))).alias("brighter"),
     )
@@ -233,7 +232,7 @@ def band_stats(samples: DataFrame, keys: Sequence[str], gray: str = "gray", sat:
     like_in = _near(c(gray), c(sat), c("in_gray"), c("in_sat"))
 
     def share(part: Column, like: Column) -> Column:
-        counted = F.count(F.when(part & like, 1)) / F.count(F.when(part, 1))
+        counted = F.try_divide(F.count(F.when(part & like, 1)), F.count(F.when(part, 1)))
         return F.when(F.any_value("_has_out") & (F.count(F.when(part, 1)) > 0), counted).otherwise(0.0)
 
     # the four means are the same on every row of a photo
@@ -265,7 +264,7 @@ def weighted_center(
 ) -> DataFrame:
     """Per group: mean offset of the slices' weighted centres from ``expected`` and their spread; NaN below six slices."""
     slices = rows.groupBy(*keys, slice_col).agg(F.sum(weight).alias("_w"), F.sum(F.col(weight) * F.col(y)).alias("_m"))
-    centres = slices.filter(F.col("_w") > 0).withColumn("_c", F.col("_m") / F.col("_w") / height)
+    centres = slices.filter(F.col("_w") > 0).withColumn("_c", F.try_divide("_m", "_w") / height)
     enough = F.count(F.lit(1)) >= min_slices
     nan = F.lit(float("nan"))
     return centres.groupBy(*keys).agg(
