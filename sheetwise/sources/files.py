@@ -76,8 +76,11 @@ def read_frames(spark: SparkSession, root: str, pattern: str = "*.jpeg") -> Data
 def read_truth_csv(spark: SparkSession, path: str, schema: str = TRUTH_SCHEMA) -> DataFrame:
     """Ground truth by ``image_path`` (gzip is transparent); of a repeated key the last row of the file counts."""
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    place = rows.select(*TRUTH_COLUMNS, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
-    return best_rows(place, ["image_path"], [F.col("_file").desc(), F.col("_row").desc()]).drop("_file", "_row")
+    place = rows.select(
+        *TRUTH_COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"),
+    )
+    last = [F.col(c).desc() for c in ("_file", "_block", "_row")]
+    return best_rows(place, ["image_path"], last).drop("_file", "_block", "_row")
 
 
 def read_detections_csv(spark: SparkSession, path: str) -> DataFrame:
