@@ -96,9 +96,8 @@ def close_rivals(
     points = cands.select(photo, (-F.col("score")).alias("x"), (-F.col("area")).alias("y"))
     within = -(F.col("score") - margin)
     asks = F.array(
-        _ask("larger", -(factor * F.col("area")), False, 1),
-        _ask("smaller", F.lit(float("inf")), True, 1),
-        _ask("smaller", -(F.col("area") / factor), True, -1),
+        _ask("larger", -(factor * F.col("area")), False, 1, 0),
+        _ask("smaller", -(F.col("area") / factor), True, -1, 1),  # all within the score, minus those not smaller
     )
     queries = cands.select(photo, "cand_idx", within.alias("x"), F.lit(True).alias("x_closed"), F.inline_outer(asks))
     return dominance_counts(
@@ -106,9 +105,10 @@ def close_rivals(
     )
 
 
-def _ask(measure: str, y: Column, closed: bool, weight: int) -> Column:
+def _ask(measure: str, y: Column, closed: bool, weight: int, base: int) -> Column:
     return F.struct(
-        F.lit(measure).alias("measure"), y.cast("double").alias("y"), F.lit(closed).alias("y_closed"), F.lit(weight).alias("weight")
+        F.lit(measure).alias("measure"), y.cast("double").alias("y"), F.lit(closed).alias("y_closed"),
+        F.lit(weight).alias("weight"), F.lit(base).alias("base"),
     )
 
 

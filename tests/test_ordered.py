@@ -69,12 +69,12 @@ def test_dominance_counts_against_brute_force(spark, hot):
     rng = random.Random(3)
     points = [(rng.choice("ab"), rng.randrange(12), rng.randrange(12)) for _ in range(90)] + [("c", 1, 1)]
     asks = [
-        (rng.choice("abcz"), i, float(rng.randrange(14)), rng.random() < 0.5, rng.choice([float(rng.randrange(14)), float("inf")]), rng.random() < 0.5, rng.choice([1, -1]))
+        (rng.choice("abcz"), i, float(rng.randrange(14)), rng.random() < 0.5, float(rng.randrange(14)), rng.random() < 0.5, rng.choice([1, -1]), rng.choice([0, 1]))
         for i in range(80)
     ]
     p = spark.createDataFrame(points, "k string, x int, y int")
-    q = spark.createDataFrame(asks, "k string, id int, x double, x_closed boolean, y double, y_closed boolean, weight int")
+    q = spark.createDataFrame(asks, "k string, id int, x double, x_closed boolean, y double, y_closed boolean, weight int, base int")
     got = {r.id: r["count"] for r in dominance_counts(p, q, ["k"], ["id"], hot).collect()}
-    for k, i, x, xc, y, yc, w in asks:
-        n = sum(1 for kk, px, py in points if kk == k and (px <= x if xc else px < x) and (py <= y if yc else py < y))
-        assert got[i] == n * w
+    for k, i, x, xc, y, yc, w, base in asks:
+        left = [py for kk, px, py in points if kk == k and (px <= x if xc else px < x)]
+        assert got[i] == base * len(left) + w * sum(1 for py in left if (py <= y if yc else py < y))
