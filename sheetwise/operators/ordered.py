@@ -94,11 +94,11 @@ def _col(expr: Column | str) -> Column:
     return F.col(expr) if isinstance(expr, str) else expr
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest groups above ``hot_rows``, at most ``MAX_HOT`` of them."""
+def hot_groups(df: DataFrame, keys: Sequence[str], *extra: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The largest groups above ``hot_rows``, at most ``MAX_HOT`` of them, with extra aggregates."""
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(F.count(F.lit(1)).alias("_rows"), *extra)
         .filter(F.col("_rows") > hot_rows)
         .orderBy(F.desc("_rows"), *keys)
         .limit(MAX_HOT)
@@ -114,9 +114,7 @@ def with_cells(
     """
     value = _as_number(df, by)
     pool = df if pool is None else pool
-    # counting reads the key columns only; the ranges are taken from the hot rows, of which there are mostly none
-    listed = pool.join(F.broadcast(hot_groups(pool, keys, hot_rows=hot_rows).drop("_rows")), list(keys), "left_semi")
-    hot = listed.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    hot = hot_groups(pool, keys, F.min(value).alias("_lo"), F.max(value).alias("_hi"), hot_rows=hot_rows).drop("_rows")
     cell = F.coalesce(
         F.when(
             F.col("_hi") > F.col("_lo"),
@@ -128,7 +126,7 @@ def with_cells(
         F.lit(0),
     )
     celled = df.join(F.broadcast(hot), list(keys), "left").withColumn("_cell", cell).drop("_lo", "_hi")
-    hot_only = listed.join(F.broadcast(hot), list(keys), "inner").withColumn("_cell", cell).drop("_lo", "_hi")
+    hot_only = pool.join(F.broadcast(hot), list(keys), "inner").withColumn("_cell", cell).drop("_lo", "_hi")
     return celled, hot_only
 
 
