@@ -76,18 +76,22 @@ def metric_text(key: str, mean: Column, top: Column, styles: Mapping[str, str] =
     """A metric's cell: ``-`` without values, otherwise in the style of its key."""
     style = styles.get(key, PLAIN)
     if style == WHOLE_PERCENT:
-        text = F.format_string("%.0f%%", mean * 100)
-    elif style == PERCENT_OF_ONE:
-        text = F.format_string("%.2f%% (worst %.1f%%)", mean * 100, top * 100)
-    elif style == PERCENT:
-        text = F.format_string("%.2f%% (worst %.1f%%)", mean, top)
+        text = F.concat(_fixed(mean * 100, 0), F.lit("%"))
+    elif style in (PERCENT_OF_ONE, PERCENT):
+        scale = 100 if style == PERCENT_OF_ONE else 1
+        text = F.concat(_fixed(mean * scale, 2), F.lit("% (worst "), _fixed(top * scale, 1), F.lit("%)"))
     elif style == WHOLE:
-        text = F.format_string("%.0f", mean)
+        text = _fixed(mean, 0)
     else:
-        text = F.format_string("%.3f", mean)
+        text = _fixed(mean, 3)
     return F.when(mean.isNull(), "-").otherwise(text)
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """A fixed number of digits, rounding the exact binary value (halves to even)."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def summary_lines(summarised: DataFrame, keys: Sequence[str], group: str = "family") -> DataFrame:
     """The summary as lines of a pipe table: ``place, line`` (header, rule, groups, ALL)."""
     cells = [metric_text(k, F.col(f"{k}_mean"), F.col(f"{k}_worst")) for k in keys]
