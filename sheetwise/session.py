@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +36,8 @@ def local_session(cores: str = "8", name: str = "sheetwise", **conf: str) -> Spa
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only when the cluster names none (as in local tests) a temporary folder is made and
-    set as the checkpoint folder, once per session.
+    Only where a local session names none (as in tests) a temporary folder is made and set as the
+    checkpoint folder, once per session; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -63,3 +66,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this library to the Python workers, once per session, so that it need not be installed on the executors."""
+    context = spark.sparkContext
+    if getattr(context, "_sheetwise_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "sheetwise.zip")
+    with zipfile.ZipFile(path, "w") as packed:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    packed.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)  # Spark serves the file to the executors
+    context._sheetwise_shipped = True
