@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetwise.llm import mixing, packing, quality, secrets
+from sheetwise.llm import jaccard_join, mixing, packing, quality, secrets
 from sheetwise.llm.common import table
 from sheetwise.llm.sql import SQL  # noqa: F401  what __spark_entry__ hands on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chosen_path_join": lambda spark, sf: jaccard_join.near_duplicates(table(spark, sf, "documents")),
     "op4_distribution_divergence": lambda spark, sf: quality.quality_verdicts(table(spark, sf, "documents")),
     "op6_fair_queue_mix": lambda spark, sf: mixing.mix_plan(table(spark, sf, "documents")),
     "op8_histogram_packing": lambda spark, sf: packing.packed(table(spark, sf, "documents")),
