@@ -100,7 +100,7 @@ def quality_features(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMO
     out = out.withColumn("n_repeat_words", covered)
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
     keep = ("row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "classes", "commons")
-    return out.select(*keep, failed.alias("base_failed"))
+    return out.select(*keep, failed.alias("base_failed"), F.monotonically_increasing_id().alias("at"))
 
 
 def language_references(features: DataFrame, n_common: int = 10) -> DataFrame:
@@ -177,4 +177,5 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns."""
     features = quality_features(docs)
-    return _judged(features, features).where("kept").select("row.*")
+    # the row number holds the filter above the features, or they would be computed again for each of its terms
+    return _judged(features, features).where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
