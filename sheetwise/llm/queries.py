@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetwise.llm import inner_products, jaccard_join, mixing, packing, quality, repeats, secrets
+from sheetwise.llm import feistel, inner_products, jaccard_join, mixing, packing, page_text, quality, repeats, secrets, toxicity
 from sheetwise.llm.common import table
 from sheetwise.llm.sql import SQL  # noqa: F401  what __spark_entry__ hands on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path_join": lambda spark, sf: jaccard_join.near_duplicates(table(spark, sf, "documents")),
+    "op2_feistel_pseudonyms": lambda spark, sf: feistel.pseudonymised(table(spark, sf, "documents")),
     "op3_norm_sorted_search": lambda spark, sf: inner_products.top_products(table(spark, sf, "embeddings")),
     "op4_distribution_divergence": lambda spark, sf: quality.quality_verdicts(table(spark, sf, "documents")),
     "op5_suffix_tree_repeats": lambda spark, sf: repeats.repeat_digests(table(spark, sf, "documents")),
     "op6_fair_queue_mix": lambda spark, sf: mixing.mix_plan(table(spark, sf, "documents")),
+    "op7_nearest_url_difference": lambda spark, sf: page_text.main_text(table(spark, sf, "pages")),
     "op8_histogram_packing": lambda spark, sf: packing.packed(table(spark, sf, "documents")),
+    "op9_naive_bayes_ngrams": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_secret_ownership": lambda spark, sf: secrets.secret_spans(table(spark, sf, "documents")),
 }
