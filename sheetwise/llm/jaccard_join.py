@@ -4,8 +4,8 @@ A document is the set of its five-word shingles. Documents with equal sets are o
 gets a MinHash sketch. Each run starts all classes in one bucket and splits buckets recursively: a bucket draws
 ``BRANCH`` sketch coordinates, and every member goes to the bucket of its token at each of them. Pairs at the wanted similarity stay
 together on some path of a run with probability ``path_recall``; runs are repeated until the target recall.
-At each bucket all members are held against one of them, the pivot: members close to it are linked and, if very close, leave
-the bucket. Small buckets are finished by brute force, others split further. So far sketches decide, with a wide
+Small buckets are finished by brute force. In a larger one all members are held against one of them, the pivot: members close to it
+are linked and, if very close, leave the bucket; the others split further. So far sketches decide, with a wide
 margin; the components of those links are then compared set by set, which decides every link exactly.
 
 Null and blank texts have no shingles, no links and a class of their own. Texts of one to four words have one shingle. Copies count as
@@ -37,7 +37,7 @@ SKETCH, BRANCH, RECALL = 64, 2, 0.9999
 #: Sketch agreement from which two classes are compared exactly, and from which a member leaves with its pivot.
 LINK, LEAVE = 0.40, 0.70
 #: Buckets up to this size are finished by brute force.
-SMALL = 64
+SMALL = 1000
 #: A task of the exact comparison holds two blocks of about this many sets and bytes.
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
 
@@ -147,48 +147,67 @@ def _agreement(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "node long, key binary, sketch binary, pivot binary, same double")
 
 
+def _local_roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the least row it is joined to."""
+    m = len(linked)
+    root = np.arange(m)
+    while True:
+        lower = np.minimum(root, np.where(linked, root[None, :], m).min(axis=1, initial=m))
+        lower = lower[lower]
+        if (lower == root).all():
+            return root
+        root = lower
+
+
 def _brute_force(rows: DataFrame) -> DataFrame:
-    """Links inside buckets of at most ``SMALL`` rows."""
+    """Compare all sketches inside buckets of at most ``SMALL`` rows; every member is linked to the least key it is joined to."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple[bytes, bytes]] = []
+        for _, group in groupby(members, key=lambda r: r[0]):
+            own = sorted((key, sketch) for _, key, sketch in group)
+            tokens = np.frombuffer(b"".join(sketch for _, sketch in own), "<u4").reshape(-1, SKETCH)
+            if len(own) == 2:
+                if (tokens[0] == tokens[1]).mean() >= LINK:
+                    out.append((own[1][0], own[0][0]))
+                continue
+            same = np.zeros((len(own), len(own)), np.uint8)
+            for c in range(SKETCH):
+                same += tokens[:, c, None] == tokens[None, :, c]
+            root = _local_roots(same >= LINK * SKETCH)
+            out.extend((own[i][0], own[r][0]) for i, r in enumerate(root) if i != r)
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
 
-    def pairs(frame):
-        import pandas as pd
+    dealt = rows.select("node", "key", "sketch").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(link, "u binary, v binary")
 
-        tokens = np.frombuffer(b"".join(frame["sketch"]), "<u4").reshape(-1, SKETCH)
-        keys = frame["key"].to_numpy()
-        found = [
-            (max(keys[i], keys[j]), min(keys[i], keys[j]))
-            for i in range(len(keys)) for j in np.flatnonzero((tokens[i + 1 :] == tokens[i]).mean(axis=1) >= LINK) + i + 1
-        ]
-        return pd.DataFrame(found, columns=["u", "v"])
 
-    return rows.select("node", "key", "sketch").groupBy("node").applyInPandas(pairs, "u binary, v binary")
+def _links(out: list) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["u", "v"])
 
 
 def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     """``u, v``: links that join all pairs of classes worth an exact comparison into components."""
-    runs = runs_for(recall, WANTED[0] / WANTED[1])
-    live, links = _roots(classes, runs), None
+    live, links = _roots(classes, runs_for(recall, WANTED[0] / WANTED[1])), None
     sketch_of = classes.select("key", "sketch")
     while True:
-        live = live.distinct()
-        sizes = live.groupBy("node").agg(F.count("*").alias("m"), F.min("key").alias("pivot")).where("m > 1")
-        sizes = written(sizes, "buckets")
-        pivots = sizes.select("node", "pivot").join(
-            sketch_of.select(F.col("key").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"
-        )
-        members = live.join(sizes.select("node", "pivot"), "node").where("key != pivot").select("node", "key")
-        held = members.join(sketch_of, "key").join(pivots, "node").select("node", "key", "sketch", "pivot", "pivot_sketch")
-        held = written(_agreement(held), "held")
-        near = held.where(F.col("same") >= LINK).select(F.col("key").alias("u"), F.col("pivot").alias("v")).distinct()
+        sizes = live.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+        held = written(live.join(sizes, "node").join(sketch_of, "key").select("node", "key", "m", "sketch"), "buckets")
+        near = _brute_force(held.where(F.col("m") <= SMALL))
         links = near if links is None else links.unionByName(near)
-        rest = held.where(F.col("same") < LEAVE)
-        left = rest.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        rest = rest.join(left, "node").select("node", "key", "sketch", "m")
-        links = links.unionByName(_brute_force(rest.where(F.col("m") <= SMALL)))
-        large = written(rest.where(F.col("m") > SMALL).select("node", "key", "sketch"), "large-buckets")
+        large = held.where(F.col("m") > SMALL).drop("m")
         if large.isEmpty():
-            return links.distinct()
-        live = _split(large)
+            return links
+        pivots = large.groupBy("node").agg(F.min("key").alias("pivot"), F.min_by("sketch", "key").alias("pivot_sketch"))
+        met = large.join(pivots, "node").where("key != pivot").select("node", "key", "sketch", "pivot", "pivot_sketch")
+        met = written(_agreement(met), "pivots")
+        links = links.unionByName(met.where(F.col("same") >= LINK).select(F.col("key").alias("u"), F.col("pivot").alias("v")))
+        live = _split(met.where(F.col("same") < LEAVE))
 
 
 def _exact(rows: list[tuple[bytes, int, bytes]], lo: int, hi: int) -> Iterator[tuple[bytes, int, bytes]]:
@@ -214,19 +233,13 @@ def _exact(rows: list[tuple[bytes, int, bytes]], lo: int, hi: int) -> Iterator[t
     np.fill_diagonal(linked, False)
     if lo != hi:
         linked &= blocks[:, None] != blocks[None, :]
-    root = np.arange(m)
-    while True:
-        lower = np.minimum(root, np.where(linked, root[None, :], m).min(axis=1))
-        lower = lower[lower]
-        if (lower == root).all():
-            break
-        root = lower
+    root = _local_roots(linked)
     for i in np.flatnonzero(linked.any(axis=1)):
         yield keys[i], int(linked[i].sum()), keys[root[i]]
 
 
 def exact_links(members: DataFrame) -> DataFrame:
-    """``key, comp, n, set`` as ``key, links, root``: pairs inside a component, compared block by block.
+    """``key, comp, n, set`` as ``key, links, root, whole``: pairs inside a component, compared block by block.
 
     A large component is dealt to blocks, and every pair of blocks is a task's work; each pair of sets meets in exactly one of them.
     """
@@ -235,27 +248,27 @@ def exact_links(members: DataFrame) -> DataFrame:
     bounds = bounds.select("comp", F.greatest(blocks, F.lit(1)).alias("blocks"))
     dealt = members.join(bounds, "comp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "block", "set"
+        "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "blocks", "key", "block", "set"
     )
     tiles = tiles.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out = []
-        for (_, lo, hi), group in groupby(rows, key=lambda r: r[:3]):
-            out.extend(_exact([r[3:] for r in group], lo, hi))
+        for (_, lo, hi, blocks), group in groupby(rows, key=lambda r: r[:4]):
+            out.extend((*found, blocks == 1) for found in _exact([r[4:] for r in group], lo, hi))
             if len(out) > 10_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    return tiles.mapInArrow(compare, "key binary, links long, root binary")
+    return tiles.mapInArrow(compare, "key binary, links long, root binary, whole boolean")
 
 
 def _batch(out: list) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) or [[], [], []]
-    kinds = (pa.binary(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "links", "root"])
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "links", "root", "whole"])
 
 
 def set_classes(docs: DataFrame, rows: DataFrame, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
@@ -278,9 +291,12 @@ def set_classes(docs: DataFrame, rows: DataFrame, width: int = WIDTH, recall: fl
     # by key and id: the copies of one text are dealt out, only the row that stands for them is kept
     members = written(comps.join(sets, ["key", "oid"]).select("key", "comp", "n", "set"), "members")
     links = written(exact_links(members), "links")
-    found = components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
-    counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))
-    labelled = classes.select("key", "oid", "n_rows").join(found, "key", "left").join(counts, "key", "left")
+    found = links.groupBy("key").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
+    dealt = links.where("not whole")  # components of several blocks are put together from their parts
+    if not dealt.isEmpty():
+        joined = components(dealt.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("root", "joined")
+        found = found.join(joined, "key", "left").select("key", "n_links", F.coalesce("joined", "root").alias("root"))
+    labelled = classes.select("key", "oid", "n_rows").join(found, "key", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "key"))
     ids = labelled.groupBy("root").agg(F.min("oid").alias("class_id"))
     return labelled.join(ids, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows")
