@@ -165,12 +165,12 @@ def _judged(features: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """One row per document: its counts, distances and verdict."""
+    """One row per document: its counts, verdict and distances (in parts per million)."""
     features = quality_features(docs.select("doc_id", "text", "lang"))
     features = written(features.withColumn("row", F.struct("row.doc_id")), "quality")
     return _judged(features, features).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
+        F.floor(F.col("class_distance") * 1e6).alias("class_ppm"), F.floor(F.col("word_distance") * 1e6).alias("word_ppm"),
     )
 
 

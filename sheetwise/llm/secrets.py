@@ -68,7 +68,7 @@ def _spans(found: DataFrame, key: str) -> DataFrame:
     so_far = Window.partitionBy(key, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(so_far))
     least = F.get(F.array(*[F.lit(k[3]) for k in KINDS]), F.col("kind"))
-    letters = F.array_distinct(F.split("value", ""))
+    letters = F.array_remove(F.array_distinct(F.split("value", "")), "")
     live = (F.size(letters) >= LEAST_VARIETY) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     return placed.where(F.length("value") >= least).select(
         key, "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.sha2("value", 256).alias("hash"), live.alias("random")
