@@ -140,10 +140,17 @@ def _(spark, d):
     return out.select("threshold", "n", *[F.round(c, 6).alias(c) for c in ("good_share", "photo_share", "mean_label")])
 
 
-@query("agg21_listing_signature", """WITH l AS (SELECT o_custkey, o_orderkey || '|' || o_totalprice::DECIMAL(18,2) || '|' || epoch_us(o_orderdate) AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos FROM orders),
-    a AS (SELECT o_custkey, pos // 4 AS pos, sha256(string_agg(line, chr(10) ORDER BY pos)) AS line FROM l GROUP BY o_custkey, pos // 4),
-    b AS (SELECT o_custkey, pos // 4 AS pos, sha256(string_agg(line, chr(10) ORDER BY pos)) AS line FROM a GROUP BY o_custkey, pos // 4)
-    SELECT o_custkey, sha256(string_agg(line, chr(10) ORDER BY pos)) AS signature FROM b GROUP BY o_custkey, pos // 4""")
+def _signature_sql(levels: int = 10, chunk: int = 4) -> str:
+    """Hash chunks of four, level by level, until a listing has one tag."""
+    parts = ["""l AS (SELECT o_custkey, o_orderkey || '|' || o_totalprice::DECIMAL(18,2) || '|' || epoch_us(o_orderdate) AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos FROM orders)""",
+             f"t0 AS (SELECT o_custkey, pos // {chunk} AS pos, sha256(string_agg(line, chr(10) ORDER BY pos)) AS line FROM l GROUP BY o_custkey, pos // {chunk})"]
+    for i in range(1, levels):
+        parts.append(f"c{i} AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM t{i - 1})")
+        parts.append(f"t{i} AS (SELECT o_custkey, pos // {chunk} AS pos, CASE WHEN max(n) = 1 THEN max(line) ELSE sha256(string_agg(line, chr(10) ORDER BY pos)) END AS line FROM c{i} GROUP BY o_custkey, pos // {chunk})")
+    return "WITH " + ", ".join(parts) + f" SELECT o_custkey, line AS signature FROM t{levels - 1}"
+
+
+@query("agg21_listing_signature", _signature_sql())
 def _(spark, d):
     days = F.date_diff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long")
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("size"), days.alias("day"))

@@ -224,4 +224,5 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "inbox")
     table(spark, d, "documents").select("text").write.text(path)
-    return files.list_inbox(spark, path).agg(F.sum("length").alias("bytes"), F.bool_and(F.col("name").endswith(".txt")).alias("named"))
+    listed = files.list_inbox(spark, path).filter("name <> '_SUCCESS'")  # the writer's own mark
+    return listed.agg(F.sum("length").alias("bytes"), F.bool_and(F.col("name").endswith(".txt")).alias("named"))

@@ -96,8 +96,8 @@ def _register_score_sql():
         a AS (SELECT photo_id, count(*) FILTER (here) AS samples, count(*) FILTER (NOT here) AS ob, count(*) FILTER (here AND abs(d) > 4.5) AS sup,
             coalesce(sum(least(abs(d), 30)) FILTER (here), 0) AS st, count(*) FILTER (here AND inside - outside > 6) AS bi, count(*) FILTER (here AND inside - outside < -6) AS di,
             avg(inside) AS mi, avg(sat) AS si, avg(outside) AS mo FROM s GROUP BY photo_id),
-        b AS (SELECT a.*, abs({SHOELACE}) / 1000000 AS share, ({' AND '.join(f'{t} >= 0' for t in TURNS)}) OR ({' AND '.join(f'{t} <= 0' for t in TURNS)}) AS convex,
-            {off} AS off_, greatest({s1}, {s2}) / greatest(least({s1}, {s2}), 1) AS aspect FROM a JOIN px USING (photo_id)),
+        b AS (SELECT a.* EXCLUDE (photo_id), px.photo_id, abs({SHOELACE}) / 1000000 AS share, ({' AND '.join(f'{t} >= 0' for t in TURNS)}) OR ({' AND '.join(f'{t} <= 0' for t in TURNS)}) AS convex,
+            {off} AS off_, greatest({s1}, {s2}) / greatest(least({s1}, {s2}), 1) AS aspect FROM px LEFT JOIN a USING (photo_id)),
         c AS (SELECT *, sup / samples AS support, {_clamp('st / samples / 18')} AS strength, greatest(bi, di) / samples AS contrast, CASE WHEN bi >= di THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END AS pol,
             ob / greatest(samples + ob, 1) AS border, bi / greatest(1, bi + di) AS brighter,
             0.7::DOUBLE * {_clamp('(mi - 90) / 110')} * {_clamp('1 - (si - 40) / 120')} + 0.3::DOUBLE * {_clamp('(mi - mo + 10) / 50')} AS paper,

@@ -175,5 +175,6 @@ def _(spark, d):
     day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     recs = table(spark, d, "events").groupBy(F.col("user_id").alias("path")).agg(F.max(day).alias("mtime"), F.count(F.lit(1)).alias("n"))
     store = recs.filter(F.col("path") % 3 == 0).select("path", F.lit(25).alias("labelled_at"), (F.col("n") * 2).alias("label"))
-    labels, _ = training.incremental_labels(recs, store, F.col("n") * 2)
-    return labels.select("path", "label", F.col("labelled_at").isNull().alias("made"))
+    first, made = training.incremental_labels(recs, store, F.col("n") * 2, F.lit(99))
+    again, none = training.incremental_labels(recs, store.unionByName(made), F.col("n") * 2, F.lit(100))
+    return again.unionByName(none).select("path", "label", (F.col("labelled_at") == 99).alias("made"))

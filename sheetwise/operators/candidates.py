@@ -253,7 +253,7 @@ def gate(picks: DataFrame, score: str = "score", source: str = "source") -> Data
 
 
 def attach_labels(photos: DataFrame, cands: str, labels: str, photo: str = "photo_id") -> DataFrame:
-    """Zip a photo's candidate array with its label array by position; one row per candidate."""
+    """Zip a photo's candidate array with its label array by position; one row per candidate, none for a photo without any."""
     both = F.arrays_zip(F.col(cands).alias("cand"), F.col(labels).alias("label"))
-    exploded = photos.select(photo, F.posexplode_outer(both).alias("cand_idx", "z"))
+    exploded = photos.select(photo, F.posexplode(both).alias("cand_idx", "z"))
     return exploded.select(photo, "cand_idx", F.col("z.cand").alias("cand"), F.col("z.label").alias("label"))

@@ -115,30 +115,33 @@ def next_event(rows: DataFrame, events: DataFrame, key: str, at: str, seq: str,
 
 
 def apply_inbox_events(
-    sessions: DataFrame, events: DataFrame, session: str = "session", name: str = "name", max_hops: int = 10_000,
-    hot_rows: int | None = HOT_ROWS,
+    sessions: DataFrame, events: DataFrame, session: str = "session", name: str = "name", hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Sessions after a log of inbox renames and removals, applied in order.
 
     ``events`` holds ``seq, kind (rename | remove), name, new_name``. A rename moves every session that
-    holds the old name at that moment; a removal drops it. A session follows its name from event to
-    event: each hop is one as-of join, repeated only while some session still moves.
+    holds the old name at that moment; a removal drops it. Each rename is linked once to the next event of
+    its new name (an as-of join); the links are then doubled until all reach their last event, so a chain of n renames
+    takes log n rounds, whatever its length.
     """
-    log = events.select("seq", "kind", F.col("name").alias(name), F.col("new_name"))
-    moving = sessions.withColumn("_at", F.lit(-1).cast("long"))
-    done = None
-    for _ in range(max_hops):
-        hop = next_event(moving, log, name, "_at", "seq", ["kind", "new_name"], hot_rows)
-        hop = settle(hop, "hop")
-        still = hop.filter(F.col("event").isNull()).select(*sessions.columns)
-        done = still if done is None else done.unionByName(still)
-        moving = hop.filter(F.col("event.kind") == "rename").select(
-            *[F.col(c) if c != name else F.col("event.new_name").alias(name) for c in sessions.columns],
-            F.col("event.seq").cast("long").alias("_at"),
-        )
-        if moving.isEmpty():
-            break
-    return done
+    log = events.select(F.col("seq").cast("long").alias("seq"), "kind", F.col("name").alias(name), F.col("new_name"))
+    renames = log.filter(F.col("kind") == "rename").select("seq", F.col("new_name").alias(name), F.col("new_name").alias("_ends"))
+    linked = next_event(renames, log, name, "seq", "seq", ["kind"], hot_rows)
+    links = linked.select("seq", F.col("event.seq").alias("_to"), F.lit(False).alias("_removed"), "_ends").unionByName(
+        log.filter(F.col("kind") != "rename").select(
+            "seq", F.lit(None).cast("long").alias("_to"), F.lit(True).alias("_removed"), F.lit(None).cast("string").alias("_ends")))
+    links = settle(links, "renames")
+    while not links.filter(F.col("_to").isNotNull()).isEmpty():
+        after = links.select(F.col("seq").alias("_to"), F.struct(F.col("_to").alias("to"), "_removed", "_ends").alias("_next"))
+        jumped = links.join(after, "_to", "left")
+        moved = F.col("_next").isNotNull()
+        links = settle(jumped.select(
+            "seq", F.when(moved, F.col("_next.to")).alias("_to"),
+            *[F.when(moved, F.col(f"_next.{c}")).otherwise(F.col(c)).alias(c) for c in ("_removed", "_ends")]), "renames")
+    first = next_event(sessions.withColumn("_at", F.lit(-1).cast("long")), log, name, "_at", "seq", ["kind"], hot_rows)
+    ends = first.withColumn("seq", F.col("event.seq")).join(links.drop("_to"), "seq", "left")
+    kept = ends.filter(~F.coalesce("_removed", F.lit(False)))
+    return kept.select(*[F.col(c) if c != name else F.coalesce("_ends", c).alias(c) for c in sessions.columns])
 
 
 def arrivals(now: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
@@ -151,22 +154,24 @@ MAX_SUFFIX = 10_000
 
 
 def assign_unique_names(
-    batch: DataFrame, taken: DataFrame, order: str, name: str = "name", out: str = "final_name", max_rounds: int = 10_000,
-    hot_rows: int | None = HOT_ROWS,
+    batch: DataFrame, taken: DataFrame, order: str, name: str = "name", out: str = "final_name", hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Give each row of the batch, in ``order``, the first free of ``name``, ``stem (1).ext``, ``stem (2).ext``, ...
 
     ``taken`` lists the names that exist or are reserved. The r-th free number of a name is r plus the
     taken numbers below it, a running count, so a name wanted a million times is one ordered pass. A
     wanted name may itself be a numbered form of another one; where both claim a name the earlier row
-    keeps it, and the family of names is numbered again with that name taken, earliest claim first.
+    keeps it, and the family of names is numbered again with that name taken, earliest claim first, until no name
+    is claimed twice. Every round blocks slots that were free before, and a family has finitely many below 10000.
     From number 10000 on the row gets ``stem-<id>.ext``.
     """
     parsed = _numbered(taken.select(F.col(name).alias("_n")).distinct(), "_n")
     wanted = batch.withColumn("_wanted", F.col(name))
     ranked = ordered(wanted, ["_wanted"], [order], {"_rank": position()}, hot_rows).withColumn("_rank", F.col("_rank") - 1)
     nested = _may_nest(batch, name)
-    for round_no in range(max_rounds):
+    round_no = -1
+    while True:
+        round_no += 1
         numbered = _free_numbers(ranked, parsed, order, hot_rows)
         named = numbered.withColumn(out, _with_number(F.col("_wanted"), F.col("_number"), F.col(order)))
         if round_no == 0 and not nested:

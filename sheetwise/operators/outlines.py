@@ -220,9 +220,10 @@ def corners_from_sides(
 
 
 def best_four(hulls: DataFrame, points: str = "points", max_points: int = 14) -> DataFrame:
-    """Of each photo's at most 14 corners the four that enclose most area, first found on ties.
+    """Of each photo's corners the four that enclose most area, first found on ties.
 
-    Longer lists are simplified before this step, so the choices per row are bounded (1001).
+    The choices per row are bounded (1001 for 14 corners). A photo with more corners than ``max_points`` has to be simplified
+    first: it is ``rejected`` and gets no area and no corners.
     """
     p = F.col(points)
     choices = F.array(*[
@@ -236,11 +237,13 @@ def best_four(hulls: DataFrame, points: str = "points", max_points: int = 14) ->
         return F.struct(area.alias("area"), c["o"].alias("o"), *[c[n].alias(n) for n in "abcd"])
 
     usable = F.filter(choices, lambda c: c["d"] < F.size(p))
-    best = F.array_max(F.transform(usable, weigh))
-    frame = hulls.withColumn("_best", best)
+    rejected = F.coalesce(F.size(p) > max_points, F.lit(False))
+    frame = hulls.withColumn("_best", F.when(~rejected, F.array_max(F.transform(usable, weigh))))
+    corners = F.array(*[F.get(p, F.col(f"_best.{n}")) for n in "abcd"])
     return (
         frame.withColumn("best_area", F.col("_best.area"))
-        .withColumn("best_corners", F.array(*[F.get(p, F.col(f"_best.{n}")) for n in "abcd"]))
+        .withColumn("best_corners", F.when(~rejected, corners))
+        .withColumn("rejected", rejected)
         .drop("_best")
     )
 

@@ -207,20 +207,26 @@ SIGNATURE_CHUNK = 4096
 
 
 def listing_signature(
-    listing: DataFrame, keys: Sequence[str], order: Sequence[Column | str], line: Column, levels: int = 3,
-    chunk: int = SIGNATURE_CHUNK, hot_rows: int | None = HOT_ROWS,
+    listing: DataFrame, keys: Sequence[str], order: Sequence[Column | str], line: Column, chunk: int = SIGNATURE_CHUNK,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """A tag per listing that changes when its lines or their order change.
 
-    Lines are hashed in chunks of ``chunk`` in list order, then the chunk tags the same way, so no task
-    holds more than ``chunk`` lines of a listing.
+    Lines are hashed in chunks of ``chunk`` in list order, then the chunk tags the same way until one is left, so no task
+    holds more than ``chunk`` lines of a listing and a listing's tag depends on its own lines only. The longest listing sets the number of
+    rounds; listings that have one tag already keep it.
     """
     keys = list(keys)
     placed = ordered(listing.withColumn("_line", line), keys, order, {"_pos": position()}, hot_rows)
-    tags = placed.select(*keys, (F.col("_pos") - 1).alias("_pos"), F.col("_line"))
-    for _ in range(levels):
-        piece = F.floor(F.col("_pos") / chunk)
-        tags = tags.groupBy(*keys, piece.alias("_chunk")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda r: r["_line"]), "\n"), 256).alias("_line")
+    counts = listing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_left"))
+    tags = placed.select(*keys, (F.col("_pos") - 1).alias("_pos"), F.col("_line")).join(counts, keys)
+    longest = counts.agg(F.max("_left")).first()[0] or 0
+    first = True
+    while first or longest > 1:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda r: r["_line"]), "\n")
+        tag = F.sha2(joined, 256) if first else F.when(F.max("_left") == 1, F.max("_line")).otherwise(F.sha2(joined, 256))
+        tags = tags.groupBy(*keys, F.floor(F.col("_pos") / chunk).alias("_chunk")).agg(
+            tag.alias("_line"), F.ceil(F.max("_left") / chunk).alias("_left")
         ).withColumnRenamed("_chunk", "_pos")
+        longest, first = -(-longest // chunk), False
     return tags.select(*keys, F.col("_line").alias("signature"))

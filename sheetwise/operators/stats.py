@@ -23,8 +23,9 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
-    """``keys, level, n`` for the levels that occur."""
-    return df.groupBy(*keys, F.col(level).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    """``keys, level, n`` for the 8-bit levels that occur; a level outside 0-255 counts as the nearer end."""
+    bounded = F.greatest(F.lit(0), F.least(F.lit(255), F.col(level).cast("int")))
+    return df.groupBy(*keys, F.when(F.col(level).isNotNull(), bounded).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram256(df: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
@@ -127,10 +128,11 @@ def perimeter_score(
     """How much each outline looks like a sheet, 0-1, with its parts.
 
     ``quads`` holds ``keys, corners``; ``bands`` holds ``keys, mean_in, sat_in, mean_out`` of the strips
-    either side of the outline. Implausible outlines score 0.
+    either side of the outline. Implausible outlines score 0, and so do those without samples or band.
     """
     keys = list(keys)
-    frame = quads.join(perimeter_sums(samples, keys), keys).join(bands, keys)
+    sums = perimeter_sums(samples, keys)
+    frame = quads.join(sums, keys, "left").join(bands, keys, "left").fillna(0, [c for c in sums.columns if c not in keys])
     q = F.col("corners")
     p = g.quad_points(q)
     share = F.abs(g.quad_signed_area(q)) / (width * height)
@@ -250,13 +252,26 @@ def side_lift(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def counted_quantile(rows: DataFrame, keys: Sequence[str], value: str, fraction: float, out: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Per group the smallest value that at least ``fraction`` of its values do not exceed, exactly.
+
+    Equal values are counted first; the running count survives a huge group. Nulls do not count.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    running = ordered(counts, list(keys), [value], {"_upto": running_sum(F.col("_n"))}, hot_rows)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    reached = running.join(totals, list(keys)).filter(F.col("_upto") >= fraction * F.col("_all"))
+    return reached.groupBy(*keys).agg(F.min(value).alias(out))
+
+
 def stage_latency(rows: DataFrame, group: Sequence[str], decode: str = "decode", detect: str = "detect", render: str = "render") -> DataFrame:
     """Mean time per stage, mean and 95th percentile of ``ms = detect + render``."""
-    ms = F.col(detect) + F.col(render)
-    return rows.groupBy(*group).agg(
+    timed = rows.withColumn("_ms", F.col(detect) + F.col(render))
+    means = timed.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.avg(decode).alias("decode"), F.avg(detect).alias("detect"), F.avg(render).alias("render"),
-        F.avg(ms).alias("ms"), F.percentile_approx(ms, 0.95, 100000).alias("p95"),
+        F.avg("_ms").alias("ms"),
     )
+    return means.join(counted_quantile(timed, group, "_ms", 0.95, "p95"), list(group), "left")
 
 
 def weighted_center(

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheetwise.operators.ordered import HOT_ROWS, ordered, position
-from sheetwise.session import scratch_path
+from sheetwise.session import scratch_path, settle, shared_folder
 
 # The candidate features, in the order a trained model expects them.
 FEATURES = (
@@ -25,12 +27,20 @@ FEATURES = (
 MAX_NODES = 200_000
 
 
-def holdout_split(rows: DataFrame, group: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Add ``held_out``: every second group of the sorted distinct groups, from the second on."""
-    groups = rows.select(group).distinct().withColumn("_one", F.lit(1))
-    placed = ordered(groups, ["_one"], [group], {"_pos": position()}, hot_rows)
-    held = placed.select(group, (F.col("_pos") % 2 == 0).alias("held_out"))
-    return rows.join(held, group)
+def holdout_split(rows: DataFrame, group: str) -> DataFrame:
+    """Add ``held_out``: every second group of the sorted distinct groups, from the second on; null sorts first.
+
+    The groups are sorted by range; each range is numbered on its own and the ranges' sizes give the offsets.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.select(group).distinct().repartitionByRange(parts, group).withColumn("_part", F.spark_partition_id())
+    ranges = settle(ranges, "groups")
+    sizes = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(F.col(group).asc_nulls_first()))
+    held = ranges.join(offsets, "_part").select(F.col(group).alias("_group"), ((F.col("_before") + inside) % 2 == 0).alias("held_out"))
+    return rows.join(held, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def train_union(synthetic: DataFrame, real: DataFrame, group: str) -> DataFrame:
@@ -51,6 +61,7 @@ def train_ranker(
     subsample: float = 0.6, min_leaf: int = 20, seed: int = 0,
 ) -> GBTRegressionModel:
     """Gradient-boosted regression of the overlap; ``features`` is an array column."""
+    shared_folder(matrix.sparkSession)  # the booster writes checkpoints there
     ready = matrix.select(array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"), F.col(label).cast("double").alias("label"))
     booster = GBTRegressor(
         maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed,
@@ -108,37 +119,50 @@ def read_tree_table(spark, path: str, names: Sequence[str]) -> DataFrame:
 def predict_overlap(cands: DataFrame, nodes: DataFrame, features: str = "features", out: str = "pred", bias: float = 0.0, rate: float = 0.05) -> DataFrame:
     """Add the predicted overlap: ``bias + rate * sum of leaf values``.
 
-    The trees become nested conditions in the plan, so prediction is compiled and needs no shuffle.
-    Values at most the threshold go left; both sides are 32-bit floats.
+    The node table is checked for size and goes to the tasks as arrays; each Arrow batch walks all trees at once, level by level,
+    so a model of any depth and number of trees runs the same way. Values at most the threshold go left; a missing value goes right. Both
+    sides are 32-bit floats.
     """
     rows = nodes.limit(MAX_NODES + 1).collect()
     if len(rows) > MAX_NODES:
         raise ValueError(f"more than {MAX_NODES} tree nodes")
-    trees: dict[int, dict[int, object]] = {}
-    for r in rows:
-        trees.setdefault(r["tree"], {})[r["node"]] = r
-    x = F.col(features)
-
-    def walk(tree: dict, at: int) -> Column:
-        node = tree[at]
-        if node["left"] < 0:
-            return F.lit(float(node["value"]))
-        test = F.get(x, F.lit(node["feature"])).cast("float") <= F.lit(node["threshold"]).cast("float")
-        return F.when(test, walk(tree, node["left"])).otherwise(walk(tree, node["right"]))
-
-    total = F.lit(float(bias))
-    for _, tree in sorted(trees.items()):
-        total = total + F.lit(float(rate)) * walk(tree, 0)
-    return cands.withColumn(out, total)
-
-
-def incremental_labels(recs: DataFrame, store: DataFrame, label: Column, key: str = "path", mtime: str = "mtime") -> tuple[DataFrame, DataFrame]:
-    """Labels for ``recs``: stored ones while newer than their input, the rest computed.
-
-    ``store`` holds ``key, labelled_at, label``. Returns (all labels, the newly computed rows to append);
-    an anti join finds what is missing, so unchanged photos are not labelled again.
+    place = {(r["tree"], r["node"]): i for i, r in enumerate(rows)}
+    feature = np.array([r["feature"] for r in rows], np.int64)
+    threshold = np.array([r["threshold"] for r in rows], np.float32)
+    value = np.array([r["value"] for r in rows], np.float64)
+    leaf = np.array([r["left"] < 0 for r in rows], bool)
+    left, right = (np.array([i if r["left"] < 0 else place[r["tree"], r[c]] for i, r in enumerate(rows)], np.int64) for c in ("left", "right"))
+    roots = [place[tree, 0] for tree in sorted({r["tree"] for r in rows})]
+    width = int(feature.max(initial=0)) + 1
+
+    def walk(batch: pd.Series) -> pd.Series:
+        x = np.full((len(batch), width), np.nan, np.float32)
+        for i, given in enumerate(batch):
+            if given is not None:
+                own = np.asarray(given, dtype=np.float32)[:width]
+                x[i, : len(own)] = own
+        row = np.arange(len(batch))
+        total = np.full(len(batch), float(bias))
+        for root in roots:
+            at = np.full(len(batch), root)
+            while not leaf[at].all():
+                at = np.where(x[row, feature[at]] <= threshold[at], left[at], right[at])
+            total = total + float(rate) * value[at]
+        return pd.Series(total)
+
+    return cands.withColumn(out, F.pandas_udf(walk, "double")(F.transform(features, lambda v: v.cast("float"))))
+
+
+def incremental_labels(
+    recs: DataFrame, store: DataFrame, label: Column, now: Column, key: str = "path", mtime: str = "mtime"
+) -> tuple[DataFrame, DataFrame]:
+    """Labels for ``recs``: stored ones while newer than their input, the rest computed as of ``now``.
+
+    ``store`` holds ``key, labelled_at, label``, several per key after some passes; the newest counts. Returns (all labels, the
+    newly computed rows to append); an anti join finds what is missing, so unchanged photos are not labelled again.
     """
-    fresh = recs.join(store, key).filter(F.col("labelled_at") > F.col(mtime)).select(key, "labelled_at", "label")
+    newest = store.groupBy(key).agg(F.max_by(F.struct("labelled_at", "label"), "labelled_at").alias("_s")).select(key, "_s.*")
+    fresh = recs.join(newest, key).filter(F.col("labelled_at") > F.col(mtime)).select(key, "labelled_at", "label")
     stale = recs.join(fresh.select(key), key, "left_anti")
-    made = stale.select(key, F.lit(None).cast(store.schema["labelled_at"].dataType).alias("labelled_at"), label.alias("label"))
+    made = stale.select(key, now.cast(store.schema["labelled_at"].dataType).alias("labelled_at"), label.alias("label"))
     return fresh.unionByName(made), made

@@ -17,6 +17,8 @@ def local_session(cores: str = "8", name: str = "sheetwise", **conf: str) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a skewed join even where an aggregate on the same key follows
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.enabled": "false",
         # the call-site record of every column expression costs more than planning itself
         "spark.python.sql.dataFrameDebugging.enabled": "false",

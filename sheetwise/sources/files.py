@@ -6,9 +6,10 @@ selects it. CSV and JSON come with fixed schemas, so nothing is inferred.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.functions.names import IN_FLIGHT_PREFIX, stem_before_dot
@@ -47,6 +48,19 @@ def _listing(spark: SparkSession, path: str, recursive: bool, pattern: str | Non
     return files.select("path", F.col("modificationTime").alias("mtime"), "length", "content")
 
 
+def _qualified(spark: SparkSession, path: str):
+    """The file system of a path and the path as Spark's readers spell it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(place)
+
+
+def _below(spark: SparkSession, root: str) -> Column:
+    """A file's path relative to the folder that was read."""
+    start = _qualified(spark, root)[1].toString().rstrip("/") + "/"
+    return F.substring(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), F.lit(len(start) + 1), F.lit(1 << 20))
+
+
 def read_photo_folder(spark: SparkSession, path: str, extensions: Sequence[str] = PHOTO_EXTENSIONS, sample_file: str = "photo.jpg") -> DataFrame:
     """Photos of a folder as ``name, path, mtime, length, content``.
 
@@ -54,23 +68,18 @@ def read_photo_folder(spark: SparkSession, path: str, extensions: Sequence[str]
     lie loose and are keyed by their stem. Extensions match whatever their letter case.
     """
     files = _listing(spark, path, recursive=True)
-    base = path.rstrip("/").rsplit("/", 1)[-1]
-    parts = F.split("path", "/")
-    file, parent = F.element_at(parts, -1), F.element_at(parts, -2)
-    grandparent = F.element_at(parts, -3)
-    is_sample = (file == sample_file) & (grandparent == base)
-    loose = (parent == base) & F.lower(file).rlike(r"\.(" + "|".join(extensions) + ")$")
-    named = files.withColumn("name", F.when(is_sample, parent).when(loose, stem_before_dot(file)))
+    parts = F.split(_below(spark, path), "/")
+    file = F.element_at(parts, -1)
+    is_sample = (file == sample_file) & (F.size(parts) == 2)
+    loose = (F.size(parts) == 1) & F.lower(file).rlike(r"\.(" + "|".join(extensions) + ")$")
+    named = files.withColumn("name", F.when(is_sample, F.get(parts, F.lit(0))).when(loose, stem_before_dot(file)))
     return named.filter(F.col("name").isNotNull()).select("name", "path", "mtime", "length", "content")
 
 
 def read_frames(spark: SparkSession, root: str, pattern: str = "*.jpeg") -> DataFrame:
     """All frames below ``root``: ``image_path`` relative to it, ``mtime, length, content``."""
     files = _listing(spark, root, recursive=True, pattern=pattern)
-    marker = "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    clean = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
-    relative = F.substring(clean, F.locate(marker, clean) + len(marker), F.lit(1 << 20))
-    return files.select(relative.alias("image_path"), "mtime", "length", "content")
+    return files.select(_below(spark, root).alias("image_path"), "mtime", "length", "content")
 
 
 def read_truth_csv(spark: SparkSession, path: str, schema: str = TRUTH_SCHEMA) -> DataFrame:
@@ -147,11 +156,15 @@ def write_rows_csv(path: str, *frames: DataFrame) -> None:
 
 
 def list_inbox(spark: SparkSession, path: str, in_flight_prefix: str = IN_FLIGHT_PREFIX) -> DataFrame:
-    """Top-level files as ``name, length, mtime``, without those still being received and hidden ones.
+    """Top-level files as ``name, length, mtime``, without those still being received and those whose name starts with a dot.
 
-    Spark skips names that start with ``.`` or ``_`` by itself; in-flight files keep their own test so
-    that a prefix without a dot works too.
+    The folder is listed through its file system, because Spark's readers pass over names that start with ``_``.
     """
-    files = _listing(spark, path, recursive=False).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "mtime")
+    system, place = _qualified(spark, path)
+    found = [
+        (s.getPath().getName(), s.getLen(), datetime.datetime.fromtimestamp(s.getModificationTime() / 1000, datetime.timezone.utc))
+        for s in system.listStatus(place) if s.isFile()
+    ]
+    files = spark.createDataFrame(found, "name string, length long, mtime timestamp")
     receiving = F.col("name").startswith(in_flight_prefix) & F.col("name").endswith(".part")
     return files.filter(~receiving & ~F.col("name").startswith("."))

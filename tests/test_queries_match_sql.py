@@ -6,6 +6,8 @@ import bindings
 from check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
+#: Nothing in the smallest tables meets these queries' conditions.
+MAY_BE_EMPTY: set[str] = set()
 bindings.load_all()
 
 
@@ -19,7 +21,7 @@ def test_query(spark, duck, name):
     frame = bindings.QUERIES[name](spark, FOLDER)
     if name in bindings.SQL:
         wrong = compare(frame, duck, bindings.SQL[name])
-        assert wrong in ("", "EMPTY RESULT")
+        assert wrong == "" or (wrong == "EMPTY RESULT" and name in MAY_BE_EMPTY)
     else:
         assert frame.count() > 0
 
