@@ -100,11 +100,16 @@ def _(spark, d):
     SELECT event_id, phase, round(at_ + CASE phase WHEN 'processing' THEN 90 * 3600 ELSE 30 * 3600 END, 3) AS timed_out_at FROM p
     WHERE phase <> 'done' AND coalesce(nxt, 2592000) - at_ > CASE phase WHEN 'processing' THEN 90 * 3600 ELSE 30 * 3600 END""")
 def _(spark, d):
+    progress, plain = progress_rows(spark, d)
+    return plain(ops.stalled_transfers(progress, ["user_id"], ["at", "event_id"], "at", "phase", F.lit(2592000.0), 30 * 3600.0, 90 * 3600.0))
+
+
+def progress_rows(spark, d):
+    """The events as progress of transfers, and how stalls are shown."""
     kind = F.col("event_type")
     phase = F.when(kind == "click", "processing").when(kind == "purchase", "done").otherwise("sending")
     progress = table(spark, d, "events").select("event_id", "user_id", seconds().alias("at"), phase.alias("phase"))
-    out = ops.stalled_transfers(progress, ["user_id"], ["at", "event_id"], "at", "phase", F.lit(2592000.0), 30 * 3600.0, 90 * 3600.0)
-    return out.select("event_id", "phase", F.round("timed_out_at", 3).alias("timed_out_at"))
+    return progress, lambda out: out.select("event_id", "phase", F.round("timed_out_at", 3).alias("timed_out_at"))
 
 
 SQL_THROUGHPUT = """SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) FILTER (event_type IN ('view', 'click')) AS sent, count(*) FILTER (event_type = 'error') AS failed,

@@ -2,83 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sheetwise.operators.sessions import MAX_SESSIONS, keep_recent
+from sheetwise.operators.sessions import MAX_SESSIONS, judge_events, keep_recent
 
-STATE = (
-    "created double, name string, name_at double, filter string, filter_at double, rotate int, rotate_at double, "
-    "version bigint, deleted_at double"
+FIELDS = {"name": "string", "filter": "string", "rotate": "int"}
+_PLACE = "struct<at:double,seq:bigint>"
+STATE = f"session string, made {_PLACE}, gone {_PLACE}, version bigint, " + ", ".join(
+    f"{name} struct<at:double,seq:bigint,value:{kind}>" for name, kind in FIELDS.items()
 )
-ANSWER = "session string, seq bigint, status int, name string, filter string, rotate int, version bigint, deleted boolean"
-FIELDS = ("name", "filter", "rotate")
 
 
-class SessionProcessor(StatefulProcessor):
-    """One answer per event: the session after it, or 404 when no live session takes it.
+def scan_sessions(
+    events: DataFrame, table: str, checkpoint: str, session: str = "session", at: str = "ts", seq: str = "seq", forget: float | None = None
+) -> StreamingQuery:
+    """Answer a stream of edit events (``session, ts, seq, op, name, filter, rotate``) batch by batch, then stop.
 
-    Each field keeps the time of its latest write, so an event that arrives late does not overwrite a
-    newer one. Rows of a session are handled chunk by chunk in time order within the chunk.
+    Each batch is judged in time order together with the create and the delete that earlier batches saw, so answers depend neither on how
+    rows are chunked nor, for events that come in order, on how they are cut into batches. Answers (``session, seq, status``) go to
+    ``<table>/answers/batch=<n>``. The sessions, with the latest write of each field, go to ``<table>/state/after=<n>``: a late
+    event does not overwrite a newer one. A deleted session is dropped ``forget`` seconds after its delete, by event time; without it
+    sessions are kept for ever.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("session", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = list(self.state.get()) if self.state.exists() else None
-        for chunk in rows:
-            answers = []
-            for e in chunk.sort_values(["at", "seq"]).to_dict("records"):
-                now, status = _apply(now, e)
-                alive = now is not None
-                answers.append((
-                    key[0], e["seq"], status, now[1] if alive else None, now[3] if alive else None,
-                    now[5] if alive else None, now[7] if alive else 0, alive and now[8] is not None,
-                ))
-            out = pd.DataFrame(answers, columns=["session", "seq", "status", "name", "filter", "rotate", "version", "deleted"])
-            yield out.astype({"rotate": "Int32"})
-        if now is not None:
-            self.state.update(tuple(now))
-
-    def close(self) -> None:
-        pass
-
-
-def _apply(now: list | None, e: dict) -> tuple[list | None, int]:
-    op, at = e["op"], e["at"]
-    if op == "create" and now is None:
-        now = [at, None, None, None, None, None, None, 0, None]
-        status = 201
-    elif now is None or (now[8] is not None and at >= now[8]):
-        return now, 404
-    else:
-        status = 200
-    if op == "delete":
-        now[8] = at
-    if op == "update":
-        now[7] += 1
-    for i, field in enumerate(FIELDS):
-        value, place = e[field], 1 + 2 * i
-        if value is None or value != value or (now[place + 1] is not None and now[place + 1] > at):
-            continue
-        now[place], now[place + 1] = (int(value) if field == "rotate" else value), at
-    return now, status
-
-
-def scan_sessions(events: DataFrame, session: str = "session", at: str = "ts", seq: str = "seq") -> DataFrame:
-    """Answers to a stream of edit events (``session, ts, seq, op, name, filter, rotate``)."""
-    rows = events.select(
-        F.col(session).cast("string").alias("session"), (F.unix_micros(at) / 1e6).alias("at"), F.col(seq).cast("long").alias("seq"),
-        "op", "name", "filter", F.col("rotate").cast("int").alias("rotate"),
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(
+            F.col(session).cast("string").alias("session"), (F.unix_micros(at) / 1e6).alias("at"), F.col(seq).cast("long").alias("seq"),
+            "op", *[F.col(c).cast(kind).alias(c) for c, kind in FIELDS.items()],
+        )
+        state = spark.createDataFrame([], STATE) if batch_id == 0 else spark.read.schema(STATE).parquet(f"{table}/state/after={batch_id - 1}")
+        touched = state.join(rows.select("session").distinct(), "session", "left_semi")
+        before = touched.select("session", F.inline(F.array(
+            F.struct(F.col("made.at").alias("at"), F.col("made.seq").alias("seq"), F.lit("create").alias("op")),
+            F.struct(F.col("gone.at").alias("at"), F.col("gone.seq").alias("seq"), F.lit("delete").alias("op")),
+        ))).filter(F.col("at").isNotNull()).withColumn("_known", F.lit(True))
+        judged = judge_events(rows.unionByName(before, allowMissingColumns=True), ["session"], ["at", "seq"]).filter(F.col("_known").isNull())
+        judged.select("session", "seq", "status").write.mode("overwrite").parquet(f"{table}/answers/batch={batch_id}")
+        judged = judged.drop("status").join(spark.read.parquet(f"{table}/answers/batch={batch_id}"), ["session", "seq"])
+        place, good = F.struct("at", "seq"), F.col("status") < 400
+        fresh = judged.groupBy("session").agg(
+            F.min(F.when(F.col("op") == "create", place)).alias("made"), F.min(F.when(F.col("op") == "delete", place)).alias("gone"),
+            F.count(F.when(good & (F.col("op") == "update"), 1)).alias("version"),
+            *[F.max(F.when(good & F.col(c).isNotNull(), F.struct("at", "seq", F.col(c).alias("value")))).alias(c) for c in FIELDS],
+        )
+        merged = state.unionByName(fresh).groupBy("session").agg(
+            F.min("made").alias("made"), F.min("gone").alias("gone"), F.sum("version").alias("version"), *[F.max(c).alias(c) for c in FIELDS]
+        )
+        if forget is not None:
+            now = rows.agg(F.max("at")).first()[0]
+            merged = merged if now is None else merged.filter(F.col("gone").isNull() | (F.col("gone.at") > now - forget))
+        merged.write.mode("overwrite").parquet(f"{table}/state/after={batch_id}")
+
+    return events.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def session_answers(spark: SparkSession, table: str) -> DataFrame:
+    """All answers of :func:`scan_sessions`: ``session, seq, status``."""
+    return spark.read.parquet(f"{table}/answers").drop("batch")
+
+
+def current_sessions(spark: SparkSession, table: str) -> DataFrame:
+    """The sessions after the latest batch of :func:`scan_sessions`."""
+    rows = spark.read.parquet(f"{table}/state")
+    latest = rows.agg(F.max("after").alias("after"))
+    made = rows.join(F.broadcast(latest), "after").filter(F.col("made").isNotNull())  # one row
+    return made.select(
+        "session", F.col("made.at").alias("created"), *[F.col(f"{c}.value").alias(c) for c in FIELDS], "version", F.col("gone").isNotNull().alias("deleted")
     )
-    return rows.groupBy("session").transformWithStateInPandas(SessionProcessor(), ANSWER, "Append", "None")
 
 
 def evicting_sessions(creates: DataFrame, table: str, checkpoint: str, k: int = MAX_SESSIONS) -> StreamingQuery:
