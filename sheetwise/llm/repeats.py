@@ -3,13 +3,14 @@
 Every window of ``WINDOW`` words is a suffix of its document, cut at that depth. The suffixes are dealt to groups by a prefix of variable
 length, and each group's subtree is built on its own. The first partition goes by a five-word phrase: the one with the least hash in
 the window, so neighbouring suffixes mostly share it and travel as one stretch of text, and equal windows always agree on it. Groups
-with a single stretch hold no repeat and are dropped before any text moves. A group that fits memory has its suffixes sorted; the
-common prefixes of neighbours make the subtree, and its internal nodes at full depth are the repeats. A larger group is
-split by the whole window as prefix; such a group is a deep node already, and all it needs is its first suffix, which Spark
-aggregates without gathering the group.
+with a single stretch hold no repeat and are dropped before any text moves. The next, longer prefix is the whole stretch: equal
+stretches are one branch, all but the first of them repeat it, and Spark finds the first without gathering them. A group of
+different stretches that fits memory has its suffixes sorted; the common prefixes of neighbours make the subtree, and its
+internal nodes at full depth are the repeats. A larger group is split once more by the whole window of each suffix; such a group is a
+deep node already, and all it needs is its first suffix.
 
 In each node the suffix that starts earliest (least doc_id, then least start) stays; words under any other are removed. Windows are judged
-on the input. Words are compared by 64-bit hashes, whole windows of a split group by 128 bits.
+on the input. Words are compared by 64-bit hashes, whole stretches and windows of a split group by 128 bits.
 
 Null and blank texts have no words. Texts under ``WINDOW`` words lose nothing. A null doc_id comes last; rows without id count as
 one document, as do rows of equal id, so equal starts there remove nothing. Repeated rows get equal results. An empty
@@ -30,8 +31,8 @@ from sheetwise.llm.hashing import U64, chunks, mix, odd_numbers, word_hashes, wo
 from sheetwise.session import ship_package
 
 WINDOW, PHRASE = 20, 5
-#: A group of more stretches than this is split by longer prefixes.
-GROUP = 2000
+#: A group of more different stretches than this (about 10 MB of text) is split by longer prefixes.
+GROUP = 50_000
 #: A stretch holds at most this many suffixes, however repetitive a text is.
 STRETCH = 64
 #: Suffixes that a task sorts at a time.
@@ -91,52 +92,63 @@ def _phrases(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(scan, "rid long, key long, c long")
 
 
-_ROW = "key long, deep long, oid long, rid long, lo int, words binary"
+_ROW = "key long, one long, two long, oid long, rid long, lo int, size int, words binary"
 
 
 def _suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """Stretches of shared groups with their words; where the group is large, single suffixes under their whole prefix."""
-    one, two = odd_numbers(window, 8), odd_numbers(window, 9)
+    """Stretches of shared groups: their words, a checksum of those, and the starts they hold."""
     names = [part.split()[0] for part in _ROW.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             oids, rids = (batch[c].to_numpy(zero_copy_only=False) for c in ("oid", "rid"))
-            keys, large = batch["keys"].to_pylist(), batch["large"].to_pylist()
+            keys = batch["keys"].to_pylist()
             for first, run in chunks(batch["text"].to_pylist()):
                 s = Stretches(run, window)
                 bounds = np.searchsorted(s.text, np.arange(len(run) + 1))
-                state = np.zeros(len(s.key), np.int8)
+                shared = np.zeros(len(s.key), bool)
                 for i in range(len(run)):
                     a, b = bounds[i], bounds[i + 1]
                     if b > a:
-                        state[a:b] = np.isin(s.key[a:b], keys[first + i])
-                        if large[first + i]:
-                            state[a:b] += np.isin(s.key[a:b], large[first + i])
+                        shared[a:b] = np.isin(s.key[a:b], keys[first + i])
+                at = np.flatnonzero(shared)
+                if not len(at):
+                    continue
+                begin = s.begins[s.text[at]] + s.lo[at]
+                length = s.size[at] + window - 1
                 data, starts, ends, _ = word_places(run)
                 data = data.tobytes()
-                small = np.flatnonzero(state == 1)
-                begin = s.begins[s.text[small]] + s.lo[small]
-                cut = [data[a:b] for a, b in zip(starts[begin].tolist(), ends[begin + s.size[small] + window - 2].tolist(), strict=True)]
-                if len(small):
-                    of = first + s.text[small]
-                    columns = [s.key[small], np.zeros(len(small), np.int64), oids[of], rids[of], s.lo[small].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cut, pa.binary())], names)
-                wide = np.flatnonzero(state == 2)
-                if len(wide):
-                    sizes = s.size[wide]
-                    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    start = np.repeat(s.lo[wide], sizes) + inside
-                    text = np.repeat(s.text[wide], sizes)
-                    at, a, b = s.begins[text] + start, U64(0), U64(0)
-                    for j in range(window):
-                        a, b = a + one[j] * s.words[at + j], b + two[j] * s.words[at + j]
-                    columns = [mix(a).view(np.int64), mix(b).view(np.int64), oids[first + text], rids[first + text], start.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary())], names)
+                cut = [data[a:b] for a, b in zip(starts[begin].tolist(), ends[begin + length - 1].tolist(), strict=True)]
+                inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                word = s.words[np.repeat(begin, length) + inside]
+                opens = np.cumsum(length) - length
+                sums = [np.add.reduceat(mix(word + U64(seed) * mix(inside.astype(U64) + U64(seed))), opens) for seed in (1, 3)]
+                of = first + s.text[at]
+                columns = [s.key[at], *(x.view(np.int64) for x in sums), oids[of], rids[of], s.lo[at].astype(np.int32), s.size[at].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cut, pa.binary())], names)
 
     return docs.mapInArrow(scan, _ROW)
 
 
+def _windows(stretches: DataFrame, window: int) -> DataFrame:
+    """Every suffix of a stretch by its whole window."""
+    factors = odd_numbers(window, 8), odd_numbers(window, 9)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = word_hashes(batch["words"].to_pylist())
+            sizes = counts - window + 1
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = (np.cumsum(counts) - counts)[row] + inside
+            sums = [mix(sum((f[j] * words[at + j] for j in range(1, window)), f[0] * words[at])).view(np.int64) for f in factors]
+            oid, rid, lo = (batch[c].to_numpy(zero_copy_only=False)[row] for c in ("oid", "rid", "lo"))
+            columns = [*sums, oid, rid, (lo + inside).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["one", "two", "oid", "rid", "lo"])
+
+    return stretches.select("oid", "rid", "lo", "words").mapInArrow(scan, "one long, two long, oid long, rid long, lo int")
+
+
 def _subtrees(stretches: DataFrame, window: int) -> DataFrame:
     """Build the subtree of every group and report the suffixes under deep nodes that are not the first, as ranges of starts."""
 
@@ -203,17 +215,26 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     """``oid, rid, lo, hi``: starts of windows that came earlier. ``docs`` has ``oid``, ``rid`` and ``text``."""
     ship_package(docs.sparkSession)
     phrases = written(_phrases(docs.select("rid", "text"), window), "phrases")
-    shared = phrases.groupBy("key").agg(F.sum("c").alias("many")).where("many > 1")
-    keys = phrases.select("rid", "key").join(shared, "key").groupBy("rid").agg(
-        F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many") > group, F.col("key"))).alias("large")
-    )
+    shared = phrases.groupBy("key").agg(F.sum("c").alias("many")).where("many > 1").select("key")
+    keys = phrases.select("rid", "key").join(shared, "key").groupBy("rid").agg(F.collect_set("key").alias("keys"))
     keys = written(keys, "shared-phrases")
-    found = written(_suffixes(docs.join(keys, "rid").select("oid", "rid", "text", "keys", "large"), window), "suffixes")
-    small = _subtrees(found.where("words is not null"), window)
-    nodes = found.where("words is null").select("key", "deep", "oid", "rid", "lo")
-    firsts = nodes.groupBy("key", "deep").agg(F.min(F.struct("oid", "lo")).alias("first"), F.count("*").alias("leaves")).where("leaves > 1")
-    late = nodes.join(firsts, ["key", "deep"]).where(F.struct("oid", "lo") > F.col("first"))
-    return small.unionByName(late.select("oid", "rid", "lo", F.col("lo").alias("hi")))
+    found = written(_suffixes(docs.join(keys, "rid").select("oid", "rid", "text", "keys"), window), "stretches")
+    branch = ["key", "one", "two"]
+    firsts = found.groupBy(*branch).agg(F.min(F.struct("oid", "lo")).alias("first"), F.count("*").alias("leaves"))
+    firsts = written(firsts, "branches")
+    place = F.struct("oid", "lo")
+    slim = found.select(*branch, "oid", "rid", "lo", "size").join(firsts.where("leaves > 1"), branch).where(place > F.col("first"))
+    copies = slim.select("oid", "rid", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
+    heads = found.join(firsts.drop("leaves"), branch).where(place == F.col("first")).select("key", "oid", "rid", "lo", "words")
+    wide = written(firsts.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > group).select("key"), "wide-groups")
+    if wide.isEmpty():
+        return copies.unionByName(_subtrees(heads, window))
+    heads = written(heads, "heads")
+    small = _subtrees(heads.join(wide, "key", "left_anti"), window)
+    nodes = _windows(heads.join(wide, "key", "left_semi"), window)
+    least = nodes.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("leaves")).where("leaves > 1")
+    late = nodes.join(least, ["one", "two"]).where(place > F.col("first"))
+    return copies.unionByName(small).unionByName(late.select("oid", "rid", "lo", F.col("lo").alias("hi")))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
