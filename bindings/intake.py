@@ -69,7 +69,7 @@ def _(spark, d):
 @query(
     "nam04_name_is_landable",
     f"""SELECT doc_id, kind, n = {sql_server_name('n')} AS landable FROM (
-        SELECT doc_id, 'raw' AS kind, substring(text, 1, 185) AS n FROM documents
+        SELECT doc_id, 'raw' AS kind, text AS n FROM documents
         UNION ALL SELECT doc_id, 'cleaned', {sql_server_name('text', 'doc_id')} FROM documents)""",
 )
 def _(spark, d):
@@ -77,7 +77,7 @@ def _(spark, d):
     cleaned = names.sanitize_server(F.col("text"), F.col("doc_id"))
     return (
         docs.select("doc_id", F.explode(F.create_map(
-            F.lit("raw"), F.substring("text", 1, 185), F.lit("cleaned"), cleaned)).alias("kind", "n"))
+            F.lit("raw"), F.col("text"), F.lit("cleaned"), cleaned)).alias("kind", "n"))
         .select("doc_id", "kind", names.is_landable(F.col("n")).alias("landable"))
     )
 
@@ -111,7 +111,7 @@ def _(spark, d):
 
 @query(
     "adm01_admit_uploads",
-    f"""WITH u AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE replace(substring(text, 1, 185), '%', '%25') END AS enc,
+    f"""WITH u AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE replace(text, '%', '%25') END AS enc,
             CASE WHEN doc_id % 7 = 0 THEN -1 ELSE n_chars * 2000000 END AS declared, n_chars * 3000000 AS received FROM documents),
         v AS (SELECT *, coalesce(url_decode(enc), '') AS dec FROM u), w AS (SELECT *, {sql_server_name('dec')} AS name FROM v),
         x AS (SELECT doc_id, name, CASE WHEN dec = '' THEN 1 WHEN declared < 0 THEN 2 WHEN declared > 5368709120 THEN 3
@@ -124,7 +124,7 @@ def _(spark, d):
     docs = table(spark, d, "documents")
     uploads = docs.select(
         "doc_id",
-        F.when(F.col("doc_id") % 11 != 0, F.replace(F.substring("text", 1, 185), F.lit("%"), F.lit("%25"))).alias("name_encoded"),
+        F.when(F.col("doc_id") % 11 != 0, F.replace("text", F.lit("%"), F.lit("%25"))).alias("name_encoded"),
         F.when(F.col("doc_id") % 7 == 0, -1).otherwise(F.col("n_chars") * 2000000).alias("declared_bytes"),
         (F.col("n_chars") * 3000000).alias("received_bytes"),
     )
@@ -146,13 +146,13 @@ def header_photos(spark, d):
     turn = F.col("doc_id") % 4
     content = (
         F.when(turn == 0, F.unhex(png)).when(turn == 1, F.unhex(jpeg)).when(turn == 2, F.unhex(heic))
-        .otherwise(F.encode(F.substring("text", 1, 40), "UTF-8"))
+        .otherwise(F.encode("text", "UTF-8"))
     )
     return docs.select("doc_id", "lang", content.alias("content"))
 
 
 SQL_HEADS = """heads AS (SELECT doc_id, lang, doc_id % 4 AS turn, n_chars + 1 AS w, length(text) * 40 + 7 AS h,
-    octet_length(encode(substring(text, 1, 40))) AS bytes FROM documents),
+    octet_length(encode(text)) AS bytes FROM documents),
     sized AS (SELECT *, CASE turn WHEN 0 THEN w WHEN 1 THEN least(w, 65535) END AS width,
         CASE turn WHEN 0 THEN h WHEN 1 THEN least(h, 65535) END AS height FROM heads)"""
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What may not occur in a stored name, and names a desktop reserves for devices.
+# What may not occur in a stored name (and runs of dots), what is cut from its end, and names a desktop reserves for devices.
 FORBIDDEN = r'[<>:"/\\|?*\x00-\x1F]'
+DOT_RUN = r"\.\.+"
+CUT_AT_END = ". "
 MAX_NAME = 180
 DEVICE_NAMES = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
 
@@ -24,8 +26,10 @@ IN_FLIGHT_PREFIX = ".incoming-"
 
 
 def _trim(name: Column) -> Column:
-    """Strip white space of any script from both ends."""
-    return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+    """Strip white space of any script from both ends. The end is stripped as the start of the reversed name: a pattern tied to
+    the end would be tried at every blank of a long text."""
+    led = F.regexp_replace(name, r"(?U)^\s+", "")
+    return F.reverse(F.regexp_replace(F.reverse(led), r"(?U)^\s+", ""))
 
 
 def sanitize_server(name: Column, instant_ms: Column) -> Column:
@@ -34,8 +38,8 @@ def sanitize_server(name: Column, instant_ms: Column) -> Column:
     The cut at 180 comes last and is not trimmed again, see :func:`is_landable`.
     """
     cleaned = F.regexp_replace(name, FORBIDDEN, "_")
-    cleaned = F.regexp_replace(cleaned, r"\.\.+", "_")
-    cleaned = F.regexp_replace(cleaned, r"[. ]+$", "")
+    cleaned = F.regexp_replace(cleaned, DOT_RUN, "_")
+    cleaned = F.rtrim(cleaned, F.lit(CUT_AT_END))
     cleaned = F.substring(_trim(cleaned), 1, MAX_NAME)
     fallback = F.concat(F.lit("upload-"), instant_ms.cast("string"))
     return F.when(F.coalesce(cleaned, F.lit("")).isin("", ".", ".."), fallback).otherwise(cleaned)
@@ -44,7 +48,7 @@ def sanitize_server(name: Column, instant_ms: Column) -> Column:
 def sanitize_desktop(name: Column, in_flight_prefix: str = IN_FLIGHT_PREFIX) -> Column:
     """The name a desktop rename accepts; empty means "reject"."""
     cleaned = F.regexp_replace(_trim(F.coalesce(name, F.lit(""))), FORBIDDEN, "_")
-    cleaned = F.regexp_replace(F.substring(cleaned, 1, MAX_NAME), r"[. ]+$", "")
+    cleaned = F.rtrim(F.substring(cleaned, 1, MAX_NAME), F.lit(CUT_AT_END))
     guard = cleaned.startswith(in_flight_prefix) | stem_before_dot(cleaned).rlike(DEVICE_NAMES)
     return F.concat(F.when(guard, "_").otherwise(""), cleaned)
 
