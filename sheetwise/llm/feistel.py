@@ -40,7 +40,10 @@ PATTERNS = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     "date": re.compile(r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./])\d{2}\1\d{4})(?![./-]?\d)"),
-    "phone": re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"),
+    "phone": re.compile(
+        r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+        r"|(?<![\w+.-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\w-])"
+    ),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"),
 }
@@ -172,7 +175,7 @@ def _date(p: Permutation, value: str, back: bool) -> str | None:
 def _phone(p: Permutation, value: str, back: bool) -> str | None:
     if not 8 <= sum(c.isdigit() for c in value) <= 15:
         return None
-    code = re.match(r"\+\d{1,3}(?=\D)|\+\d", value).group()
+    code = re.match(r"\+\d{1,3}(?=\D)|\+\d|", value).group()
     return code + p.text(value[len(code) :], "phone" + code, back)
 
 

@@ -406,6 +406,15 @@ def test_pseudonyms_keep_format_and_links(spark, awkward, nothing):
     assert feistel.pseudonymised(nothing).count() == 0
 
 
+def test_telephone_numbers():
+    p = feistel.Permutation(b"key")
+    for text in ("(212) 555-0142", "212-555-0142", "+44 20 7946 0958", "+1 (017) 555-7713"):
+        new, counts, _ = feistel.replaced(f"call {text} now", p)
+        assert counts == {"phone": 1} and text not in new and feistel.replaced(new, p, back=True)[0] == f"call {text} now"
+    for text in ("pages 100-2000", "1212-555-01421", "2024-555", "a-212-555-0142-b"):
+        assert feistel.replaced(text, p)[1] == {}
+
+
 # toxicity
 
 
