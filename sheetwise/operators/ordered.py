@@ -1,14 +1,15 @@
 """Window-style columns over groups of any size.
 
 A plain window puts each group into one task. That is fine until one photo, user or name
-holds a large part of the table. :func:`ordered` gives the same columns, but cuts the few
-groups above ``hot_rows`` into cells along the first ordering column, runs the window per
+holds a large part of the table. :func:`ordered` gives the same columns, but cuts the groups above
+``hot_rows`` into cells along the whole ordering, at quantiles of a sample of the group, runs the window per
 (group, cell) and adds what the earlier (or later) cells contribute from a small carry table.
 
-The list of hot groups is at most ``MAX_HOT`` rows and the carry table at most
-``MAX_HOT * CELLS`` rows, so both may be broadcast whatever the size of the data. Groups that
-do not make the list hold less than 1/MAX_HOT of the rows each. The cells only decide where
-work runs; results are exact. With no hot group, adaptive execution drops the carry branch.
+One count per call tells whether there is any hot group; if not, the plan is a plain window and the input is
+read once. The list of hot groups is at most ``MAX_HOT`` rows of at most ``CELLS`` cuts, so it may be broadcast whatever the size of
+the data. Groups that do not make the list hold less than 1/MAX_HOT of the rows each, an even share of that many tasks. The cells only
+decide where work runs; results are exact. A part whose ordering is all equal stays in one cell, and
+rows with a null key are not cut.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
+
+from sheetwise.session import settle
 
 HOT_ROWS = 1_000_000
 MAX_HOT = 1024
-CELLS = 256
+CELLS, STEP = 256, 16
+#: Rows of a hot group, about, whose order gives the cuts.
+SAMPLE = 4096
 
 
 @dataclass(frozen=True)
@@ -106,40 +110,46 @@ def hot_groups(df: DataFrame, keys: Sequence[str], *extra: Column, hot_rows: int
 
 
 def with_cells(
-    df: DataFrame, keys: Sequence[str], by: Column, hot_rows: int = HOT_ROWS, pool: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Add ``_cell`` (0 outside hot groups; never falls as ``by`` grows) and return the hot rows' twin.
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_rows: int = HOT_ROWS, pool: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Add ``_cell`` (0 outside hot groups; never falls along ``order``) and return the hot rows' twin; ``df`` itself and None if no
+    group is hot.
 
     ``pool`` holds at least all rows of the groups that can be hot; all of ``df`` when left out.
     """
-    value = _as_number(df, by)
-    pool = df if pool is None else pool
-    hot = hot_groups(pool, keys, F.min(value).alias("_lo"), F.max(value).alias("_hi"), hot_rows=hot_rows).drop("_rows")
-    cell = F.coalesce(
-        F.when(
-            F.col("_hi") > F.col("_lo"),
-            F.least(
-                F.lit(CELLS - 1),
-                F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS).cast("int"),
-            ),
-        ),
-        F.lit(0),
-    )
-    celled = df.join(F.broadcast(hot), list(keys), "left").withColumn("_cell", cell).drop("_lo", "_hi")
-    hot_only = pool.join(F.broadcast(hot), list(keys), "inner").withColumn("_cell", cell).drop("_lo", "_hi")
-    return celled, hot_only
-
-
-def _as_number(df: DataFrame, by: Column) -> Column:
-    """A double that never falls along ``by``; strings go by their first six bytes."""
-    kind = df.select(by).schema[0].dataType
-    if isinstance(kind, T.TimestampNTZType):  # by the calendar, so no time zone can reorder it
-        days = F.date_diff(F.to_date(by), F.lit("1970-01-01").cast("date"))
-        return (days * 86400 + F.hour(by) * 3600 + F.minute(by) * 60 + F.second(by)).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.hex(F.substring(F.encode(by, "UTF-8"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    return by.cast("double")
+    pool, keys = df if pool is None else pool, list(keys)
+    listed = hot_groups(pool, keys, hot_rows=hot_rows)
+    if listed.isEmpty():
+        return df, None
+    listed = settle(listed, "hot-groups")
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    share = F.greatest(F.floor(F.col("_rows") / SAMPLE), F.lit(1))
+    sampled = pool.join(F.broadcast(listed), _same(pool, listed, keys)).filter(F.pmod(F.xxhash64(*order), share) == 0)
+    tuples = sampled.select(*[listed[k].alias(k) for k in keys], place.alias("_p")).distinct()
+    sample = F.array_sort(F.collect_list("_p"))
+    cut = lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / CELLS).cast("int"))
+    cuts = tuples.groupBy(*keys).agg(sample.alias("_s")).select(
+        *keys, F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(CELLS - 1)), cut)).alias("_cuts"))
+    steps = F.sequence(F.lit(STEP), F.lit(CELLS - 1), F.lit(STEP))
+    heads = F.filter(F.transform(steps, lambda i: F.get(F.col("_cuts"), i - 1)), lambda c: c.isNotNull())
+    cuts = settle(cuts.withColumn("_heads", heads), "cuts")
+
+    def cell_of(side: DataFrame, how: str) -> DataFrame:
+        """Cuts up to a row: whole steps first, then within the step."""
+        own = [c for c in side.columns if c != "_cell"]
+        joined = side.join(F.broadcast(cuts), _same(side, cuts, keys), how)
+        joined = joined.select(*[side[f"`{c}`"] for c in own], F.col("_cuts"), F.col("_heads"))
+        whole = F.size(F.filter("_heads", lambda c: c <= place)) * STEP
+        joined = joined.withColumn("_whole", whole)
+        within = F.size(F.filter(F.slice("_cuts", F.col("_whole") + 1, F.lit(STEP)), lambda c: c <= place))
+        cell = F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_whole") + within)
+        return joined.withColumn("_cell", cell).drop("_cuts", "_heads", "_whole")
+
+    return cell_of(df, "left"), cell_of(pool, "inner")
+
+
+def _same(one: DataFrame, two: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [one[k] == two[k] for k in keys])
 
 
 Stage = Mapping[str, Spec] | Callable[[DataFrame], DataFrame]
@@ -172,8 +182,8 @@ def ordered(
     if hot_rows is None:
         frame, hot_frame, parts = df, None, keys
     else:
-        frame, hot_frame = with_cells(df, keys, order[0], hot_rows, pool)
-        parts = [*keys, "_cell"]
+        frame, hot_frame = with_cells(df, keys, order, hot_rows, pool)
+        parts = keys if hot_frame is None else [*keys, "_cell"]
 
     for stage in (columns, *then):
         if callable(stage):
@@ -184,7 +194,7 @@ def ordered(
         if hot_frame is None:
             frame = _in_group(frame, parts, order, stage, kinds, "")
             continue
-        carry = F.broadcast(_carry(hot_frame, keys, order, stage))
+        carry = _carry(hot_frame, keys, order, stage)  # the windows have dealt out the rows by its keys already
         kept = frame.columns
         merged = [_merge(n, s) for n, s in stage.items()]
 

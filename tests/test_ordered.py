@@ -43,12 +43,36 @@ def test_later_stages_equal_plain_windows(rows):
 
 
 def test_hot_group_is_really_cut(rows):
-    celled, hot = o.with_cells(rows, ["k"], F.col("t"), 100)
+    celled, hot = o.with_cells(rows, ["k"], [F.col("t")], 100)
     assert hot.count() == 200
     assert celled.filter("k = 'hot'").select("_cell").distinct().count() > 20
     assert celled.filter("k <> 'hot'").select("_cell").distinct().count() == 1
 
 
+def test_no_hot_group_reads_once(rows):
+    frame, hot = o.with_cells(rows, ["k"], [F.col("t")], 1000)
+    assert hot is None and frame is rows
+
+
+@pytest.mark.parametrize(
+    "value", [lambda i: F.when(i == 7, 1e12).otherwise(i.cast("double")), lambda i: F.format_string("same start of a name %08d", i), lambda i: F.lit(1.0)],
+    ids=["outlier", "common start", "tied first column"])
+def test_cells_are_even(spark, value):
+    rows = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id"), value(F.col("id")).alias("v"))
+    celled, _ = o.with_cells(rows, ["k"], [F.col("v"), F.col("id")], 1000)
+    sizes = [r["count"] for r in celled.groupBy("_cell").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 2000
+    ends = celled.groupBy("_cell").agg(F.min(F.struct("v", "id")).alias("a"), F.max(F.struct("v", "id")).alias("b")).orderBy("_cell").collect()
+    assert all(tuple(x.b) < tuple(y.a) for x, y in zip(ends, ends[1:]))
+
+
+def test_null_keys_do_no_harm(spark):
+    rows = spark.range(300).select(F.when(F.col("id") % 2 == 0, "x").alias("k"), F.col("id"))
+    plain = o.ordered(rows, ["k"], ["id"], {"pos": o.position()}, None)
+    cut = o.ordered(rows, ["k"], ["id"], {"pos": o.position()}, 50)
+    assert sorted(plain.select("id", "pos").collect()) == sorted(cut.select("id", "pos").collect())
+
+
 def test_no_second_shuffle_for_stages(spark, rows):
     then = [{"back": o.previous("pos")}]
     plan = o.ordered(rows, ["k"], ["t", "id"], {"pos": o.position()}, None, then=then)._jdf.queryExecution().executedPlan().toString()
