@@ -116,9 +116,9 @@ def log_count_ratios(counts: DataFrame, n_clean: int, n_toxic: int, features: in
 def _fit(rows: list, ratios: np.ndarray, n: tuple[int, int]) -> tuple[np.ndarray, float]:
     """Logistic regression by gradient steps on (features of a document, label) rows; both labels weigh the same."""
     label = np.array([r["toxic"] for r in rows], float)
-    sizes = np.array([len(r["at"]) for r in rows])
+    sizes = np.array([len(r["at"]) // 4 for r in rows])
     doc = np.repeat(np.arange(len(rows)), sizes)
-    at = np.concatenate([np.asarray(r["at"], np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+    at = np.frombuffer(b"".join(r["at"] for r in rows), "<i4").astype(np.int64)
     value = ratios[at]
     weight = np.where(label == 1, 0.5 / max(n[1], 1), 0.5 / max(n[0], 1))
     w, b = np.zeros(len(ratios)), 0.0
@@ -152,14 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list = [[] for _ in range(batch.num_rows)]
+            found = [b""] * batch.num_rows
             for first, many, of, at in _distinct(batch["text"].to_pylist(), index >= 0):
                 bounds = np.searchsorted(of, np.arange(many + 1))
                 for i in range(many):
-                    found[first + i] = index[at[bounds[i] : bounds[i + 1]]].tolist()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "at"])
+                    found[first + i] = index[at[bounds[i] : bounds[i + 1]]].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(found, pa.binary())], ["doc_id", "toxic", "at"])
 
-    picked = rows.select("doc_id", "text", "toxic").mapInArrow(pick, "doc_id long, toxic int, at array<long>")
+    picked = rows.select("doc_id", "text", "toxic").mapInArrow(pick, "doc_id long, toxic int, at binary")
     w, b = _fit(sorted(picked.collect(), key=lambda r: r["doc_id"]), ratios, (n_clean, n_toxic))
     return bins, w * ratios, b
 
