@@ -226,10 +226,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     slim = found.select(*branch, "oid", "rid", "lo", "size").join(firsts.where("leaves > 1"), branch).where(place > F.col("first"))
     copies = slim.select("oid", "rid", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
     heads = found.join(firsts.drop("leaves"), branch).where(place == F.col("first")).select("key", "oid", "rid", "lo", "words")
+    heads = written(heads, "heads")  # texts are dealt out twice, by branch and by group; so one shuffle is gone before the next
     wide = written(firsts.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > group).select("key"), "wide-groups")
     if wide.isEmpty():
         return copies.unionByName(_subtrees(heads, window))
-    heads = written(heads, "heads")
     small = _subtrees(heads.join(wide, "key", "left_anti"), window)
     nodes = _windows(heads.join(wide, "key", "left_semi"), window)
     least = nodes.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("leaves")).where("leaves > 1")
