@@ -70,7 +70,7 @@ class Stretches:
         self.key, self.text, self.lo = key[first].view(np.int64), of[first], start[first]
         self.size = np.diff(np.append(first, len(at)))
         again = np.zeros(len(phrase) + 1, np.int64)  # does a phrase come again within a window's reach?
-        for k in range(1, width):
+        for k in range(1, width + 1):  # neighbouring windows share a phrase up to a gap of ``width``
             again[1 : len(phrase) - k + 1] |= phrase[k:] == phrase[:-k]
         again = np.cumsum(again)
         begin = self.begins[self.text] + self.lo

@@ -363,6 +363,14 @@ def test_repeats(spark, awkward, nothing, group):
     assert repeats.repeat_digests(nothing).count() == 0
 
 
+def test_repeats_of_every_period(spark):
+    """Texts that repeat within themselves only, also at a gap of exactly one window's phrases."""
+    rows = [(100 * p + n, " ".join([f"q{p}_{n}_{i}" for i in range(p)] * n)) for p in range(1, 26) for n in range(2, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter(tuple(r) for r in repeats.repeat_digests(docs).collect())
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_on_the_table(spark):
     docs = table(spark, FOLDER, "documents")
     assert collections.Counter(tuple(r) for r in repeats.repeat_digests(docs).collect()) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
