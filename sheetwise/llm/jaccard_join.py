@@ -272,7 +272,10 @@ def _batch(out: list) -> pa.RecordBatch:
 
 
 def set_classes(docs: DataFrame, rows: DataFrame, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
-    """``key, class_id, n_links, n_rows``: every set with its class; ``rows`` are the sketches of ``docs``."""
+    """``key, root, class_id, n_links, n_rows``: every set with its class; ``rows`` are the sketches of ``docs``.
+
+    ``root`` is the class's own key. ``class_id`` is a label: classes without an id, or with documents of one id, share it.
+    """
     classes = rows.where("key is not null").groupBy("key").agg(
         F.min("oid").alias("oid"), F.count("*").alias("n_rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
@@ -299,7 +302,7 @@ def set_classes(docs: DataFrame, rows: DataFrame, width: int = WIDTH, recall: fl
     labelled = classes.select("key", "oid", "n_rows").join(found, "key", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "key"))
     ids = labelled.groupBy("root").agg(F.min("oid").alias("class_id"))
-    return labelled.join(ids, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows")
+    return labelled.join(ids, "root").select("key", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows")
 
 
 def _id(column: str) -> Column:
@@ -307,7 +310,10 @@ def _id(column: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
-    """One row per document: its class (the least doc_id among linked documents), its links and its copies."""
+    """One row per document: its class (the least doc_id among linked documents), its links and its copies.
+
+    Unlinked documents that share an id, or have none, can bear the same class id; ``set_classes`` tells them apart by ``root``.
+    """
     slim = docs.select("doc_id", last_id().alias("oid"), "text")
     rows = written(sketches(slim, width), "sketches")
     classes = set_classes(docs.select("doc_id", "text"), rows, width, recall)
@@ -321,14 +327,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, recall: float = RECALL)
 def one_of_each(docs: DataFrame, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row with the least doc_id stays, once.
 
-    Rows without shingles all stay. A row is known by a hash of all its columns, so texts are shuffled once.
+    Unlinked rows all stay, whether they have an id of their own or not, and so do rows without shingles. A row is known by a hash of
+    all its columns, so texts are shuffled once.
     """
     whole = docs.select(F.struct("*").alias("row")).withColumn("rid", F.xxhash64("row"))
     oid = F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1))
     slim = whole.select("row.doc_id", oid.alias("oid"), "rid", "row.text")
     rows = written(sketches(slim, width), "sketches")
     classes = set_classes(docs.select("doc_id", "text"), rows, width, recall)
-    best = rows.join(classes, "key").groupBy("class_id").agg(F.min(F.struct("oid", "rid")).alias("keep"))
+    best = rows.join(classes, "key").groupBy("root").agg(F.min(F.struct("oid", "rid")).alias("keep"))
     keep = best.select("keep.rid", "keep.oid")
     keep = keep.withColumn("single", F.lit(True)).unionByName(
         rows.where("key is null").select("rid", "oid").distinct().withColumn("single", F.lit(False))

@@ -313,6 +313,17 @@ def test_one_of_each(awkward, nothing):
     assert jaccard_join.one_of_each(nothing).count() == 0
 
 
+def test_one_of_each_keeps_unlike_rows_of_one_id(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = text("b").replace("b30 ", "other ")
+    rows = [(None, text("a")), (None, text("b")), (None, near), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e")), (8, text("d")), (None, text("e"))]
+    out = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = collections.Counter((r.doc_id, r.text) for r in out)
+    either = {(None, text("b")), (None, near)} & set(kept)
+    assert len(either) == 1
+    assert kept == collections.Counter([(None, text("a")), *either, (None, text("c")), (7, text("d")), (7, text("e"))])
+
+
 def test_large_buckets_split_and_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
