@@ -6,6 +6,10 @@ letter and capital keeps its place and kind, and check digits are made right aga
 the value's own mixed-radix digits, keyed by the secret key, the kind and the shape of the value. It is one-to-one, so equal values stay equal in
 all documents and different ones stay different; ``restored`` undoes it with the key.
 
+A value beside other numbers or words is looked for at the token boundaries of the whole match: cards first in their usual groups, IBANs first at
+their country's length. Where the new digits would make the surroundings read otherwise, the value is permuted once more; there alone
+equal values may part.
+
 Values that do not validate are left alone. Null texts stay null with no values. Repeated rows get equal results. An empty table
 gives an empty result. Other columns are ignored.
 """
@@ -47,6 +51,24 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"),
 }
+#: Card numbers as they are usually written; other groupings are tried after these.
+CARDS = [
+    re.compile(rf"(?<!\d){form}(?!\d)") for form in (r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{6}\1\d{4,5}", r"\d{13,19}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}")
+]
+#: First digits of card numbers, asked for where only a part of a run of numbers is taken, in groups of three digits or more.
+ISSUERS = "23456"
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+        "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 "
+        "PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+TOKEN = re.compile(r"[A-Za-z0-9]+")
+#: Characters around a value that are read again once it has changed.
+AROUND = 96
+BESIDE = re.compile(r"[A-Z0-9]")
 MAY_HOLD = re.compile(r"[0-9@]")
 
 
@@ -113,16 +135,34 @@ class Permutation:
         return "".join(out)
 
 
+class _Unchanged(Permutation):
+    """Leaves every value as it is; for asking whether one is valid."""
+
+    def number(self, x: int, size: int, tweak: str, back: bool = False) -> int:
+        return x
+
+    def text(self, value: str, tweak: str, back: bool = False) -> str:
+        return value
+
+
+UNCHANGED = _Unchanged(b"")
+
+
 def _check_digit(digits: str) -> str:
     """The digit that makes a card number valid."""
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
     return str(-total % 10)
 
 
-def _card(p: Permutation, value: str, back: bool) -> str | None:
+def _card_valid(value: str) -> bool:
     digits = [c for c in value if c.isdigit()]
-    if _check_digit("".join(digits[:-1])) != digits[-1] or len(set(digits)) == 1:
+    return _check_digit("".join(digits[:-1])) == digits[-1] and len(set(digits)) > 1
+
+
+def _card(p: Permutation, value: str, back: bool) -> str | None:
+    if not _card_valid(value):
         return None
+    digits = [c for c in value if c.isdigit()]
     new = p.text("".join(digits[:-1]), "card", back)
     if len(set(new)) == 1 and _check_digit(new) == new[0]:  # such numbers are left alone, so none may become one
         new = p.text(new, "card", back)
@@ -134,10 +174,15 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
-def _iban(p: Permutation, value: str, back: bool) -> str | None:
+def _iban_valid(value: str) -> bool:
     plain = value.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1 or not 2 <= int(plain[2:4]) <= 98:
+    return 15 <= len(plain) <= 34 and _iban_rest(plain) == 1 and 2 <= int(plain[2:4]) <= 98
+
+
+def _iban(p: Permutation, value: str, back: bool) -> str | None:
+    if not _iban_valid(value):
         return None
+    plain = value.replace(" ", "")
     body = p.text(plain[4:], "iban" + plain[:2], back)
     check = 98 - _iban_rest(plain[:2] + "00" + body)
     fresh = iter(f"{plain[:2]}{check:02d}{body}")
@@ -172,8 +217,12 @@ def _date(p: Permutation, value: str, back: bool) -> str | None:
     return None
 
 
+def _phone_valid(value: str) -> bool:
+    return 8 <= sum(c.isdigit() for c in value) <= 15
+
+
 def _phone(p: Permutation, value: str, back: bool) -> str | None:
-    if not 8 <= sum(c.isdigit() for c in value) <= 15:
+    if not _phone_valid(value):
         return None
     code = re.match(r"\+\d{1,3}(?=\D)|\+\d|", value).group()
     return code + p.text(value[len(code) :], "phone" + code, back)
@@ -202,27 +251,93 @@ KINDS: dict[str, Callable[[Permutation, str, bool], str | None]] = {
 }
 
 
+VALID: dict[str, Callable[[str], bool]] = {"card": _card_valid, "iban": _iban_valid, "phone": _phone_valid}
+
+
+def _shorter(kind: str, text: str, m: re.Match) -> list[tuple[int, int]]:
+    """Where else than in the whole match a value may stand: at other token boundaries of it, the likeliest first."""
+    tokens = [(t.start() + m.start(), t.end() + m.start()) for t in TOKEN.finditer(m.group())]
+    if kind == "card":
+        places = [(a, b) for i, (a, x) in enumerate(tokens) for _, b in tokens[i:] if text[a] in ISSUERS and all(y - x >= 3 for x, y in tokens if a <= x < b)]
+        return sorted(places, key=lambda x: (-sum(c.isdigit() for c in text[slice(*x)]), x))
+    ends = [b for _, b in reversed(tokens)]
+    if kind == "iban":
+        ends.sort(key=lambda b: len(text[m.start() : b].replace(" ", "")) != IBAN_LENGTHS.get(text[m.start() : m.start() + 2]))
+    return [(m.start(), b) for b in ends]
+
+
+def _places(text: str) -> list[tuple[int, int, str]]:
+    """Where valid values stand; earlier kinds go first. A match that fails or meets another value is tried at its inner boundaries."""
+    found: list[tuple[int, int, str]] = []
+    cards: list[tuple[int, int]] | None = None
+    for kind, pattern in PATTERNS.items():
+        taken = sorted((a, b) for a, b, _ in found)
+
+        def fits(a: int, b: int) -> bool:
+            i = bisect.bisect(taken, (b, -1))
+            if i and taken[i - 1][1] > a:
+                return False
+            if kind == "phone" and any(x < b < y and a < x for x, y in cards or ()):  # a telephone number does not end in a card number
+                return False
+            return VALID[kind](text[a:b]) if kind in VALID else KINDS[kind](UNCHANGED, text[a:b], False) is not None
+
+        for usual in (*CARDS, pattern) if kind == "card" else (pattern,):
+            at = 0
+            while m := usual.search(text, at):
+                if kind == "phone" and cards is None:
+                    starts = [x.start() for x in TOKEN.finditer(text) if x[0].isdigit()]
+                    cards = [x.span() for a in starts for x in (p.match(text, a) for p in CARDS) if x and _card_valid(x.group())]
+                hit = m.span() if kind != "iban" and fits(*m.span()) else None
+                at = m.end()
+                if hit is None and kind in VALID:
+                    if usual is pattern:
+                        hit = next((x for x in _shorter(kind, text, m) if usual.fullmatch(text, *x) and fits(*x)), None)
+                    at = hit[1] if hit else TOKEN.search(text, m.start()).end()
+                if hit:
+                    found.append((*hit, kind))
+                    bisect.insort(taken, hit)
+    return sorted(found)
+
+
 def replaced(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[str, int], list[tuple[str, int, int]]]:
-    """The text with its values permuted, how many of each kind, and where they stood; earlier kinds go first."""
+    """The text with its values permuted, how many of each kind, and where they stood."""
     if not MAY_HOLD.search(text):
         return text, {}, []
-    found: list[tuple[int, int, str, str]] = []
-    for kind, pattern in PATTERNS.items():
-        taken = sorted((a, b) for a, b, _, _ in found)
-        for m in pattern.finditer(text):
-            i = bisect.bisect(taken, (m.end(), -1))
-            if i and taken[i - 1][1] > m.start():
-                continue
-            new = KINDS[kind](p, m.group(), back)
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
-    found.sort()
-    out, at, counts = [], 0, {}
-    for start, end, kind, new in found:
-        out += [text[at:start], new]
-        at = end
+    places, counts = _places(text), {}
+    for _, _, kind in places:
         counts[kind] = counts.get(kind, 0) + 1
-    return "".join([*out, text[at:]]), counts, [(kind, start, end) for start, end, kind, _ in found]
+    chained = [x for x in places if x[2] in VALID]
+    if back:
+        for place in reversed(chained):
+            text = _walked(text, place, p, back)
+    out, at, moved, ends = [], 0, {}, 0
+    for a, b, kind in places:
+        new = text[a:b] if kind in VALID else KINDS[kind](p, text[a:b], back)
+        moved[a, b, kind] = a + ends
+        ends += len(new) - (b - a)
+        out += [text[at:a], new]
+        at = b
+    text = "".join([*out, text[at:]])
+    if not back:
+        for a, b, kind in chained:
+            start = moved[a, b, kind]
+            text = _walked(text, (start, start + b - a, kind), p, back)
+    return text, counts, [(kind, a, b) for a, b, kind in places]
+
+
+def _walked(text: str, place: tuple[int, int, str], p: Permutation, back: bool) -> str:
+    """One value permuted in its text; permuted again while the new digits would make its surroundings read otherwise, so that it can be undone."""
+    a, b, kind = place
+    before, value, after = text[max(a - AROUND, 0) : a], text[a:b], text[b : b + AROUND]
+    as_read = None
+    while True:
+        value = KINDS[kind](p, value, back)
+        if not BESIDE.search(before[-3:] + after[:3]):
+            break
+        as_read = as_read or _places(before + text[a:b] + after)
+        if _places(before + value + after) == as_read:
+            break
+    return text[:a] + value + text[b:]
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:

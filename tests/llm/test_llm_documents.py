@@ -434,6 +434,39 @@ def test_telephone_numbers():
         assert feistel.replaced(text, p)[1] == {}
 
 
+CARD = "4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        *((t.replace("#", v), v, "card") for v in (CARD, CARD.replace(" ", "")) for t in (
+            "# 123", "# 12/27", "# 97.51.17.173", "97.51.17.173 #", "Order 12 #", "# 1984-02-29", "1234 12 # 5", "+1 (017) 555-7713 #", "12 # OK",
+        )),
+        ("12 41111111 11111111 word", "41111111 11111111", "card"), ("3782 822463 10005 12", "3782 822463 10005", "card"),
+        ("BE68 5390 0754 7034 BIC", "BE68 5390 0754 7034", "iban"), ("AT611904300234573201 EUR", "AT611904300234573201", "iban"),
+        ("AB12 DE89 3704 0044 0532 0130 00 OK", "DE89 3704 0044 0532 0130 00", "iban"), ("+44 20 7946 0958 97.51.17.173", "+44 20 7946 0958", "phone"),
+    ],
+)
+def test_values_beside_others(text, value, kind):
+    p = feistel.Permutation(b"key")
+    new, counts, spans = feistel.replaced(text, p)
+    at = text.index(value)
+    assert value not in new and counts[kind] == 1 and (kind, at, at + len(value)) in spans
+    assert feistel.replaced(new, p, back=True)[0] == text
+
+
+def test_values_beside_others_come_back():
+    p, rng = feistel.Permutation(b"key"), np.random.default_rng(3)
+    beside = ["", "12", "123", "1234", "97.51.17.173", "1984-02-29", "word", "EUR", "+44 20 7946 0958", "BE68 5390 0754 7034"]
+    for _ in range(300):
+        digits = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        card = digits + feistel._check_digit(digits)
+        text = " ".join(x for _ in range(2) for x in (rng.choice(beside), card, rng.choice(beside)))
+        new = feistel.replaced(text, p)[0]
+        assert card not in new and feistel.replaced(new, p, back=True)[0] == text
+
+
 # toxicity
 
 
