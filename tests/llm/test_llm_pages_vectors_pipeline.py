@@ -62,6 +62,22 @@ def test_lines(page, want):
     assert [x for x, m in zip(lines, marks, strict=True) if m] == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='site has-sidebar'>{}<div class=sidebar>no</div></div>", "<div class='layout no-sidebar'>{}</div><div class='site-footer'>no</div>",
+        "<article class='post comments-open'>{}<div class='comments-area'>no</div></article>", "<main id='search-results'>{}</main>",
+        "<div class='menu-wrapper'><div>x</div><main>{}</main></div>", "<div id=page-widget><script>'<article>'</script><article>{}</article></div>",
+        "<div class='content-with-sidebar'>{}</div><div class='related-posts'>no<article class=comment>no</article></div>",
+        "<div class='cookie-notice'>no</div><div class='widget-page'><article>{}</article></div><div class='related-posts'><article>no</article></div>",
+        "<article class='share-post'>{}<div class='related-posts'><article>no</article></div></article>",
+    ],
+)
+def test_wrappers_of_the_text_stay(page):
+    lines, marks = page_text.lines_of(page.format("<p>The story.</p>"))
+    assert "The story." in lines and "no" not in lines and ("<main" in page or "<article>" not in page or any(marks))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_longest_common_lines(seed):
     rng = np.random.default_rng(seed)
