@@ -46,6 +46,19 @@ def test_nearest_pages_are_differenced(spark):
     assert page_text.main_text(docs.limit(0)).count() == 0
 
 
+def test_short_articles_in_a_large_frame(spark):
+    menu = "".join(f"<div>Menu entry number {i}</div>" for i in range(40))
+    frame = menu + "<div>{}</div>" + "<div>All rights kept</div>" * 5
+    rows = [
+        (1, "http://h.org/a/1", frame.format("A short story of one line.")), (2, "http://h.org/a/2", frame.format("Another short story.")),
+        (3, "http://s.org/a/1", frame.format("Only this page has a text.")), (4, "http://s.org/a/2", frame.format("")),
+        (5, "http://c.org/a/1", frame.format("Seen twice.") + "1"), (6, "http://c.org/a/2", frame.format("Seen twice.") + "2"),
+    ]
+    got = {r.page_id: r.text for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "A short story of one line." and got[2] == "Another short story." and got[3] == "Only this page has a text." and got[4] == ""
+    assert all("Seen twice." in got[i] and "Menu entry number 3" in got[i] for i in (5, 6))  # near copies
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
