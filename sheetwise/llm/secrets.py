@@ -32,6 +32,25 @@ MANY_OWNERS, MANY_REPOS = 4, 8
 #: A live-looking string has at least this many different characters, and both digits and letters.
 LEAST_VARIETY = 10
 
+#: Overwriting asks for more: beside UUIDs, some part between / + _ - of at least this length changes between small letters, capitals and
+#: digits at least so often, and at every so many characters (a capital that opens a word is no change after it); or all parts
+#: together do, more densely or without a word's run of small letters. Words, paths, dates and identifiers do not.
+UUID = r"(?i)(?<![0-9a-f])[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-f])"
+CHANGE = r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]"
+LEAST_PART, LEAST_CHANGES, EVERY, MANY_CHANGES, DENSE = 10, 4, 5, 8, 2
+
+
+def _drawn(value: Column) -> Column:
+    """Whether a string shows signs of having been drawn at random, not only variety."""
+    rest = F.regexp_replace(value, UUID, "-")
+    changes = lambda x: F.regexp_count(x, F.lit(CHANGE))
+    part = F.exists(
+        F.split(rest, "[/+_-]+"),
+        lambda x: (F.length(x) >= LEAST_PART) & (changes(x) >= LEAST_CHANGES) & (changes(x) * EVERY >= F.length(x) - 1),
+    )
+    dense = (changes(rest) * DENSE >= F.length(rest)) | (changes(rest) * EVERY >= F.length(rest)) & ~rest.rlike("[a-z]{5}")
+    return part | (changes(rest) >= MANY_CHANGES) & dense
+
 
 def _may_hold(text: Column, kind: int) -> Column:
     """Cheap and never wrong when it says no."""
@@ -62,14 +81,19 @@ def _candidates(docs: DataFrame, *keep: Column) -> DataFrame:
     return docs.select(*keep, F.concat(*[_found(text, k) for k in range(len(KINDS))]).alias("found"))
 
 
-def _spans(found: DataFrame, key: str) -> DataFrame:
-    """One row per candidate: where it stands in its text (code points, end exclusive) and its hash. The value itself is not kept."""
+def _spans(found: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """One row per candidate: where it stands in its text (code points, end exclusive) and its hash. The value itself is not kept.
+
+    ``strict`` asks live strings for signs of randomness as well.
+    """
     each = found.select(key, F.explode("found").alias("c")).select(key, "c.*")
     so_far = Window.partitionBy(key, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(so_far))
     least = F.get(F.array(*[F.lit(k[3]) for k in KINDS]), F.col("kind"))
     letters = F.array_remove(F.array_distinct(F.split("value", "")), "")
     live = (F.size(letters) >= LEAST_VARIETY) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    if strict:
+        live &= _drawn(F.col("value"))
     return placed.where(F.length("value") >= least).select(
         key, "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.sha2("value", 256).alias("hash"), live.alias("random")
     )
@@ -130,6 +154,8 @@ def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -
 def masked(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
     """``docs`` with every secret overwritten: ``[secret]``, or ``[example secret]`` for a widely copied one.
 
+    Wide candidates are overwritten only with signs of randomness, so that paths, UUIDs and hyphenated words stay; ``secret_spans`` lists all.
+
     Only texts with a candidate are joined with their spans; equal texts share one list of them.
     """
     rows = docs.select(F.struct("*").alias("row"))
@@ -137,7 +163,7 @@ def masked(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> Data
     some = _may_hold(text, 0) | _may_hold(text, 1) | _may_hold(text, 2) | _may_hold(text, 3)
     found = _candidates(docs, text_key(F.col("text")).alias("tkey"), F.col(owner).alias("owner"), F.col(repo).alias("repo"))
     found = written(found.where(F.size("found") > 0), "secret-candidates")
-    spans = _spans(found.groupBy("tkey").agg(F.first("found").alias("found")), "tkey")
+    spans = _spans(found.groupBy("tkey").agg(F.first("found").alias("found")), "tkey", strict=True)
     spans = written(spans, "secret-spans")
     holders = spans.select("tkey", "hash").distinct().join(found.select("tkey", "owner", "repo"), "tkey")
     judged = _judged(spans, ownership(holders), "tkey")

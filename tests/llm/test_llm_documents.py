@@ -240,6 +240,19 @@ def test_masked_text(spark, nothing, awkward):
     assert secrets.masked(nothing).count() == 0
 
 
+def test_masking_leaves_ordinary_text(spark):
+    ordinary = [
+        "see https://example.org/articles/2021/05/how-to-plant-trees today", "id 123e4567-e89b-12d3-a456-426614174000 and files/3F2B8C1E-0a1b-4c2d-8e9f-0123456789ab/x",
+        "the covid-19-vaccination-programme of 2021", "in src/main/java/org/example/MyClass2Test and /usr/lib/python3/dist-packages/html5lib",
+        "call getHTTPResponseCode200FromServer or max_number_of_retries_2_default", "at 20210512T103000Z-backup-of-site", "x86_64-unknown-linux-gnu-utf8",
+    ]
+    drawn = ["Zx81kQ9vLw27TbNc64Hd", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "k3v9x0q2m8z1t7b4n6c5", "A1B2-C3D4-E5F6-G7H8-J9K0"]
+    rows = [(i, t, "a") for i, t in enumerate([*ordinary, *(f"see {x} there" for x in drawn)])]
+    out = {r.doc_id: r.text for r in secrets.masked(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [out[i] for i in range(len(ordinary))] == ordinary
+    assert {out[i] for i in range(len(ordinary), len(rows))} == {"see [secret] there"}
+
+
 # the Jaccard join
 
 
