@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetwise.llm import feistel, inner_products, jaccard_join, mixing, packing, page_text, quality, repeats, secrets, toxicity
+from sheetwise.llm import feistel, inner_products, jaccard_join, mixing, packing, page_text, quality, repeats, secrets, spelling, toxicity
 from sheetwise.llm.common import table
 from sheetwise.llm.sql import SQL  # noqa: F401  what __spark_entry__ hands on
 
@@ -21,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_packing": lambda spark, sf: packing.packed(table(spark, sf, "documents")),
     "op9_naive_bayes_ngrams": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_secret_ownership": lambda spark, sf: secrets.secret_spans(table(spark, sf, "documents")),
+    "op11_trie_pair_variants": lambda spark, sf: spelling.spelling_variants(table(spark, sf, "documents")),
 }
