@@ -219,9 +219,9 @@ ranked AS (
 forms AS MATERIALIZED (
   SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
   FROM words w LEFT JOIN ranked ON w.word = ranked.word AND r = 1),
-chain(word, at, next) AS (
+chain(word, here, next) AS (
   SELECT word, word, form FROM forms UNION ALL SELECT chain.word, chain.next, forms.form FROM chain JOIN forms ON chain.next = forms.word)
-SELECT forms.word, forms.form, chain.at AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+SELECT forms.word, forms.form, chain.here AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n
 FROM forms JOIN chain ON forms.word = chain.word AND chain.next IS NULL
 """
 
@@ -252,4 +252,5 @@ SQL: dict[str, str] = {
     "op6_fair_queue_mix": OP6,
     "op10_secret_ownership": _op10(),
     "op11_trie_pair_variants": OP11,
+    "op13_anchor_tree_negatives": OP13,
 }
