@@ -256,7 +256,7 @@ def trained_round(docs: DataFrame, model: Model) -> Model:
             row = [[block], [moved.astype(np.float32).tobytes()], [touched.tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["block", "moved", "touched"])
 
-    schema = "block int, moved binary, touched binary"
+    schema = "block long, moved binary, touched binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     moved = docs.select("text").coalesce(TASKS).mapInArrow(work, schema).repartition(parts, "block").mapInArrow(add, schema)
     for row in moved.collect():  # the model's size

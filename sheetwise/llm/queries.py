@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import feistel, hard_negatives, inner_products, jaccard_join, mixing, packing, page_text, quality, repeats, secrets, spelling, toxicity
+from sheetwise.llm import feistel, hard_negatives, inner_products, jaccard_join, maxent, mixing, packing, page_text, quality, repeats, secrets, spelling, toxicity
 from sheetwise.llm.common import table
 from sheetwise.llm.sql import SQL  # noqa: F401  what __spark_entry__ hands on
 
@@ -30,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_naive_bayes_ngrams": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_secret_ownership": lambda spark, sf: secrets.secret_spans(table(spark, sf, "documents")),
     "op11_trie_pair_variants": lambda spark, sf: spelling.spelling_variants(table(spark, sf, "documents")),
+    "op12_hashed_maxent_scores": lambda spark, sf: maxent.language_scores(table(spark, sf, "documents")),
     "op13_anchor_tree_negatives": lambda spark, sf: hard_negatives.hard_negatives(_moved_labels(table(spark, sf, "embeddings"))),
 }
