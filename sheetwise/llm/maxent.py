@@ -36,8 +36,8 @@ CLASSES = HEAD // WIDTH + ENDINGS
 #: Rows of each weight table, and tokens whose counts every task holds.
 ROWS, TABLE = 1 << 15, 1 << 20
 ROUNDS, BATCH, PACE = 2, 8192, 0.35
-#: Training tasks at most; each sends its share of changed weights.
-TASKS = 4096
+#: Training tasks at most, and the tokens of one at least; each sends its share of changed weights.
+TASKS, SHARE = 4096, 1 << 22
 END = U64(0xE4D0F7E4)
 EDGE = HEAD + ENDINGS  # stands before a text
 SPREAD = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -224,8 +224,8 @@ def train_on(model: Model, state: tuple, texts: list[str | None]) -> None:
 BLOCK = 1024
 
 
-def trained_round(docs: DataFrame, model: Model) -> Model:
-    """``model`` after one round over ``docs``."""
+def trained_round(docs: DataFrame, model: Model, tasks: int) -> Model:
+    """``model`` after one round over ``docs``, in ``tasks`` tasks at most."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # of fixed size
 
@@ -258,7 +258,7 @@ def trained_round(docs: DataFrame, model: Model) -> Model:
 
     schema = "block long, moved binary, touched binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moved = docs.select("text").coalesce(TASKS).mapInArrow(work, schema).repartition(parts, "block").mapInArrow(add, schema)
+    moved = docs.select("text").coalesce(tasks).mapInArrow(work, schema).repartition(parts, "block").mapInArrow(add, schema)
     for row in moved.collect():  # the model's size
         k, block = divmod(row["block"], ROWS // BLOCK)
         part = slice(block * BLOCK, (block + 1) * BLOCK)
@@ -274,8 +274,9 @@ def train(docs: DataFrame, counts: DataFrame, frequent: pa.Table, rounds: int =
     token, n, kind = (frequent[c].to_numpy() for c in ("token", "n", "kind"))
     head = np.lexsort((token, -n))[:HEAD]
     model = Model(token.view(U64)[head], n[head], kind[head], sums)
+    tasks = max(1, min(TASKS, sum(x for x, _ in sums.values()) // rounds // SHARE))
     for k in range(rounds):
-        model = trained_round(docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), model)
+        model = trained_round(docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), model, tasks)
     return model
 
 
