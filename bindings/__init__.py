@@ -41,4 +41,4 @@ def load_all() -> None:
         importlib.import_module(f"bindings.{module}")
 
 
-MODULES = ("intake", "candidates", "outlines", "stats", "scoring", "training", "sessions", "streams")
+MODULES = ("intake", "candidates", "outlines", "stats", "scoring", "training", "sessions", "streams", "scenes")

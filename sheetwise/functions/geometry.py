@@ -218,3 +218,45 @@ def project(m: Sequence[Column], x: Column, y: Column) -> Column:
     """Apply a projective map and divide."""
     w = m[6] * x + m[7] * y + m[8]
     return point(F.try_divide(m[0] * x + m[1] * y + m[2], w), F.try_divide(m[3] * x + m[4] * y + m[5], w))
+
+
+def flat_corners(quad: Column) -> Column:
+    """The corners as one struct of numbers ``x0, y0, .. y3``; later terms read it without looking into the array again."""
+    return F.struct(*[F.get(quad, F.lit(k))[a].alias(f"{a}{k}") for k in range(4) for a in "xy"])
+
+
+def quad_terms(flat: Column) -> Column:
+    """What :func:`quad_depth` needs of flat corners, as one struct of numbers: start and step of each side, and which way it turns."""
+    fields, twice = [], F.lit(0.0)
+    for i in range(4):
+        j = (i + 1) % 4
+        dx, dy = flat[f"x{j}"] - flat[f"x{i}"], flat[f"y{j}"] - flat[f"y{i}"]
+        fields += [flat[f"x{i}"].alias(f"x{i}"), flat[f"y{i}"].alias(f"y{i}"), dx.alias(f"dx{i}"), dy.alias(f"dy{i}"), (1 / (dx * dx + dy * dy + 1e-9)).alias(f"per{i}")]
+        twice = twice + flat[f"x{i}"] * flat[f"y{j}"] - flat[f"x{j}"] * flat[f"y{i}"]
+    return F.struct(*fields, F.when(twice < 0, -1.0).otherwise(1.0).alias("way"))
+
+
+def side_offset(x: Column, y: Column, terms: Column, i: int) -> Column:
+    """Squared distance of a point from a side, and on which side of it the point lies (positive is inside)."""
+    px, py, dx, dy = x - terms[f"x{i}"], y - terms[f"y{i}"], terms[f"dx{i}"], terms[f"dy{i}"]
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) * terms[f"per{i}"]))
+    ex, ey = px - dx * t, py - dy * t
+    return F.struct((ex * ex + ey * ey).alias("square"), ((dx * py - dy * px) * terms["way"]).alias("turn"))
+
+
+def quad_depth(offsets: list[Column]) -> Column:
+    """How deep a point lies in a convex quad, from its offsets: its distance from the outline, negative outside."""
+    return F.sqrt(F.least(*[o["square"] for o in offsets])) * F.when(F.least(*[o["turn"] for o in offsets]) >= 0, 1.0).otherwise(-1.0)
+
+
+def side_frames(terms: Column) -> Column:
+    """The four sides of a quad, from its terms: number, ends, length, unit vector along and unit vector away from the middle."""
+    sides = []
+    for i in range(4):
+        x, y, dx, dy = terms[f"x{i}"], terms[f"y{i}"], terms[f"dx{i}"], terms[f"dy{i}"]
+        size = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-9))
+        sides.append(F.struct(
+            F.lit(i).alias("side"), point(x, y).alias("a"), point(x + dx, y + dy).alias("b"), size.alias("size"), (dx / size).alias("ux"), (dy / size).alias("uy"),
+            (terms["way"] * dy / size).alias("nx"), (-terms["way"] * dx / size).alias("ny"),
+        ))
+    return F.array(*sides)

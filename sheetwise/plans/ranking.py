@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.operators.candidates import argmax_pick, best_rows, close_rivals, gate, grow_to_whole
-from sheetwise.operators.ordered import HOT_ROWS, first_of_group, group_size, ordered, position
+from sheetwise.operators.evidence import PAIR, Frame, appearance, grow_by_evidence, pair_evidence
+from sheetwise.operators.ordered import HOT_ROWS, computed_once, first_of_group, group_size, ordered, position
+from sheetwise.operators.outlines import quad_overlap
 from sheetwise.operators.scoring import summary
 from sheetwise.operators.training import FEATURES, predict_overlap
+from sheetwise.session import settle
 
 Relation = Callable[[Column, Column], Column]
 MEASURED = (
@@ -34,11 +37,13 @@ def candidate_features(
     extra_paper: Relation = never,
     photo: str = "photo_id",
     hot_rows: int | None = HOT_ROWS,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``features``: the 35 numbers of every candidate, as 32-bit floats in the fixed order.
 
     ``cands`` holds ``photo, cand_idx, score, area, source``, the ``shape`` columns and the ``MEASURED``
-    ones. The relations compare the photo's top candidate with another as structs of ``area`` and shape.
+    ones. The relations compare the photo's top candidate with another as structs of ``area`` and shape. ``rules`` holds
+    each photo's rule-based pick (``photo, cand_idx``), if it is known already.
     """
     own = F.struct(F.col("area"), *[F.col(c) for c in shape])
     ranked = ordered(
@@ -46,7 +51,9 @@ def candidate_features(
         {"_pos": position(), "_n": group_size(), "_top": first_of_group(F.struct("cand_idx", "score", "area", *shape))}, hot_rows,
     )
     rivals = close_rivals(cands.select(photo, "cand_idx", "score", "area"), photo, hot_rows=hot_rows)
-    rules = grow_to_whole(cands, overlap, accept, shape, photo).select(photo, F.col("cand_idx").alias("_rule"))
+    if rules is None:
+        rules = grow_to_whole(cands, overlap, accept, shape, photo)
+    rules = rules.select(photo, F.col("cand_idx").alias("_rule"))
     joined = ranked.join(rivals, [photo, "cand_idx"]).join(rules, photo)
     top = F.col("_top")
     one = F.lit(1.0)
@@ -74,6 +81,54 @@ def candidate_features(
     return joined.withColumn("features", vector).select(*cands.columns, "features")
 
 
+EVIDENCE = ("_corners_on", "_print_inside", "_extra_paper", "_overlap")
+
+
+def features_from_samples(
+    cands: DataFrame, samples: DataFrame, frame: Frame, corners: str = "corners", hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
+    """``cands`` with their ``features``, appearance and acceptance measured on the photos' samples.
+
+    ``cands`` holds ``photo, cand_idx, score, area, source``, the outline and the ``MEASURED`` columns that are not appearance.
+    """
+    photo, columns = frame.photo, cands.columns
+    cands = settle(cands, "cands")
+    picks = settle(grow_by_evidence(cands, samples, frame, corners), "picks")
+    ranked = ordered(
+        cands, [photo], [-F.col("score"), "cand_idx"], {"_top": first_of_group(F.struct("cand_idx", "area", corners))}, hot_rows
+    )
+    pairs = ranked.select(
+        photo, F.col("_top.cand_idx").alias("pick_idx"), "cand_idx", F.col(f"_top.{corners}").alias("inner"), F.col(corners).alias("outer"),
+        ((F.col("cand_idx") != F.col("_top.cand_idx")) & (F.col("area") > 1.05 * F.col("_top.area"))).alias("_grows"),
+    )
+    lapped = computed_once(quad_overlap(settle(pairs, "tops"), "inner", "outer"), _overlap=F.col("overlap"))
+    pairs = settle(lapped.select(photo, *PAIR, "inner", "outer", "_grows", "_overlap"), "pairs")
+    judged = pair_evidence(pairs.filter("_grows"), samples, frame)
+    judged = judged.select(photo, "cand_idx", *[F.col(n[1:]).alias(n) for n in EVIDENCE[:3]])
+    known = settle(pairs.select(photo, "cand_idx", "_overlap").join(judged, [photo, "cand_idx"], "left"), "known")
+    full = cands.join(appearance(cands, samples, frame, corners), [photo, "cand_idx"]).join(known, [photo, "cand_idx"])
+    flag = {n: (lambda top, own, n=n: F.coalesce(n, F.lit(False))) for n in EVIDENCE[:3]}
+    out = candidate_features(
+        settle(full, "measured"), F.lit(frame.width * frame.height), [corners, *EVIDENCE], lambda top, own: own["_overlap"], never,
+        flag["_corners_on"], flag["_print_inside"], flag["_extra_paper"], photo, hot_rows, picks,
+    )
+    return out.select(*columns, "features")
+
+
+def rank_pages_by_evidence(
+    cands: DataFrame, samples: DataFrame, frame: Frame, nodes: DataFrame | None, bias: float = 0.0, rate: float = 0.05, corners: str = "corners"
+) -> DataFrame:
+    """The picked page of each photo with ``accepted`` and ``confident``, from candidates and samples.
+
+    With a tree table the features are measured and the best prediction is gated. Without one the growing rules pick.
+    """
+    if nodes is None:
+        return gate(grow_by_evidence(cands, samples, frame, corners))
+    measured = features_from_samples(cands, samples, frame, corners)
+    predicted = predict_overlap(measured, nodes, "features", "_pred", bias, rate)
+    return gate(argmax_pick(predicted, "_pred", frame.photo).drop("_pred"))
+
+
 def rank_pages(
     cands: DataFrame, nodes: DataFrame | None, shape: Sequence[str], overlap: Relation, accept: Relation, photo: str = "photo_id",
     bias: float = 0.0, rate: float = 0.05, features: str = "features",
