@@ -278,7 +278,8 @@ def _features_sql() -> str:
 # pairs of the top and any larger candidate are judged as well as those that may grow
 _FEATURES = _features_sql().replace(
     "b.score >= top_score - 0.1::DOUBLE AND b.area >= 1.12::DOUBLE * a.area", "(b.score >= top_score - 0.1::DOUBLE AND b.area >= 1.12::DOUBLE * a.area) OR (a.cand_idx = pick_idx AND b.area > 1.05::DOUBLE * a.area)"
-).replace("WHERE accepted AND", "JOIN tops ON tops.photo_id = pr.photo_id JOIN sc b ON b.photo_id = pr.photo_id AND b.cand_idx = pr.o WHERE b.score >= top_score - 0.1::DOUBLE AND b.area >= 1.12::DOUBLE * " + area("pr.") + " AND accepted AND")
+).replace("WHERE accepted AND", """WHERE (judged.photo_id, judged.i, judged.o) IN (SELECT (u.photo_id, u.cand_idx, v.cand_idx) FROM sc u JOIN sc v ON u.photo_id = v.photo_id JOIN tops ON tops.photo_id = u.photo_id
+    WHERE v.score >= top_score - 0.1::DOUBLE AND v.area >= 1.12::DOUBLE * u.area) AND accepted AND""")
 
 
 @query("win03_features_from_samples", _FEATURES)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetwise.functions import geometry as g
 from sheetwise.functions.names import extension, sanitize_desktop, stem
@@ -160,30 +162,63 @@ def assign_unique_names(
 
     ``taken`` lists the names that exist or are reserved. The r-th free number of a name is r plus the
     taken numbers below it, a running count, so a name wanted a million times is one ordered pass. A
-    wanted name may itself be a numbered form of another one; where both claim a name the earlier row
-    keeps it, and the family of names is numbered again with that name taken, earliest claim first, until no name
-    is claimed twice. Every round blocks slots that were free before, and a family has finitely many below 10000.
-    From number 10000 on the row gets ``stem-<id>.ext``.
+    wanted name may itself be a numbered form of another one; then the earlier row keeps it. Names form a forest by their numbers, and
+    a name is contended by its own first row and the rows of its parent only, so the names of one depth are settled at once, from the
+    outermost in: as many rounds as there are depths, however many names collide. From number 10000 on the row gets ``stem-<id>.ext``.
     """
     parsed = _numbered(taken.select(F.col(name).alias("_n")).distinct(), "_n")
     wanted = batch.withColumn("_wanted", F.col(name))
     ranked = ordered(wanted, ["_wanted"], [order], {"_rank": position()}, hot_rows).withColumn("_rank", F.col("_rank") - 1)
-    nested = _may_nest(batch, name)
-    round_no = -1
-    while True:
-        round_no += 1
-        numbered = _free_numbers(ranked, parsed, order, hot_rows)
-        named = numbered.withColumn(out, _with_number(F.col("_wanted"), F.col("_number"), F.col(order)))
-        if round_no == 0 and not nested:
-            break
-        if round_no == 0:
-            ranked = settle(ranked, "names")
-        lost = _earliest_losers(named, order, out)
-        lost = settle(lost, "claims")
-        if lost.isEmpty():
-            break
-        parsed = settle(parsed.unionByName(lost), "taken")
-    return named.drop("_wanted", "_rank", "_number")
+
+    def named(rows: DataFrame, blocked: DataFrame) -> DataFrame:
+        numbered = _free_numbers(rows, blocked, order, hot_rows)
+        return numbered.withColumn(out, _with_number(F.col("_wanted"), F.col("_number"), F.col(order)))
+
+    if not _may_nest(batch, name):
+        return named(ranked, parsed).drop("_wanted", "_rank", "_number")
+    ranked = settle(computed_once(ranked, _depth=_depth(F.col("_wanted"))), "names")
+    firsts = ranked.groupBy("_wanted").agg(F.min(order).alias(order))
+    marks = settle(firsts.select(order, F.inline(_slots(F.col("_wanted")))).filter(F.col("_slot") > 0), "firsts")
+    done, parsed = None, settle(parsed, "taken")
+    for row in ranked.select("_depth").distinct().orderBy("_depth").collect():  # a row for each depth of numbers in one name
+        rows = ranked.filter(F.col("_depth") == row["_depth"])
+        own = rows.select("_wanted").distinct()
+        blocked = parsed.join(own, "_wanted", "left_semi")
+        if done is not None:
+            above = done.select(F.col(out).alias("_wanted"), F.lit(0).cast("long").alias("_slot"))
+            blocked = blocked.unionByName(above.join(own, "_wanted", "left_semi")).distinct()
+        level = settle(named(rows, _passed_over(rows, marks.join(own, "_wanted", "left_semi"), blocked, order, hot_rows)), "level")
+        done = level if done is None else done.unionByName(level)
+    return done.drop("_wanted", "_rank", "_number", "_depth")
+
+
+def _passed_over(rows: DataFrame, marks: DataFrame, blocked: DataFrame, order: str, hot_rows: int | None) -> DataFrame:
+    """``_wanted, _slot``: the numbers that no row of a name gets: taken ones, and those whose own first row comes before the row whose turn it is.
+
+    A name has fewer than ``MAX_SUFFIX`` numbers, so its list is bounded.
+    """
+    waiting = rows.select("_wanted", order, F.lit(None).cast("long").alias("_slot"), F.lit(1).alias("_row"))
+    both = waiting.unionByName(marks.select("_wanted", order, "_slot", F.lit(0).alias("_row")))
+    counted = ordered(both, ["_wanted"], [order, "_row"], {"_before": running_sum(F.col("_row"))}, hot_rows).filter(F.col("_row") == 0)
+    slots = counted.select("_wanted", "_slot", F.col("_before").cast("long").alias("_before"))
+    slots = slots.unionByName(blocked.select("_wanted", "_slot", F.lit(-1).cast("long").alias("_before")))
+    slots = slots.groupBy("_wanted", "_slot").agg(F.min("_before").alias("_before"))
+    listed = slots.groupBy("_wanted").agg(F.sort_array(F.collect_list(F.struct("_slot", "_before"))).alias("_s"))
+    return listed.select("_wanted", F.explode(_swept("_s._slot", "_s._before")).alias("_slot"))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _swept(slots: pd.Series, before: pd.Series) -> pd.Series:
+    """Of each name's contended numbers, in order, those passed over; ``before`` counts the name's rows ahead of the number's own first row."""
+
+    def passed(own: Iterable[int], ahead: Iterable[int]) -> list[int]:
+        out: list[int] = []
+        for slot, rows in zip(own, ahead, strict=True):
+            if slot - len(out) >= rows:  # the row whose turn it is comes later
+                out.append(int(slot))
+        return out
+
+    return pd.Series([passed(a, b) for a, b in zip(slots, before, strict=True)])
 
 
 _SUFFIX = r"^(.*) \(([1-9][0-9]{0,3})\)$"
@@ -194,14 +229,23 @@ def _may_nest(batch: DataFrame, name: str) -> bool:
     return not batch.filter(stem(F.col(name)).rlike(_SUFFIX)).limit(1).isEmpty()
 
 
-def _numbered(names: DataFrame, col: str) -> DataFrame:
-    """``_wanted, _slot``: each name blocks number 0 of itself, and number n of the name it is the n-th form of."""
-    n, s = F.col(col), stem(F.col(col))
+def _slots(n: Column) -> Column:
+    """The numbers a name blocks: 0 of itself, and n of the name it is the n-th form of."""
+    s = stem(n)
     own = F.struct(n.alias("_wanted"), F.lit(0).cast("long").alias("_slot"))
     number = F.nullif(F.regexp_extract(s, _SUFFIX, 2), F.lit("")).cast("long")
     form = F.struct(F.concat(F.regexp_extract(s, _SUFFIX, 1), extension(n)).alias("_wanted"), number.alias("_slot"))
-    slots = F.when(s.rlike(_SUFFIX), F.array(own, form)).otherwise(F.array(own))
-    return names.select(F.inline_outer(slots)).distinct()
+    return F.when(s.rlike(_SUFFIX), F.array(own, form)).otherwise(F.array(own))
+
+
+def _depth(n: Column) -> Column:
+    """How many numbers stand one after the other at the end of the stem."""
+    return F.regexp_count(F.regexp_extract(stem(n), r"(?: \([1-9][0-9]{0,3}\))+$", 0), F.lit(r"\("))
+
+
+def _numbered(names: DataFrame, col: str) -> DataFrame:
+    """``_wanted, _slot``: what each name blocks."""
+    return names.select(F.inline_outer(_slots(F.col(col)))).distinct()
 
 
 def _free_numbers(ranked: DataFrame, parsed: DataFrame, order: str, hot_rows: int | None) -> DataFrame:
@@ -219,18 +263,6 @@ def _with_number(name: Column, number: Column, row: Column) -> Column:
     return F.when(number == 0, name).when(number < MAX_SUFFIX, numbered).otherwise(unique)
 
 
-def _earliest_losers(named: DataFrame, order: str, out: str) -> DataFrame:
-    """Per family of names the first row that claims a name another row took before, as a newly blocked slot."""
-    root = F.regexp_replace(stem(F.col("_wanted")), r"( \([1-9][0-9]{0,3}\))+$", "")
-    claims = named.groupBy(out).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"),
-        F.max_by(F.struct(F.col(order).alias("o"), "_wanted", "_number"), order).alias("_last"),
-    ).filter(F.col("_n") > 1)
-    flat = claims.select("_last.*").withColumn("_root", F.concat(root, extension(F.col("_wanted"))))
-    first = flat.groupBy("_root").agg(F.min_by(F.struct("_wanted", "_number"), "o").alias("l"))
-    return first.select(F.col("l._wanted").alias("_wanted"), F.col("l._number").alias("_slot"))
-
-
 def rename_plan(
     renames: DataFrame, existing: DataFrame, old: str = "old", typed: str = "typed", order: str = "order",
     hot_rows: int | None = HOT_ROWS,
