@@ -38,9 +38,27 @@ OTHER = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ"
 PLACE = {c: (alphabet, i) for alphabet in (DIGITS, SMALL, LARGE, OTHER) for i, c in enumerate(alphabet)}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+class MailPattern:
+    """Mail addresses, read outwards from each ``@``: a long word without one costs nothing, and one before it is read once."""
+
+    INSIDE, NAMED, WHOLE = re.compile(r"[\w.+-]"), re.compile(r"[^\W_]"), re.compile(r"[\w.+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+
+    def search(self, text: str, at: int) -> re.Match | None:
+        middle = text.find("@", at)
+        while middle >= 0:
+            start = middle
+            while start > at and self.INSIDE.match(text, start - 1):
+                start -= 1
+            m = self.WHOLE.match(text, start) if self.NAMED.search(text, start, middle) else None
+            if m:
+                return m
+            middle = text.find("@", middle + 1)
+        return None
+
+
 # The patterns, and the lengths of IBANs and card numbers.
 PATTERNS = {
-    "email": re.compile(r"[\w.+-]*[^\W_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
+    "email": MailPattern(),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     "date": re.compile(r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./])\d{2}\1\d{4})(?![./-]?\d)"),
