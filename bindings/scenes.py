@@ -54,7 +54,7 @@ def scene_cands(spark, d):
     rows = [
         F.struct(
             F.lit(k).alias("cand_idx"), F.lit(source).alias("source"), _quad(k).alias("corners"),
-            (0.8 - 0.03 * ((F.col("vec_id") + k) % 5) + 0.1 * F.abs(_element(41 + k))).alias("score"), F.abs(_element(46 + k)).alias("label"),
+            (0.8 - 0.03 * ((F.floor(F.col("vec_id") / 5) + k) % 5) + 0.1 * F.abs(_element(41 + k))).alias("score"), F.abs(_element(46 + k)).alias("label"),
         )
         for k, (source, _) in enumerate(SHAPES)
     ]
@@ -137,7 +137,7 @@ _SIGHT = " OR ".join(f"(k = {k} AND cand_idx = {of})" for k, of in enumerate(PAP
 
 SCENES = f"""shapes(cand_idx, source, base) AS (VALUES {_values()}),
 moved AS (SELECT vec_id AS photo_id, label AS family, cand_idx, source, embedding, {_moved()},
-    0.8::DOUBLE - 0.03::DOUBLE * ((vec_id + cand_idx) % 5) + 0.1::DOUBLE * abs(embedding[42 + cand_idx]::DOUBLE) AS score, abs(embedding[47 + cand_idx]::DOUBLE) AS label
+    0.8::DOUBLE - 0.03::DOUBLE * ((vec_id // 5 + cand_idx) % 5) + 0.1::DOUBLE * abs(embedding[42 + cand_idx]::DOUBLE) AS score, abs(embedding[47 + cand_idx]::DOUBLE) AS label
     FROM embeddings, shapes),
 sc AS MATERIALIZED (SELECT *, {area()} AS area FROM moved),
 grid AS (SELECT ix, iy, {STEP} * ix + 4.0::DOUBLE AS x, {STEP} * iy + 4.0::DOUBLE AS y FROM (SELECT unnest(range({SIDE}))::INT AS ix), (SELECT unnest(range({SIDE}))::INT AS iy)),
