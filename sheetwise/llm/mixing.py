@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 #: The budget as a share of all words, and how often one document may be taken.
 SHARE, PASSES = 1.5, 2
 SEED = "mix"
+#: Documents of one id and size that one task unfolds at a time, and lanes that such documents are dealt to.
+BLOCK, LANES = 100_000, 4096
 
 
 def _rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -36,7 +38,6 @@ def _rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
         count_words(F.col("row.text")).alias("size"),
         key.alias("key"),
         F.substring(key, 1, 3).alias("part"),
-        F.xxhash64("row.text").alias("tie"),
     )
 
 
@@ -64,16 +65,20 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def _planned(rows: DataFrame, totals_from: DataFrame, **how) -> DataFrame:
-    """``rows`` with their source's figures and ``start``, the words of their source ahead of them in the shuffle."""
-    parts = written(totals_from.groupBy("src", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
+def _placed(groups: DataFrame, *order: str, **how) -> DataFrame:
+    """``groups`` with their source's figures and ``start``, the words of their source ahead of them in the shuffle.
+
+    A group is ``n`` documents of one size that stand side by side (``src, part, key, size, n``), so any number of rows without an
+    id, or of one id, is a few rows for the window.
+    """
+    words = F.col("size") * F.col("n")
+    parts = written(groups.groupBy("src", "part").agg(F.sum(words).alias("part_size")), "mix-parts")
     targets = source_targets(parts.groupBy("src").agg(F.sum("part_size").alias("source_size")), **how)
     ahead = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("src", "part", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("ahead"))
     starts = starts.join(targets, "src")  # at most 4,096 rows of a source
-    own = Window.partitionBy("src", "part").orderBy("key", F.col("row.doc_id"), "size", "tie")
-    inside = F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    return rows.join(starts, ["src", "part"]).withColumn("start", F.col("ahead") + inside)
+    own = Window.partitionBy("src", "part").orderBy("key", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return groups.join(starts, ["src", "part"]).withColumn("start", F.col("ahead") + F.sum(words).over(own) - words)
 
 
 def _taken(start: Column) -> Column:
@@ -81,13 +86,31 @@ def _taken(start: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
 
 
-def mix_plan(docs: DataFrame, **how) -> DataFrame:
+def _each(placed: DataFrame, block: int) -> DataFrame:
+    """One row per document of every group, with its own ``start``; groups above ``block`` are dealt to tasks first."""
+
+    def unfolded(groups: DataFrame, low: Column, many: Column) -> DataFrame:
+        return groups.withColumn("copy", F.explode(F.sequence(low, low + many - 1)))
+
+    few = unfolded(placed.where(F.col("n") <= block), F.lit(0).cast("long"), F.col("n"))
+    wide = placed.where(F.col("n") > block).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    wide = unfolded(wide.repartition("key", "size", "low"), F.col("low"), F.least(F.lit(block), F.col("n") - F.col("low"))).drop("low")
+    return few.unionByName(wide).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
+
+
+def mix_plan(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words the mix takes of it."""
-    slim = _rows(docs.select("doc_id", "source", "text")).withColumn("row", F.struct("row.doc_id"))
-    slim = written(slim, "mix-rows")
+    slim = _rows(docs.select("doc_id", "source", "text")).select("src", "part", "key", F.col("row.doc_id").alias("doc_id"), "size")
+    groups = written(slim.groupBy(*slim.columns).agg(F.count("*").alias("n")), "mix-groups")
+    placed = _placed(groups, "doc_id", "size", **how)
+    if groups.where(F.col("n") > block).isEmpty():
+        each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        each = each.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
+    else:
+        each = _each(written(placed, "mix-placed"), block)
     taken = [_taken(F.col("start") + p * F.col("source_size")) for p in range(how.get("passes", PASSES))]
-    return _planned(slim, slim, **how).select(
-        "row.doc_id", "size", "source_size", "target", sum(taken[1:], taken[0]).alias("taken"),
+    return each.select(
+        "doc_id", "size", "source_size", "target", sum(taken[1:], taken[0]).alias("taken"),
         ((F.col("start") + F.col("size")) / F.col("weight")).alias("finish"),
     )
 
@@ -95,13 +118,17 @@ def mix_plan(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, in the order of virtual finish times.
 
-    A row that is taken in part keeps that many words of its text.
+    A row that is taken in part keeps that many words of its text. Rows of one id and size are dealt to ``LANES`` lanes by
+    the number they are written with, and take their places lane by lane.
     """
-    rows = _rows(docs)
+    lane = F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).alias("lane")
+    rows = written(_rows(docs).select("*", lane), "mix-rows")
+    group = ["src", "part", "key", "size", "lane"]
+    placed = _placed(rows.groupBy(*group).agg(F.count("*").alias("n")), "size", "lane", **how)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("start")) - 1
+    rows = rows.join(placed.drop("n"), group).withColumn("start", F.col("start") + place * F.col("size"))
     passes = F.array(*[F.struct(_taken(F.col("start") + p * F.col("source_size")).alias("taken"), F.lit(p).alias("p")) for p in range(how.get("passes", PASSES))])
-    served = _planned(rows, rows, **how).select(
-        "row", "size", "weight", "start", "source_size", F.explode(F.filter(passes, lambda x: x["taken"] > 0)).alias("pass")
-    )
+    served = rows.select("row", "size", "weight", "start", "source_size", F.explode(F.filter(passes, lambda x: x["taken"] > 0)).alias("pass"))
     words = F.slice(F.split(F.regexp_replace("row.text", f"^{GAP}", ""), GAP), 1, F.col("pass.taken").cast("int"))
     text = F.when(F.col("pass.taken") < F.col("size"), F.concat_ws(" ", words)).otherwise(F.col("row.text"))
     finish = (F.col("start") + F.col("pass.p") * F.col("source_size") + F.col("size")) / F.col("weight")
