@@ -90,7 +90,8 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, folder: str | None = None) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
+    # with the row's number, so that equal pieces are dealt out too; the written table settles it
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
     pieces = written(pieces_of(docs, capacity, end, folder).withColumn("part", part), "pieces")
     parts = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
