@@ -225,7 +225,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     place = F.struct("oid", "lo")
     slim = found.select(*branch, "oid", "rid", "lo", "size").join(firsts.where("leaves > 1"), branch).where(place > F.col("first"))
     copies = slim.select("oid", "rid", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
-    heads = found.join(firsts.drop("leaves"), branch).where(place == F.col("first")).select("key", "oid", "rid", "lo", "words")
+    heads = found.join(firsts.drop("leaves"), branch).where(place == F.col("first"))
+    # rows without an id stand at one place: one head for each text of a branch, however many copies it has
+    heads = heads.dropDuplicates([*branch, "rid"]).select("key", "oid", "rid", "lo", "words")
     heads = written(heads, "heads")  # texts are dealt out twice, by branch and by group; so one shuffle is gone before the next
     wide = written(firsts.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > group).select("key"), "wide-groups")
     if wide.isEmpty():
