@@ -291,8 +291,9 @@ def set_classes(docs: DataFrame, rows: DataFrame, width: int = WIDTH, recall: fl
             yield pa.RecordBatch.from_arrays([batch["oid"], pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["oid", "key", "set"])
 
     sets = docs.select(last_id().alias("oid"), "text").mapInArrow(emit, "oid long, key binary, set binary")
-    # by key and id: the copies of one text are dealt out, only the row that stands for them is kept
-    members = written(comps.join(sets, ["key", "oid"]).select("key", "comp", "n", "set"), "members")
+    # by key and id: the copies of one text are dealt out; of those that share the id, or have none, one row stands for all
+    members = comps.join(sets, ["key", "oid"]).dropDuplicates(["key", "oid"])
+    members = written(members.select("key", "comp", "n", "set"), "members")
     links = written(exact_links(members), "links")
     found = links.groupBy("key").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
     dealt = links.where("not whole")  # components of several blocks are put together from their parts
@@ -327,20 +328,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, recall: float = RECALL)
 def one_of_each(docs: DataFrame, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row with the least doc_id stays, once.
 
-    Unlinked rows all stay, whether they have an id of their own or not, and so do rows without shingles. A row is known by a hash of
-    all its columns, so texts are shuffled once.
+    Unlinked rows all stay, whether they have an id of their own or not, and so do rows without shingles. Rows are written with a
+    number first, so columns of any type may come along and equal rows are told apart. Of rows that tie one stays, whichever it is.
     """
-    whole = docs.select(F.struct("*").alias("row")).withColumn("rid", F.xxhash64("row"))
-    oid = F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1))
-    slim = whole.select("row.doc_id", oid.alias("oid"), "rid", "row.text")
+    whole = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "numbered")
+    slim = whole.select("row.doc_id", "rid", "row.text").withColumn("oid", last_id())
     rows = written(sketches(slim, width), "sketches")
-    classes = set_classes(docs.select("doc_id", "text"), rows, width, recall)
-    best = rows.join(classes, "key").groupBy("root").agg(F.min(F.struct("oid", "rid")).alias("keep"))
-    keep = best.select("keep.rid", "keep.oid")
-    keep = keep.withColumn("single", F.lit(True)).unionByName(
-        rows.where("key is null").select("rid", "oid").distinct().withColumn("single", F.lit(False))
-    )
-    kept = whole.withColumn("oid", oid).join(keep, ["rid", "oid"])
-    # equal rows: one of those that have shingles, all of those that have none
-    single = kept.where("single").dropDuplicates(["rid", "oid"])
-    return single.unionByName(kept.where("not single")).select("row.*")
+    classes = set_classes(slim.select("doc_id", "text"), rows, width, recall)
+    best = rows.join(classes.select("key", "root"), "key").groupBy("root").agg(F.min(F.struct("oid", "rid")).alias("keep"))
+    keep = best.select("keep.rid").unionByName(rows.where("key is null").select("rid"))
+    return whole.join(keep, "rid", "left_semi").select("row.*")

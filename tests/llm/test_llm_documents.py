@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheetwise.llm import feistel, jaccard_join, mixing, packing, quality, repeats, secrets, toxicity
 from sheetwise.llm.common import table
@@ -515,3 +516,70 @@ def test_long_words_hold_up_no_pseudonyms():
         places = feistel.replaced(text, feistel.Permutation(feistel.KEY))[2] if text[-1] != "1" or "@" not in text else feistel._places(text)
         assert [p for p in places if "email" in p] == ([(0, 800_005, "email")] if "@" in text else [])
     assert time.time() - start < 30
+
+
+# rows without an id
+
+
+def one_text(n, text="same words in every row " * 8):
+    near = " ".join(text.split()[:-1] + ["else"])
+    return [(None, text, "hot", 7)] * n + [(None, near, "hot", 7), (3, text, "hot", 7), (4, PROSE, "cold", 7), (5, PROSE + " more", "cold", 7)]
+
+
+def test_mix_of_copies_without_id(spark):
+    """Hot groups unfold in blocks; the plan is that of a plain window over the source."""
+    rows = one_text(3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(6)
+    plan = mixing.mix_plan(docs, block=100).collect()
+    assert collections.Counter(r[:5] for r in plan) == collections.Counter(r[:5] for r in mixing.mix_plan(docs).collect())
+    start = collections.Counter()
+    held = collections.defaultdict(list)
+    for d, t, s, _ in rows:
+        held[s].append((hashlib.md5(f"mix:{'' if d is None else d}".encode()).hexdigest(), d, len(words(t))))
+    targets = dict(((r.source_size, round(r.target, 6)), r.target) for r in plan)
+    want = collections.Counter()
+    for s, own in held.items():
+        total = sum(x[2] for x in own)
+        target = next(t for (size, _), t in targets.items() if size == total)
+        for _, d, size in sorted(own, key=lambda x: (x[0], x[2])):
+            taken = sum(max(0, min(size, int(target) - start[s] - p * total)) for p in (0, 1))
+            want[(d, size, taken)] += 1
+            start[s] += size
+    assert collections.Counter((r.doc_id, r.size, r.taken) for r in plan) == want
+    out = mixing.mixed(docs)
+    assert out.schema == docs.schema
+    assert sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in plan)
+
+
+def test_packing_deals_equal_pieces(spark, monkeypatch):
+    parts = []
+    keep = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, label: parts.append((label, keep(df, label))) or parts[-1][1])
+    docs = spark.createDataFrame(one_text(3000), "doc_id long, text string, source string, n long").repartition(6)
+    rows = packing.packed(docs).collect()
+    assert len(rows) == 3004
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 3004
+    largest = dict(parts)["piece-counts"].agg(F.max("n")).first()[0]
+    assert largest < 30
+
+
+def test_copies_without_id_are_one_set_and_one_head(spark, monkeypatch):
+    rows = one_text(3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(6)
+    members, keep = {}, jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, label: members.setdefault(label, keep(df, label)))
+    got = collections.Counter(tuple(r) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == brute_classes([r[:2] for r in rows])
+    assert members["members"].count() == len({r[1] for r in rows})
+    heads, also = {}, repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, label: heads.setdefault(label, also(df, label)))
+    got = collections.Counter(tuple(r) for r in repeats.repeat_digests(docs).collect())
+    assert got == brute_repeats([r[:2] for r in rows])
+    assert heads["heads"].count() < 50
+
+
+def test_one_of_each_takes_any_column(spark):
+    docs = spark.sql(f"SELECT * FROM VALUES (1L, '{PROSE}', map('a', 1)), (2L, '{PROSE}', map('b', 2)), (NULL, '', map()), (NULL, '', map()) AS t(doc_id, text, m)")
+    out = jaccard_join.one_of_each(docs)
+    assert out.dtypes == docs.dtypes
+    assert sorted((r.doc_id or 0, r.m) for r in out.collect()) == [(0, {}), (0, {}), (1, {"a": 1})]
