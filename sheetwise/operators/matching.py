@@ -243,6 +243,11 @@ def _depth(n: Column) -> Column:
     return F.regexp_count(F.regexp_extract(stem(n), r"(?: \([1-9][0-9]{0,3}\))+$", 0), F.lit(r"\("))
 
 
+def name_root(n: Column) -> Column:
+    """The name without the numbers at the end of its stem. Only names of one root can collide."""
+    return F.concat(F.regexp_replace(stem(n), r"(?: \([1-9][0-9]{0,3}\))+$", ""), extension(n))
+
+
 def _numbered(names: DataFrame, col: str) -> DataFrame:
     """``_wanted, _slot``: what each name blocks."""
     return names.select(F.inline_outer(_slots(F.col(col)))).distinct()

@@ -15,16 +15,22 @@ STATE = f"session string, made {_PLACE}, gone {_PLACE}, version bigint, " + ", "
 )
 
 
+#: A batch in this many writes all sessions anew; the others write those they touch.
+SNAPSHOT_EVERY = 16
+
+
 def scan_sessions(
-    events: DataFrame, table: str, checkpoint: str, session: str = "session", at: str = "ts", seq: str = "seq", forget: float | None = None
+    events: DataFrame, table: str, checkpoint: str, session: str = "session", at: str = "ts", seq: str = "seq", forget: float | None = None,
+    every: int = SNAPSHOT_EVERY,
 ) -> StreamingQuery:
     """Answer a stream of edit events (``session, ts, seq, op, name, filter, rotate``) batch by batch, then stop.
 
     Each batch is judged in time order together with the create and the delete that earlier batches saw, so answers depend neither on how
     rows are chunked nor, for events that come in order, on how they are cut into batches. Answers (``session, seq, status``) go to
-    ``<table>/answers/batch=<n>``. The sessions, with the latest write of each field, go to ``<table>/state/after=<n>``: a late
-    event does not overwrite a newer one. A deleted session is dropped ``forget`` seconds after its delete, by event time; without it
-    sessions are kept for ever.
+    ``<table>/answers/batch=<n>``. The sessions that a batch touches, with the latest write of each field, go to ``<table>/state/after=<n>``;
+    the row of the latest batch is a session's state. A late event does not overwrite a newer one. One batch in ``every`` also writes the
+    untouched sessions, and what came before it is removed once a later batch runs. A deleted session is dropped ``forget`` seconds
+    after its delete, by event time; without it sessions are kept for ever.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
@@ -33,7 +39,7 @@ def scan_sessions(
             F.col(session).cast("string").alias("session"), (F.unix_micros(at) / 1e6).alias("at"), F.col(seq).cast("long").alias("seq"),
             "op", *[F.col(c).cast(kind).alias(c) for c, kind in FIELDS.items()],
         )
-        state = spark.createDataFrame([], STATE) if batch_id == 0 else spark.read.schema(STATE).parquet(f"{table}/state/after={batch_id - 1}")
+        state = _state_before(spark, table, batch_id, every, forget)
         touched = state.join(rows.select("session").distinct(), "session", "left_semi")
         before = touched.select("session", F.inline(F.array(
             F.struct(F.col("made.at").alias("at"), F.col("made.seq").alias("seq"), F.lit("create").alias("op")),
@@ -48,27 +54,62 @@ def scan_sessions(
             F.count(F.when(good & (F.col("op") == "update"), 1)).alias("version"),
             *[F.max(F.when(good & F.col(c).isNotNull(), F.struct("at", "seq", F.col(c).alias("value")))).alias(c) for c in FIELDS],
         )
-        merged = state.unionByName(fresh).groupBy("session").agg(
+        known = state if _is_snapshot(batch_id, every) else touched
+        merged = known.unionByName(fresh).groupBy("session").agg(
             F.min("made").alias("made"), F.min("gone").alias("gone"), F.sum("version").alias("version"), *[F.max(c).alias(c) for c in FIELDS]
         )
-        if forget is not None:
-            now = rows.agg(F.max("at")).first()[0]
-            merged = merged if now is None else merged.filter(F.col("gone").isNull() | (F.col("gone.at") > now - forget))
+        rows.agg(F.max("at").alias("now")).write.mode("overwrite").parquet(f"{table}/clock/after={batch_id}")
         merged.write.mode("overwrite").parquet(f"{table}/state/after={batch_id}")
+        for old in range(max(0, batch_id - 2 * every), _snapshot_before(batch_id, every)):
+            _remove(spark, f"{table}/state/after={old}")
 
     return events.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _is_snapshot(batch_id: int, every: int) -> bool:
+    return (batch_id + 1) % every == 0
+
+
+def _snapshot_before(batch_id: int, every: int) -> int:
+    """The latest batch before this one that wrote all sessions; 0, the first batch, where there is none."""
+    return max(0, batch_id // every * every - 1)
+
+
+def _state_before(spark: SparkSession, table: str, batch_id: int, every: int, forget: float | None) -> DataFrame:
+    """All sessions as the batches before ``batch_id`` left them: the latest row of each, from the last snapshot on."""
+    if batch_id == 0:
+        return spark.createDataFrame([], STATE)
+    paths = [f"{table}/state/after={n}" for n in range(_snapshot_before(batch_id, every), batch_id)]
+    kept = spark.read.option("basePath", f"{table}/state").schema(f"{STATE}, after bigint").parquet(*paths)
+    columns = [c for c in kept.columns if c != "session"]
+    latest = kept.groupBy("session").agg(F.max_by(F.struct(*columns), "after").alias("_s")).select("session", "_s.*")
+    if forget is not None:
+        # the event time each batch reached, and so what is forgotten after it
+        times = spark.read.schema("now double, after bigint").parquet(f"{table}/clock").filter(F.col("after") < batch_id)
+        clock = {r["after"]: r["now"] for r in times.filter(F.col("after") >= _snapshot_before(batch_id, every)).collect()}
+        reached, latest_time = [], None
+        for after in sorted(clock, reverse=True):  # at most ``every`` batches
+            latest_time = max((t for t in (latest_time, clock[after]) if t is not None), default=None)
+            reached += [F.lit(after).cast("long"), F.lit(latest_time).cast("double")]
+        now = F.create_map(*reached)[F.col("after")]
+        latest = latest.filter(F.col("gone").isNull() | now.isNull() | (F.col("gone.at") > now - forget))
+    return latest.drop("after")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def session_answers(spark: SparkSession, table: str) -> DataFrame:
     """All answers of :func:`scan_sessions`: ``session, seq, status``."""
     return spark.read.parquet(f"{table}/answers").drop("batch")
 
 
-def current_sessions(spark: SparkSession, table: str) -> DataFrame:
-    """The sessions after the latest batch of :func:`scan_sessions`."""
-    rows = spark.read.parquet(f"{table}/state")
-    latest = rows.agg(F.max("after").alias("after"))
-    made = rows.join(F.broadcast(latest), "after").filter(F.col("made").isNotNull())  # one row
+def current_sessions(spark: SparkSession, table: str, forget: float | None = None, every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """The sessions after the latest batch of :func:`scan_sessions`; give ``forget`` and ``every`` as there."""
+    ids = spark.read.schema("now double, after bigint").parquet(f"{table}/clock").agg(F.max("after")).first()[0]
+    made = _state_before(spark, table, ids + 1, every, forget).filter(F.col("made").isNotNull())
     return made.select(
         "session", F.col("made.at").alias("created"), *[F.col(f"{c}.value").alias(c) for c in FIELDS], "version", F.col("gone").isNotNull().alias("deleted")
     )
