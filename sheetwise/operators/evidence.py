@@ -46,7 +46,10 @@ def _corners(*quads: str) -> list[Column]:
 
 
 def meet_samples(outlines: DataFrame, samples: DataFrame, frame: Frame, points: Sequence[Column], reach: float) -> DataFrame:
-    """Each row with the samples of its photo in the cells that the box around ``points``, ``reach`` wider, touches; adds ``p, gray, sat``."""
+    """Each row with the samples of its photo in the cells that the box around ``points``, ``reach`` wider, touches; adds ``p, gray, sat``.
+
+    The rows are spread over cells, many times what Spark expects of them from the files they come from, so they must not be broadcast.
+    """
     corners = {axis: [p[axis] for p in points] for axis in ("x", "y")}
     whole = F.lit(True)
     for c in corners["x"] + corners["y"]:
@@ -63,7 +66,7 @@ def meet_samples(outlines: DataFrame, samples: DataFrame, frame: Frame, points:
         frame.photo, F.floor(F.col("x") / frame.cell).alias("_cx"), F.floor(F.col("y") / frame.cell).alias("_cy"),
         g.point(F.col("x"), F.col("y")).alias("p"), "gray", "sat",
     )
-    return spread.join(placed, [frame.photo, "_cx", "_cy"]).drop("_cx", "_cy")
+    return spread.hint("merge").join(placed, [frame.photo, "_cx", "_cy"]).drop("_cx", "_cy")
 
 
 def with_terms(outlines: DataFrame, **quads: str) -> DataFrame:
@@ -171,7 +174,7 @@ def grow_by_evidence(cands: DataFrame, samples: DataFrame, frame: Frame, corners
     pick = settle(pick.select(photo, "best.*", F.col("best.score").alias("top_score")), "pick")
     for _ in range(rounds):
         now = pick.select(photo, F.col("cand_idx").alias("pick_idx"), F.col(corners).alias("inner"), F.col("area").alias("_area"), "top_score")
-        near = cands.select(photo, *fields).join(now, photo)
+        near = cands.select(photo, *fields).hint("merge").join(now, photo)  # several candidates came of one row: larger than expected
         near = near.filter((F.col("score") >= F.col("top_score") - GROW_MARGIN) & (F.col("area") >= GROW_AREA * F.col("_area")))
         near = quad_overlap(near.withColumnRenamed(corners, "outer"), "inner", "outer")
         near = computed_once(near, _shared=F.col("overlap")).filter(F.col("_shared") >= GROW_CONTAINS * F.col("_area"))

@@ -408,20 +408,20 @@ def corners_on_outline(
     pairs: DataFrame, inner: str, outer: str, near: float = 0.035, on_outline: float = 0.025, fold_depth: float = 0.10
 ) -> DataFrame:
     """Add ``on_outline``: the panel's corners lie on the larger outline and its other sides are folds well inside."""
-    p, o = g.quad_points(F.col(inner)), F.col(outer)
-    q = g.quad_points(o)
+    p, q = g.quad_points(F.col(inner)), g.quad_points(F.col(outer))
     diagonal = F.greatest(g.distance(q[0], q[2]), g.distance(q[1], q[3]))
-    frame = pairs.withColumn("_diag", diagonal)
 
     def between(a: Column, b: Column, t: float) -> Column:
         return g.point(a["x"] * (1 - t) + b["x"] * t, a["y"] * (1 - t) + b["y"] * t)
 
-    gaps = [
-        F.greatest(*[g.quad_distance(between(p[i], p[(i + 1) % 4], t), o) for t in (0.25, 0.5, 0.75)]) for i in range(4)
-    ]
-    frame = frame.withColumn("_corner", F.greatest(*[g.quad_distance(c, o) for c in p])).withColumn("_gaps", F.array(*gaps))
+    # the probes as an array: sixteen times four distances written out are more than one compiled method may hold
+    probes = F.array(*p, *[between(p[i], p[(i + 1) % 4], t) for i in range(4) for t in (0.25, 0.5, 0.75)])
+    frame = pairs.withColumns({"_diag": diagonal, "_probes": probes, "_ring": F.array(*q)})
+    frame = frame.withColumn("_off", F.transform("_probes", lambda c: g.polygon_distance(c, F.col("_ring"))))
+    frame = frame.withColumn("_corner", F.array_max(F.slice("_off", 1, 4)))
+    frame = frame.withColumn("_gaps", F.array(*[F.array_max(F.slice("_off", 5 + 3 * i, 3)) for i in range(4)]))
     d = F.col("_diag")
     beside = F.exists("_gaps", lambda gap: (gap > on_outline * d) & (gap < fold_depth * d))
     folded = F.exists("_gaps", lambda gap: gap >= fold_depth * d)
     verdict = (F.col("_corner") <= near * d) & ~beside & folded
-    return frame.withColumn("on_outline", verdict).drop("_diag", "_corner", "_gaps")
+    return frame.withColumn("on_outline", verdict).drop("_diag", "_probes", "_ring", "_off", "_corner", "_gaps")
