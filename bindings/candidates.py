@@ -140,7 +140,7 @@ def _(spark, d):
 
 @query("set02_concat_sorted", f"""WITH {CANDS}, pool AS (SELECT photo_id, cand_idx, score, source FROM cands
     UNION ALL SELECT photo_id, -cand_idx, score * 0.9::DOUBLE, source || '+extended' FROM cands WHERE source = 'edges')
-    SELECT photo_id, cand_idx, source, row_number() OVER (PARTITION BY photo_id ORDER BY {ORDER}) - 1 AS rank FROM pool""")
+    SELECT photo_id, cand_idx, source, row_number() OVER (PARTITION BY photo_id ORDER BY {ORDER}, source) - 1 AS rank FROM pool""")
 def _(spark, d):
     scored = cands(spark, d).select("photo_id", "cand_idx", "score", "source")
     extended = scored.filter(F.col("source") == "edges").select(

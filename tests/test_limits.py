@@ -118,3 +118,10 @@ def test_frames_are_keyed_below_their_root(spark, tmp_path):
     (root / "bg").mkdir(parents=True)
     (root / "bg" / "f.jpeg").write_bytes(b"1")
     assert [r.image_path for r in files.read_frames(spark, str(root)).collect()] == ["bg/f.jpeg"]
+
+
+def test_ties_of_score_and_index_go_by_source(spark):
+    a = spark.createDataFrame([(1, 5, 0.5, "neutral"), (1, 5, 0.5, "bright"), (1, 2, 0.4, "lines")], "photo_id long, cand_idx long, score double, source string").coalesce(1)
+    b = spark.createDataFrame([(1, 5, 0.5, "bright+extended")], a.schema)
+    got = {r.source: r["rank"] for r in candidates.concat_sorted(a, b).collect()}
+    assert got == {"bright": 0, "bright+extended": 1, "neutral": 2, "lines": 3}
