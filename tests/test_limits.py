@@ -120,6 +120,13 @@ def test_frames_are_keyed_below_their_root(spark, tmp_path):
     assert [r.image_path for r in files.read_frames(spark, str(root)).collect()] == ["bg/f.jpeg"]
 
 
+def test_blobs_of_one_index_are_judged_each_by_its_own_row(spark):
+    # index 1 stands for two blobs: one has a partner (index 2), the other is far from both; index 3 stands for two that find each other
+    rows = [(7, 1, 10.0, 10.0, 2.0, 0.1), (7, 1, 500.0, 700.0, 2.0, 0.2), (7, 2, 11.0, 90.0, 2.1, 0.3), (7, 3, 300.0, 200.0, 9.0, 0.4), (7, 3, 301.0, 400.0, 9.0, 0.5), (7, 4, 900.0, 950.0, 50.0, 0.6)]
+    blobs = spark.createDataFrame(rows, "photo_id long, blob_idx long, x double, y double, radius double, circularity double")
+    assert sorted(r.circularity for r in matching.partnered(blobs, 100.0).collect()) == [0.1, 0.3, 0.4, 0.5]
+
+
 def test_ties_of_score_and_index_go_by_source(spark):
     a = spark.createDataFrame([(1, 5, 0.5, "neutral"), (1, 5, 0.5, "bright"), (1, 2, 0.4, "lines")], "photo_id long, cand_idx long, score double, source string").coalesce(1)
     b = spark.createDataFrame([(1, 5, 0.5, "bright+extended")], a.schema)
