@@ -132,3 +132,20 @@ def test_ties_of_score_and_index_go_by_source(spark):
     b = spark.createDataFrame([(1, 5, 0.5, "bright+extended")], a.schema)
     got = {r.source: r["rank"] for r in candidates.concat_sorted(a, b).collect()}
     assert got == {"bright": 0, "bright+extended": 1, "neutral": 2, "lines": 3}
+
+
+def test_sql_of_names_knows_the_last_number(spark, tmp_path):
+    """The names of ``assign_unique_names`` end in numbers up to 9999 only, and so do those of its SQL twins."""
+    import bindings
+    from check import compare
+
+    duckdb = pytest.importorskip("duckdb")
+    bindings.load_all()
+    n = 10_003
+    spark.range(n).selectExpr("id AS p_partkey", "'hot ring' AS p_name", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(5 * n).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "'TOYS' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for table in ("part", "customer"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    for name in ("nam03_assign_unique_names", "joi10_resolve_collisions", "nam06_rename_plan", "str06_unique_names_stream"):
+        assert compare(bindings.QUERIES[name](spark, str(tmp_path)), con, bindings.SQL[name]) == "", name
