@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import last_id, written
+from sheetwise.llm.common import PACKED, last_id, written
 from sheetwise.llm.hashing import U64, chunks, mix, odd_numbers, word_hashes, word_places
 from sheetwise.session import ship_package
 
@@ -218,7 +218,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     shared = phrases.groupBy("key").agg(F.sum("c").alias("many")).where("many > 1").select("key")
     keys = phrases.select("rid", "key").join(shared, "key").groupBy("rid").agg(F.collect_set("key").alias("keys"))
     keys = written(keys, "shared-phrases")
-    found = written(_suffixes(docs.join(keys, "rid").select("oid", "rid", "text", "keys"), window), "stretches")
+    found = written(_suffixes(docs.join(keys, "rid").select("oid", "rid", "text", "keys"), window), "stretches", **PACKED)
     branch = ["key", "one", "two"]
     firsts = found.groupBy(*branch).agg(F.min(F.struct("oid", "lo")).alias("first"), F.count("*").alias("leaves"))
     firsts = written(firsts, "branches")
@@ -228,7 +228,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     heads = found.join(firsts.drop("leaves"), branch).where(place == F.col("first"))
     # rows without an id stand at one place: one head for each text of a branch, however many copies it has
     heads = heads.dropDuplicates([*branch, "rid"]).select("key", "oid", "rid", "lo", "words")
-    heads = written(heads, "heads")  # texts are dealt out twice, by branch and by group; so one shuffle is gone before the next
+    heads = written(heads, "heads", **PACKED)  # texts are dealt out twice, by branch and by group; so one shuffle is gone before the next
     wide = written(firsts.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > group).select("key"), "wide-groups")
     if wide.isEmpty():
         return copies.unionByName(_subtrees(heads, window))
