@@ -6,12 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 GAPS = np.zeros(256, bool)
 GAPS[[9, 10, 11, 12, 13, 32]] = True  # the bytes of white space; no other character holds them in UTF-8
 #: Texts are hashed in chunks of about this many bytes, so memory does not depend on the batch.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 512
 
@@ -44,6 +46,17 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
+def parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``CHUNK`` bytes of text, so that what is made of them need not be held all at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        end = min(int(np.searchsorted(ends, before + CHUNK)) + 1, batch.num_rows)
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, the start and the end of every word there, and how many words each text has."""
     data = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), np.uint8)

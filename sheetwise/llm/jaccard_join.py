@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.llm.common import last_id, written
 from sheetwise.llm.graph import components
-from sheetwise.llm.hashing import U64, chunks, mix, odd_numbers, shingles, word_hashes
+from sheetwise.llm.hashing import U64, chunks, mix, odd_numbers, parts, shingles, word_hashes
 from sheetwise.session import ship_package
 
 WIDTH = 5
@@ -70,13 +70,22 @@ def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             yield np.unique(found[a:b])
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``oid, key, set`` of rows with ``oid, text``, some texts at a time."""
+    for batch in (part for whole in batches for part in parts(whole)):
+        own = list(_sets(batch["text"].to_pylist(), width))
+        keys = [set_key(s) if len(s) else None for s in own]
+        data = [s.astype("<u8").tobytes() for s in own]
+        yield pa.RecordBatch.from_arrays([batch["oid"], pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["oid", "key", "set"])
+
+
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without its text, with ``key`` (null without shingles), ``n`` (set size) and ``sketch``."""
     factors = odd_numbers(SKETCH, 11)
     ship_package(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             rest = batch.drop_columns(["text"])
             keys, sizes, marks = [], [], []
             for own in _sets(batch["text"].to_pylist(), width):
@@ -238,12 +247,13 @@ def _exact(rows: list[tuple[bytes, int, bytes]], lo: int, hi: int) -> Iterator[t
         yield keys[i], int(linked[i].sum()), keys[root[i]]
 
 
-def exact_links(members: DataFrame) -> DataFrame:
+def exact_links(members: DataFrame, comps: DataFrame | None = None) -> DataFrame:
     """``key, comp, n, set`` as ``key, links, root, whole``: pairs inside a component, compared block by block.
 
     A large component is dealt to blocks, and every pair of blocks is a task's work; each pair of sets meets in exactly one of them.
+    ``comps`` holds the members without their sets, where that is at hand; otherwise ``members`` is read twice.
     """
-    bounds = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    bounds = (members if comps is None else comps).groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") * 8 / BLOCK_BYTES)).cast("int")
     bounds = bounds.select("comp", F.greatest(blocks, F.lit(1)).alias("blocks"))
     dealt = members.join(bounds, "comp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -253,7 +263,8 @@ def exact_links(members: DataFrame) -> DataFrame:
     tiles = tiles.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        some = (part for batch in batches for part in parts(batch, "set"))
+        rows = (row for batch in some for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out = []
         for (_, lo, hi, blocks), group in groupby(rows, key=lambda r: r[:4]):
             out.extend((*found, blocks == 1) for found in _exact([r[4:] for r in group], lo, hi))
@@ -281,20 +292,12 @@ def set_classes(docs: DataFrame, rows: DataFrame, width: int = WIDTH, recall: fl
     )
     classes = written(classes, "set-classes")
     comps = components(candidate_links(classes, recall)).select("key", F.col("root").alias("comp"))
-    comps = classes.select("key", "oid", "n").join(comps, "key")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = list(_sets(batch["text"].to_pylist(), width))
-            keys = [set_key(s) if len(s) else None for s in own]
-            data = [s.astype("<u8").tobytes() for s in own]
-            yield pa.RecordBatch.from_arrays([batch["oid"], pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["oid", "key", "set"])
+    comps = written(classes.select("key", "oid", "n").join(comps, "key"), "members")
 
-    sets = docs.select(last_id().alias("oid"), "text").mapInArrow(emit, "oid long, key binary, set binary")
+    sets = docs.select(last_id().alias("oid"), "text").mapInArrow(lambda batches: _set_rows(batches, width), "oid long, key binary, set binary")
     # by key and id: the copies of one text are dealt out; of those that share the id, or have none, one row stands for all
-    members = comps.join(sets, ["key", "oid"]).dropDuplicates(["key", "oid"])
-    members = written(members.select("key", "comp", "n", "set"), "members")
-    links = written(exact_links(members), "links")
+    members = comps.join(sets, ["key", "oid"]).dropDuplicates(["key", "oid"]).select("key", "comp", "n", "set")
+    links = written(exact_links(members, comps), "links")  # the sets are never a table: they do not pack, and would lie beside all later steps
     found = links.groupBy("key").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
     dealt = links.where("not whole")  # components of several blocks are put together from their parts
     if not dealt.isEmpty():
