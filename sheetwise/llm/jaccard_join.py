@@ -22,6 +22,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ SKETCH, BRANCH, RECALL = 64, 2, 0.9999
 LINK, LEAVE = 0.40, 0.70
 #: Buckets up to this size are finished by brute force.
 SMALL = 1000
+#: Bits of the filter that passes sets of texts with a candidate over before they are dealt out (8 MB, whatever the input).
+FILTER_BITS = 1 << 26
 #: A task of the exact comparison holds two blocks of about this many sets and bytes.
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
 
@@ -70,6 +73,27 @@ def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             yield np.unique(found[a:b])
 
 
+def _places(keys: list[bytes], oids: np.ndarray) -> np.ndarray:
+    """The bit of the filter that a set and its id have."""
+    return mix(np.frombuffer(b"".join(key[:8] for key in keys), "<u8") + mix(oids.astype(np.int64).view(U64))) % U64(FILTER_BITS)
+
+
+def _filter(members: DataFrame) -> np.ndarray:
+    """Bits of all ``key, oid``, put together by pages of 4 KB; the driver gets 8 MB at most."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch["key"].to_pylist(), batch["oid"].to_numpy(zero_copy_only=False)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], ["page", "bit"])
+
+    bits = members.select("key", "oid").mapInArrow(emit, "page long, bit long")
+    pages = bits.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for page, found in pages.collect():
+        out[page] = np.frombuffer(found, np.uint8)
+    return out.reshape(-1)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """``oid, key, set`` of rows with ``oid, text``, some texts at a time."""
     for batch in (part for whole in batches for part in parts(whole)):
@@ -79,6 +103,35 @@ def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch["oid"], pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["oid", "key", "set"])
 
 
+def _places(batch: pa.RecordBatch) -> np.ndarray:
+    """The bit of the filter that each ``key, oid`` has; keys are hashes."""
+    keys = np.frombuffer(b"".join(key[:8] for key in batch["key"].to_pylist()), "<u8")
+    return (mix(keys ^ mix(batch["oid"].to_numpy(zero_copy_only=False).view(U64))) % U64(FILTER_BITS)).astype(np.int64)
+
+
+def _filter(members: DataFrame) -> np.ndarray:
+    """The bits of all ``key, oid``, in bytes. They come to the driver in pages of 4 KB, 2,048 at most."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], ["page", "bit"])
+
+    bits = members.select("key", "oid").mapInArrow(emit, "page long, bit long").repartition("page")
+    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for page, found in bits.groupBy("page").agg(F.bitmap_construct_agg("bit")).collect():
+        out[page] = np.frombuffer(found, np.uint8)
+    return out.reshape(-1)
+
+
+def _passing(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``key, oid`` the filter has; few others."""
+    for batch in batches:
+        some = batch.filter(pc.is_valid(batch["key"]))
+        at = _places(some)
+        yield some.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without its text, with ``key`` (null without shingles), ``n`` (set size) and ``sketch``."""
     factors = odd_numbers(SKETCH, 11)
@@ -294,7 +347,10 @@ def set_classes(docs: DataFrame, rows: DataFrame, width: int = WIDTH, recall: fl
     comps = components(candidate_links(classes, recall)).select("key", F.col("root").alias("comp"))
     comps = written(classes.select("key", "oid", "n").join(comps, "key"), "members")
 
-    sets = docs.select(last_id().alias("oid"), "text").mapInArrow(lambda batches: _set_rows(batches, width), "oid long, key binary, set binary")
+    # only sets with a candidate are dealt out, and the join confirms them; the sets of all texts are twice the input
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(comps))
+    texts = docs.select(last_id().alias("oid"), "text")
+    sets = texts.mapInArrow(lambda batches: _passing(_set_rows(batches, width), bits.value), "oid long, key binary, set binary")
     # by key and id: the copies of one text are dealt out; of those that share the id, or have none, one row stands for all
     members = comps.join(sets, ["key", "oid"]).dropDuplicates(["key", "oid"]).select("key", "comp", "n", "set")
     links = written(exact_links(members, comps), "links")  # the sets are never a table: they do not pack, and would lie beside all later steps

@@ -43,3 +43,20 @@ def test_near_duplicates_leave_no_table_of_sets(spark, monkeypatch):
     assert glob.glob(f"{folder}/numbered-*/*.zstd.parquet")
     tables = [spark.read.parquet(path) for path in glob.glob(f"{folder}/*-*")]
     assert tables and not any("set" in table.columns for table in tables)
+
+
+def test_sets_without_a_candidate_are_not_dealt_out(spark, monkeypatch):
+    docs = [(i, " ".join(f"a{i}b{j}" for j in range(40))) for i in range(400)]
+    docs += [(1000 + i, " ".join([*(f"word{j}" for j in range(80)), f"tail{i}"])) for i in range(5)] + [(None, "seven words that stand here all alone"), (None, None)]
+    passed = spark.sparkContext.accumulator(0)
+    passing = jaccard_join._passing
+
+    def counted(batches, wanted):
+        for batch in passing(batches, wanted):
+            passed.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(jaccard_join, "_passing", counted)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.n_links for r in got) == [0] * 402 + [4] * 5
+    assert 5 <= passed.value < 20  # 406 before
