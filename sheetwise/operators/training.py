@@ -26,6 +26,9 @@ FEATURES = (
 # A model is data, but small data: trees x nodes. Larger tables are refused rather than collected.
 MAX_NODES = 200_000
 
+#: Rows of the training set that one task holds while trees are grown.
+TASK_ROWS = 500_000
+
 
 def holdout_split(rows: DataFrame, group: str) -> DataFrame:
     """Add ``held_out``: every second group of the sorted distinct groups, from the second on; null sorts first.
@@ -60,8 +63,15 @@ def train_ranker(
     matrix: DataFrame, features: str = "features", label: str = "label", trees: int = 250, depth: int = 4, rate: float = 0.05,
     subsample: float = 0.6, min_leaf: int = 20, seed: int = 0,
 ) -> GBTRegressionModel:
-    """Gradient-boosted regression of the overlap; ``features`` is an array column."""
+    """Gradient-boosted regression of the overlap; ``features`` is an array column.
+
+    The booster keeps its rows as they are dealt, at several hundred bytes each, so a large matrix is dealt to more tasks first.
+    """
     shared_folder(matrix.sparkSession)  # the booster writes checkpoints there
+    parts = -(-matrix.count() // TASK_ROWS)
+    if parts > 1:
+        slim = matrix.select(F.col(features).alias(features), F.col(label).alias(label))
+        matrix = slim.repartition(max(parts, int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     ready = matrix.select(array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"), F.col(label).cast("double").alias("label"))
     booster = GBTRegressor(
         maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed,
