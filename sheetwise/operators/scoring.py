@@ -28,9 +28,19 @@ def score_join(results: DataFrame, truth: DataFrame, key: str = "image_path") ->
     return results.join(truth, key)
 
 
+#: Samples that one task of the join in :func:`with_results` sorts.
+TASK_ROWS = 500_000
+
+
 def with_results(samples: DataFrame, results: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The samples that have a result, and those that have none."""
-    keys = results.select(key)
+    """The samples that have a result, and those that have none.
+
+    Results are counted to one row per key before they meet samples, and both are dealt by the number of samples: keys pack so well
+    that the size of a shuffle says little about the rows in it.
+    """
+    parts = max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-samples.count() // TASK_ROWS))
+    keys = results.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0").select(key).repartition(parts, key)
+    samples = samples.repartition(parts, key)
     return samples.join(keys, key, "left_semi"), samples.join(keys, key, "left_anti")
 
 

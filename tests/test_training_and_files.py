@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwise.operators import training
+from sheetwise.operators import scoring, training
 from sheetwise.sources import files
 
 
@@ -99,3 +99,22 @@ def test_blank_candidate_lines_are_skipped(spark, tmp_path):
     photos = files.read_candidates(spark, str(tmp_path / "c.jsonl"))
     assert photos.count() == 2
     assert [r.features for r in files.explode_candidates(photos).collect()] == [[1.0, 2.0]] * 2
+
+
+def test_large_matrix_is_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(training, "TASK_ROWS", 100)
+    sizes = {}
+    fit = training.GBTRegressor.fit
+    monkeypatch.setattr(training.GBTRegressor, "fit", lambda self, ready: sizes.setdefault("parts", ready.rdd.glom().map(len).collect()) and fit(self, ready))
+    rows = spark.range(2000, numPartitions=1).selectExpr("array(id % 7, id % 11) AS features", "id % 7 AS label")
+    model = training.train_ranker(rows, trees=2)
+    assert model.getNumTrees == 2 and sum(sizes["parts"]) == 2000
+    assert max(sizes["parts"]) <= 120  # 2,000 in one task before
+
+
+def test_results_are_one_row_per_key_before_the_join(spark):
+    samples = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    results = spark.range(3000).selectExpr("IF(id = 0, NULL, 1L) AS k")
+    have, lack = scoring.with_results(samples, results, "k")
+    assert [r.k for r in have.collect()] == [1] and {r.k for r in lack.collect()} == {2, None}
+    assert "Aggregate" in have._jdf.queryExecution().optimizedPlan().toString()
