@@ -264,5 +264,4 @@ def _(spark, d):
         F.col("l_suppkey").alias("side"), F.floor(F.date_diff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")) / 7).alias("step"),
         (F.col("l_quantity").cast("int") % 24).alias("state"), (-F.col("l_discount") * 10).alias("cost"),
     )
-    grid = lines.groupBy("side", "step").agg(F.count(F.lit(1)).alias("n")).select("side", "step", F.explode_outer(F.sequence(F.lit(0), F.lit(23))).alias("state"), F.lit(0.0).alias("cost"))
-    return series.min_cost_track(lines.unionByName(grid), ["side"], "step", "state", "cost", center=12)
+    return series.min_cost_track(lines, ["side"], "step", "state", "cost", center=12, fill=(0, 23, 0.0))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sheetwise.operators.ordered import (
     BLOCK_ROWS, HOT_ROWS, following, group_size, last_seen, ordered, position, previous, running_max, running_sum, sliding,
 )
 from sheetwise.operators.outlines import STRAIGHT_RMS
 from sheetwise.operators.stats import hist_percentile
+from sheetwise.session import ship_package
 
 
 def smooth_series(
@@ -180,32 +183,127 @@ def baseline_normalize(
     return out.drop("_pos", "_top", "_paper", "_typical", "_flat", "_dark")
 
 
+#: Cells of the padded grids that one task solves side by side.
+BLOCK_CELLS = 1 << 20
+
+
 def min_cost_track(
     costs: DataFrame, keys: Sequence[str], step: str, state: str, cost: str, reach: int = 12, linear: float = 0.04,
-    quadratic: float = 0.02, end_pull: float = 0.02, center: int | None = None,
+    quadratic: float = 0.02, end_pull: float = 0.02, center: int | None = None, fill: tuple[int, int, float] | None = None,
 ) -> DataFrame:
     """Cheapest path through each group's steps: ``keys, step, state``.
 
     Moving by ``d`` states costs ``linear * |d| + quadratic * d^2`` and at most ``reach`` states per
     step; with ``center`` both ends pay ``end_pull`` per state away from it. First state wins ties.
-    Missing (step, state) cells are barred. A group is one traced side: its size is steps x states of
-    the sampling grid, whatever the size of the table, so duplicates are summed before the shuffle.
+    Missing (step, state) cells are barred, or with ``fill = (first, last, cost)`` those states of every step cost that much.
+    A group is one traced side: its size is steps x states of the sampling grid, whatever the size of the table, so duplicates
+    are summed before the shuffle. A task walks the steps of many groups at once.
     """
+    ship_package(costs.sparkSession)
     keys = list(keys)
-    grid = costs.groupBy(*keys, step, state).agg(F.sum(cost).alias("_cost"))
-    schema = T.StructType([*[grid.schema[k] for k in keys], grid.schema[step], grid.schema[state]])
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        steps = np.sort(group[step].unique())
-        states = np.arange(group[state].min(), group[state].max() + 1)
-        table = np.full((len(steps), len(states)), np.inf)
-        table[np.searchsorted(steps, group[step]), group[state] - states[0]] = group["_cost"]
-        pull = 0.0 if center is None else end_pull * np.abs(states - center)
-        path = states[cheapest_path(table, pull, reach, linear, quadratic)]
-        head = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame({**{k: [v] * len(steps) for k, v in head.items()}, step: steps, state: path})[schema.names]
-
-    return grid.groupBy(*keys).applyInPandas(solve, schema)
+    value = F.col(cost) if fill is None else F.coalesce(F.col(cost).cast("double"), F.lit(0.0))
+    cells = costs.groupBy(*keys, step, state).agg(F.sum(value).cast("double").alias("_cost"))
+    schema = T.StructType([*[cells.schema[k] for k in keys], cells.schema[step], cells.schema[state]])
+    kinds = to_arrow_schema(schema)
+
+    def solved(sides: list) -> pa.RecordBatch:
+        sides.sort(key=lambda side: len(side[1]))
+        tables = [side_grid(*(side[i].to_numpy(zero_copy_only=False) for i in (1, 2, 3)), fill) for side in sides]
+        pulls = [0.0 if center is None else end_pull * np.abs(states - center) for _, states, _ in tables]
+        paths = cheapest_paths([table for _, _, table in tables], pulls, reach, linear, quadratic)
+        heads = pa.Table.from_batches([side[0] for side in sides]).take(pa.array(np.repeat(np.arange(len(sides)), [len(x) for x in paths])))
+        found = [np.concatenate([steps for steps, _, _ in tables]), np.concatenate([states[x] for (_, states, _), x in zip(tables, paths, strict=True)])]
+        columns = [*(heads[k].combine_chunks() for k in keys), *map(pa.array, found)]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, size = [], 0
+        for side in _sides(batches, keys):
+            sides.append((side.select(keys).slice(0, 1), side[step], side[state], side["_cost"]))
+            size += len(side) if fill is None else len(pc.unique(side[step])) * (fill[1] + 1 - fill[0])
+            if size >= BLOCK_CELLS:
+                yield solved(sides)
+                sides, size = [], 0
+        if sides:
+            yield solved(sides)
+
+    return cells.repartition(*keys).sortWithinPartitions(*keys, step).mapInArrow(solve, schema)
+
+
+def _sides(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group as one batch; rows come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            code = batch[k].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+            new[0] |= bool(held) and held[-1][k][-1].as_py() != batch[k][0].as_py()
+        cuts = np.flatnonzero(new).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if new[a] and held:
+                yield joined()
+                held.clear()
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield joined()
+
+
+def side_grid(p: np.ndarray, q: np.ndarray, c: np.ndarray, fill: tuple[int, int, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps, states and the cost table of one side from its cells."""
+    steps, row = np.unique(p, return_inverse=True)
+    first, last = (q.min(), q.max()) if fill is None else (min(q.min(), fill[0]), max(q.max(), fill[1]))
+    states = np.arange(first, last + 1)
+    table = np.full((len(steps), len(states)), np.inf)
+    if fill is not None:
+        table[:, fill[0] - first : fill[1] + 1 - first] = 0.0
+    table[row, (q - first).astype(np.int64)] = c
+    if fill is not None:
+        table[:, fill[0] - first : fill[1] + 1 - first] += fill[2]
+    return steps, states, table
+
+
+def cheapest_paths(tables: list[np.ndarray], pulls: list, reach: int, linear: float, quadratic: float) -> list[np.ndarray]:
+    """:func:`cheapest_path` of several tables, step by step for all of them; shorter and narrower ones are padded."""
+    many, tall, wide = len(tables), max(len(t) for t in tables), max(t.shape[1] for t in tables)
+    counts, widths = np.array([len(t) for t in tables]), np.array([t.shape[1] for t in tables])
+    cost, pull = np.full((tall, many, wide), np.inf), np.zeros((many, wide))
+    for i, t in enumerate(tables):
+        cost[: len(t), i, : t.shape[1]] = t
+        pull[i, : t.shape[1]] = pulls[i]
+    side = min(reach, wide - 1)
+    shifts = np.arange(-side, side + 1)
+    moves = linear * np.abs(shifts) + quadratic * shifts * shifts
+    total = cost[0] + pull
+    came = np.zeros((tall, many, wide), np.int32)
+    final = np.where((counts == 1)[:, None], total, np.inf)
+    padded = np.full((many, wide + 2 * side), np.inf)
+    for i in range(1, tall):
+        padded[:, side : side + wide] = total
+        # row s holds the cost of arriving from state j + shifts[s]; the first of equal shifts stays
+        arrive = np.lib.stride_tricks.sliding_window_view(padded, wide, axis=1) + moves[:, None]
+        pick = arrive.argmin(axis=1)
+        best = np.take_along_axis(arrive, pick[:, None], axis=1)[:, 0]
+        came[i] = np.arange(wide) + shifts[pick]
+        total = best + cost[i]
+        ended = counts == i + 1
+        if ended.any():
+            final[ended] = total[ended] + pull[ended]
+    at = np.array([final[i, : widths[i]].argmin() for i in range(many)])
+    path = np.zeros((tall, many), np.int64)
+    for i in range(tall - 1, -1, -1):
+        live = counts > i
+        path[i, live] = at[live]
+        if i:
+            at = np.where(live, came[i, np.arange(many), np.clip(at, 0, wide - 1)], at)
+    return [path[: counts[i], i] for i in range(many)]
 
 
 def cheapest_path(table: np.ndarray, pull: np.ndarray | float, reach: int, linear: float, quadratic: float) -> np.ndarray:

@@ -31,6 +31,29 @@ def test_track_per_group(spark):
     assert {(r.k, r.i, r.j) for r in got} == {("s", i, 2) for i in range(6)} | {("t", i, 0) for i in range(3)}
 
 
+def test_tracks_side_by_side_are_those_of_one_side():
+    rng = np.random.default_rng(3)
+    tables = [rng.integers(0, 4, (n, w)) / 4 for n, w in ((1, 4), (9, 6), (4, 1), (7, 24), (30, 24), (1, 1))]
+    tables[1][3, :5] = np.inf
+    for reach, center in ((12, 1), (1, None), (2, 3)):
+        pulls = [0.0 if center is None else 0.02 * np.abs(np.arange(t.shape[1]) - center) for t in tables]
+        got = series.cheapest_paths(tables, pulls, reach, 0.04, 0.02)
+        for table, pull, path in zip(tables, pulls, got, strict=True):
+            assert path.tolist() == series.cheapest_path(table, pull, reach, 0.04, 0.02).tolist()
+
+
+def test_track_fills_cells_in_the_task(spark, monkeypatch):
+    monkeypatch.setattr(series, "BLOCK_CELLS", 40)
+    rows = [(k, i, (k + i * i) % 6, float(i % 3) - 2) for k in range(40) for i in range(k % 9 + 1)]
+    rows += [(None, 3, 1, -1.0), (None, 5, 2, None), (7, 2, 9, -4.0)]
+    lines = spark.createDataFrame(rows, "k long, i int, j int, c double").repartition(3)
+    grid = lines.select("k", "i").distinct().select("k", "i", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"), F.lit(0.0).alias("c"))
+    want = series.min_cost_track(lines.unionByName(grid), ["k"], "i", "j", "c", center=2).collect()
+    got = series.min_cost_track(lines, ["k"], "i", "j", "c", center=2, fill=(0, 5, 0.0))
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == lines.select("k", "i").distinct().count()
+
+
 @pytest.mark.parametrize("hot", [None, 5])
 def test_runs_from_edge(spark, hot):
     lines = {"a": "1100011110000111", "b": "0000", "c": "00011", "d": "1", "e": "00001"}
