@@ -247,16 +247,3 @@ def side_offset(x: Column, y: Column, terms: Column, i: int) -> Column:
 def quad_depth(offsets: list[Column]) -> Column:
     """How deep a point lies in a convex quad, from its offsets: its distance from the outline, negative outside."""
     return F.sqrt(F.least(*[o["square"] for o in offsets])) * F.when(F.least(*[o["turn"] for o in offsets]) >= 0, 1.0).otherwise(-1.0)
-
-
-def side_frames(terms: Column) -> Column:
-    """The four sides of a quad, from its terms: number, ends, length, unit vector along and unit vector away from the middle."""
-    sides = []
-    for i in range(4):
-        x, y, dx, dy = terms[f"x{i}"], terms[f"y{i}"], terms[f"dx{i}"], terms[f"dy{i}"]
-        size = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-9))
-        sides.append(F.struct(
-            F.lit(i).alias("side"), point(x, y).alias("a"), point(x + dx, y + dy).alias("b"), size.alias("size"), (dx / size).alias("ux"), (dy / size).alias("uy"),
-            (terms["way"] * dy / size).alias("nx"), (-terms["way"] * dx / size).alias("ny"),
-        ))
-    return F.array(*sides)

@@ -16,6 +16,9 @@ from sheetwise.functions import geometry as g
 from sheetwise.operators.ordered import HOT_ROWS, best_rows, group_size, group_sum, ordered, position, running_sum
 
 LIKE_TOLERANCE = 18.0
+#: How much brighter a blank margin is; samples that a band of added paper, or of a strip, must exceed.
+MARGIN_LIFT = 4.0
+MIN_BAND, MIN_STRIP = 20, 10
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -178,10 +181,28 @@ def _band_means(samples: DataFrame, keys: Sequence[str], bands: Sequence[str], g
     return samples.groupBy(*keys).agg(*aggs)
 
 
-def _near(gray: Column, sat: Column, gray_ref: Column, sat_ref: Column) -> Column:
+def like_colour(gray: Column, sat: Column, gray_ref: Column, sat_ref: Column) -> Column:
+    """Whether a sample looks like the mean of a band."""
     return F.abs(gray - gray_ref) + F.abs(sat - sat_ref) <= LIKE_TOLERANCE
 
 
+def extra_paper_tests(max_share: float = 0.2) -> tuple[Column, Column]:
+    """What the bands' means say, and what the added area itself says, of whether a larger outline adds paper.
+
+    The second asks ``n_like``, how many samples of the added area look like the surroundings, only where there are enough of both.
+    """
+    c = F.col
+    to_paper = F.abs(c("gray_extra") - c("gray_in")) + F.abs(c("sat_extra") - c("sat_in"))
+    to_outside = F.abs(c("gray_extra") - c("gray_out")) + F.abs(c("sat_extra") - c("sat_out"))
+    few = c("n_out") <= MIN_BAND
+    by_means = (
+        (c("n_extra") >= MIN_BAND) & (c("n_in") >= MIN_BAND)
+        & (c("sat_extra") <= c("sat_in") + 25) & (c("gray_extra") >= 0.6 * c("gray_in")) & (few | ~(to_outside < to_paper))
+    )
+    background = (c("n_added") > MIN_BAND) & (F.coalesce("n_like", F.lit(0)) > max_share * c("n_added"))
+    return by_means, few | ~F.coalesce(background, F.lit(False))
+
+
 def extra_is_like(
     samples: DataFrame, keys: Sequence[str], gray: str = "gray", sat: str = "sat", added: str = "extra", max_share: float = 0.2
 ) -> DataFrame:
@@ -193,45 +214,38 @@ def extra_is_like(
     keys = list(keys)
     means = _band_means(samples, keys, ["in", "extra", "out"], gray, sat)
     met = samples.filter(F.col("band") == added).join(means.select(*keys, "gray_out", "sat_out"), keys)
-    like = _near(F.col(gray), F.col(sat), F.col("gray_out"), F.col("sat_out"))
+    like = like_colour(F.col(gray), F.col(sat), F.col("gray_out"), F.col("sat_out"))
     alike = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_added"), F.count(F.when(like, 1)).alias("n_like"))
-    c = F.col
-    to_paper = F.abs(c("gray_extra") - c("gray_in")) + F.abs(c("sat_extra") - c("sat_in"))
-    to_outside = F.abs(c("gray_extra") - c("gray_out")) + F.abs(c("sat_extra") - c("sat_out"))
-    background = (c("n_added") > 20) & (c("n_like") > max_share * c("n_added"))
-    accepted = (
-        (c("n_extra") >= 20) & (c("n_in") >= 20)
-        & (c("sat_extra") <= c("sat_in") + 25) & (c("gray_extra") >= 0.6 * c("gray_in"))
-        & ((c("n_out") <= 20) | (~(to_outside < to_paper) & ~F.coalesce(background, F.lit(False))))
-    )
-    return means.join(alike, keys, "left").select(*keys, F.coalesce(accepted, F.lit(False)).alias("accepted"))
+    by_means, by_added = extra_paper_tests(max_share)
+    return means.join(alike, keys, "left").select(*keys, F.coalesce(by_means & by_added, F.lit(False)).alias("accepted"))
 
 
-def margin_brighter(samples: DataFrame, keys: Sequence[str], lift: float = 4.0, interior: str = "interior") -> DataFrame:
+def margin_brighter(samples: DataFrame, keys: Sequence[str], lift: float = MARGIN_LIFT, interior: str = "interior") -> DataFrame:
     """``keys, margin``: outside every interior side it is brighter by ``lift``, and there is such a side."""
-    sides = samples.filter(F.col(interior)).groupBy(*keys, "side").agg(
-        (F.avg("outside") >= F.avg("inside") + lift).alias("_brighter")
-    )
-    found = sides.groupBy(*keys).agg(F.bool_and("_brighter").alias("margin"))
-    groups = samples.select(*keys).distinct()
-    return groups.join(found, list(keys), "left").withColumn("margin", F.coalesce("margin", F.lit(False)))
+    inside, outside = [F.avg(F.when(F.col(interior), F.col(n))) for n in ("inside", "outside")]
+    sides = samples.groupBy(*keys, "side").agg((outside >= inside + lift).alias("_brighter"))
+    return sides.groupBy(*keys).agg(F.coalesce(F.bool_and("_brighter"), F.lit(False)).alias("margin"))
 
 
-def band_stats(samples: DataFrame, keys: Sequence[str], gray: str = "gray", sat: str = "sat", core: str = "core", min_px: int = 10) -> DataFrame:
+def band_means(min_px: int = MIN_STRIP) -> list[Column]:
+    """Of the means inside and outside: whether there is an outside, and the four means that stand for them."""
+    c = F.col
+    has_in, has_out = c("n_in") > min_px, c("n_out") > min_px
+    ins = {v: F.when(has_in, c(f"{v}_in")).otherwise(0.0) for v in ("gray", "sat")}
+    outs = {v: F.coalesce(F.when(has_out, c(f"{v}_out")), ins[v]) for v in ins}
+    return [has_out.alias("_has_out"), *[m.alias(f"in_{v}") for v, m in ins.items()], *[m.alias(f"out_{v}") for v, m in outs.items()]]
+
+
+def band_stats(samples: DataFrame, keys: Sequence[str], gray: str = "gray", sat: str = "sat", core: str = "core", min_px: int = MIN_STRIP) -> DataFrame:
     """Mean gray and saturation of the strips, share of the core like the outside, share of the outside like the margin."""
     keys = list(keys)
     means = _band_means(samples, keys, ["in", "out"], gray, sat)
     c = F.col
-    has_in, has_out = c("n_in") > min_px, c("n_out") > min_px
-    means = means.select(
-        *keys, has_out.alias("_has_out"),
-        F.when(has_in, c("gray_in")).otherwise(0.0).alias("in_gray"), F.when(has_in, c("sat_in")).otherwise(0.0).alias("in_sat"),
-        F.when(has_out, c("gray_out")).alias("_out_gray"), F.when(has_out, c("sat_out")).alias("_out_sat"),
-    ).withColumn("out_gray", F.coalesce("_out_gray", "in_gray")).withColumn("out_sat", F.coalesce("_out_sat", "in_sat"))
+    means = means.select(*keys, *band_means(min_px))
     met = samples.join(means, keys)
     in_core, in_out = c("band") == core, c("band") == "out"
-    like_out = _near(c(gray), c(sat), c("out_gray"), c("out_sat"))
-    like_in = _near(c(gray), c(sat), c("in_gray"), c("in_sat"))
+    like_out = like_colour(c(gray), c(sat), c("out_gray"), c("out_sat"))
+    like_in = like_colour(c(gray), c(sat), c("in_gray"), c("in_sat"))
 
     def share(part: Column, like: Column) -> Column:
         counted = F.try_divide(F.count(F.when(part & like, 1)), F.count(F.when(part, 1)))
