@@ -82,9 +82,11 @@ SQL_FEATURES = f"""{GROWN}, w AS (SELECT *, row_number() OVER w - 1 AS rk, count
 
 @query("win03_candidate_features", SQL_FEATURES)
 def _(spark, d):
-    return line_features(spark, d).select(
-        "photo_id", "cand_idx", F.transform("features", lambda v: F.round(v.cast("double"), 4) + 0.0).alias("features")
-    )
+    def rounded(v):
+        """Most features are whole numbers, which rounding leaves as they are."""
+        return F.when(v == F.rint(v), v.cast("double")).otherwise(F.round(v.cast("double"), 4)) + 0.0
+
+    return line_features(spark, d).select("photo_id", "cand_idx", F.transform("features", rounded).alias("features"))
 
 
 # A hand-made model of two trees of depth one: a value equal to the threshold goes left.

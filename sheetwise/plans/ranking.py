@@ -6,8 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from sheetwise.operators.candidates import argmax_pick, best_rows, close_rivals, gate, grow_to_whole
+from sheetwise.operators.candidates import (
+    argmax_pick, best_rows, counted_rivals, gate, grow_to_whole, joined_growth, split_crowded, with_close_rivals, with_grown,
+)
 from sheetwise.operators.evidence import PAIR, Frame, appearance, grow_by_evidence, pair_evidence
 from sheetwise.operators.ordered import HOT_ROWS, computed_once, first_of_group, group_size, ordered, position
 from sheetwise.operators.outlines import quad_overlap
@@ -45,16 +48,29 @@ def candidate_features(
     ones. The relations compare the photo's top candidate with another as structs of ``area`` and shape. ``rules`` holds
     each photo's rule-based pick (``photo, cand_idx``), if it is known already.
     """
-    own = F.struct(F.col("area"), *[F.col(c) for c in shape])
-    ranked = ordered(
-        cands, [photo], [-F.col("score"), "cand_idx"],
-        {"_pos": position(), "_n": group_size(), "_top": first_of_group(F.struct("cand_idx", "score", "area", *shape))}, hot_rows,
-    )
-    rivals = close_rivals(cands.select(photo, "cand_idx", "score", "area"), photo, hot_rows=hot_rows)
-    if rules is None:
-        rules = grow_to_whole(cands, overlap, accept, shape, photo)
-    rules = rules.select(photo, F.col("cand_idx").alias("_rule"))
-    joined = ranked.join(rivals, [photo, "cand_idx"]).join(rules, photo)
+    few, many = split_crowded(cands, photo, hot_rows)
+    picks = None if rules is None else rules.select(photo, F.col("cand_idx").alias("_rule"))
+    own, order = F.struct(F.col("area"), *[F.col(c) for c in shape]), [-F.col("score"), "cand_idx"]
+    ranks = {"_pos": position(), "_n": group_size(), "_top": first_of_group(F.struct("cand_idx", "score", "area", *shape))}
+    # few candidates: all is found in the window that ranks them
+    joined = ordered(few.withColumn("_order", order[0]), [photo], ["_order", "cand_idx"], ranks, None)
+    line = W.partitionBy(photo).orderBy("_order", "cand_idx")
+    told = ["cand_idx", "score", "area", *([] if picks is not None else ["source", *shape])]
+    others = F.collect_list(F.struct(*told)).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    joined = with_close_rivals(joined.withColumn("_others", others), F.col("_others"))
+    if picks is None:
+        joined = with_grown(joined, "_others", overlap, accept, where=F.col("_pos") == 1)
+        joined = joined.withColumn("_rule", F.first("_grown.cand_idx").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("_grown")
+    joined = joined.drop("_others", "_order")
+    if many is not None:
+        ranked = ordered(many, [photo], order, ranks, hot_rows)
+        crowded = ranked.join(counted_rivals(many.select(photo, "cand_idx", "score", "area"), photo, hot_rows=hot_rows), [photo, "cand_idx"])
+        if picks is None:
+            chosen = joined_growth(many, overlap, accept, shape, photo).select(photo, F.col("cand_idx").alias("_rule"))
+            crowded = crowded.join(chosen, photo)
+        joined = joined.unionByName(crowded)
+    if picks is not None:
+        joined = joined.join(picks, photo)
     top = F.col("_top")
     one = F.lit(1.0)
     joined = joined.withColumn("_shared", overlap(top, own))
