@@ -1,14 +1,15 @@
-"""Main text of web pages: marked structure, and differences to the page with the nearest URL.
+"""Main text of web pages: differences to the page with the nearest URL, and marked structure.
 
 A page becomes the lines of its block elements. Lines under menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments go by their element, role or class; a compound class name does not remove what holds the article. If the page marks its article, the article's lines are its text. All other pages are
-compared with another page of their host: pages are sorted by path, the neighbour whose path has more in common is taken (the one
+reader comments go by their element, role or class; a compound class name does not remove what holds the article. Every page is
+compared with another page of its host: pages are sorted by path, the neighbour whose path has more in common is taken (the one
 before, in a tie), the lines of both are aligned by longest common subsequence, and the lines they share are deleted as the
 site's own. Pages with next to nothing left on both sides are copies of each other and delete nothing; a page that
 lies whole within the other (a stub, a listing without entries) has no text of its own.
 
-Differences alone cannot give right results where menus and adverts differ from page to page, and would take away passages that two
-articles share; so structure decides first.
+If the page marks its article, the article's lines stay even if shared, because two articles may share passages, and of the lines beside it
+(a heading or a summary above the article, the site's frame) those stay that are the page's own. Without a neighbour, or beside a copy, the
+difference says nothing: then the article's lines are the text of a page that marks one, and all lines that of any other page.
 
 Null pages are empty. A null URL has no host and no neighbour; an article marked in such a page is found all the same. Repeated rows are
 handled one by one, and are copies of each other. Broken markup is read leniently. An empty table gives an empty result. Other columns are
@@ -21,6 +22,7 @@ import bisect
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -225,37 +227,48 @@ def common_lines(a: list, b: list) -> list[tuple[int, int]]:
     return [*((i, i) for i in range(head)), *reversed(middle), *((len(a) - t, len(b) - t) for t in range(tail, 0, -1))]
 
 
-def _kept(own: list[int], sizes: list[int], other: list[int], other_sizes: list[int]) -> list[int]:
-    """Positions of the lines that stay when those shared with the other page go."""
-    shared = common_lines(own, other)
+def _own(lines: list[int], sizes: list[int], other: list[int], other_sizes: list[int]) -> list[int] | None:
+    """Positions of the lines that are not shared with the other page; None if the two are copies."""
+    shared = common_lines(lines, other)
     same, longer = sum(sizes[i] for i, _ in shared), max(sum(sizes), sum(other_sizes))
     left = max(sum(sizes) - same, sum(other_sizes) - same)
     if left <= COPY * longer:
-        return list(range(len(own)))
+        return None
     gone = {i for i, _ in shared}
-    return [i for i in range(len(own)) if i not in gone]
+    return [i for i in range(len(lines)) if i not in gone]
 
 
-_PARSED = "page_id long, url string, host string, path string, text string, lines array<string>, hashes array<long>, sizes array<int>"
+def _stays(marks: list[bool], own: list[int] | None) -> list[int]:
+    """Positions of the lines that are the page's text, from the marks of its article and the lines of its own, if known."""
+    places = range(len(marks))
+    if own is None:
+        return [i for i in places if marks[i]] if any(marks) else list(places)
+    return sorted({*own, *(i for i in places if marks[i])})
+
+
+def _packed(lines: list[str]) -> bytes:
+    """Lines hold no white space but blanks, so line ends part them."""
+    return zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    return zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+
+
+_PARSED = "page_id long, url string, host string, path string, packed binary, marks array<boolean>, hashes array<long>, sizes array<int>"
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """Pages with a marked article get their text; the others their lines. All get hashes of their lines, by place in the host."""
-    names = re.findall(r"(\w+) (?:long|string|array)", _PARSED)
+    """Pages as lines, packed to travel, which of them stand in a marked article, and their hashes, by place in the host."""
+    names = re.findall(r"(\w+) (?:long|string|binary|array)", _PARSED)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kept, hashes, sizes = [], [], [], []
-            for page in batch["html"].to_pylist():
-                lines, marks = lines_of(page or "")
-                article = [line for line, mark in zip(lines, marks, strict=True) if mark]
-                texts.append("\n\n".join(article) if article else None)
-                kept.append([] if article else lines)
-                hashes.append([_line_hash(x) for x in lines])
-                sizes.append([len(x) for x in lines])
+            found = [lines_of(page or "") for page in batch["html"].to_pylist()]
             extra = [
-                pa.array(texts, pa.string()), pa.array(kept, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())),
-                pa.array(sizes, pa.list_(pa.int32())),
+                pa.array([_packed(lines) for lines, _ in found], pa.binary()), pa.array([marks for _, marks in found], pa.list_(pa.bool_())),
+                pa.array([[_line_hash(x) for x in lines] for lines, _ in found], pa.list_(pa.int64())),
+                pa.array([[len(x) for x in lines] for lines, _ in found], pa.list_(pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("page_id", "url", "host", "path")), *extra], names)
 
@@ -293,24 +306,37 @@ def _neighbours(slim: DataFrame) -> DataFrame:
     return near.select("uid", nearest.alias("near"))
 
 
+def _staying(parsed: DataFrame, places: DataFrame) -> DataFrame:
+    """``uid, stays``: the positions of each page's lines that are its text, after it was compared with its neighbour. Only hashes travel."""
+    slim = parsed.select("uid", "marks", "hashes", "sizes")
+    other = parsed.select(F.col("uid").alias("near"), F.col("hashes").alias("near_hashes"), F.col("sizes").alias("near_sizes"))
+    pairs = slim.join(places, "uid", "left").join(other, "near", "left")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for marks, *sides in zip(*(batch[c].to_pylist() for c in ("marks", "hashes", "sizes", "near_hashes", "near_sizes")), strict=True):
+                stays.append(_stays(marks, None if sides[2] is None else _own(*sides)))
+            yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(stays, pa.list_(pa.int32()))], ["uid", "stays"])
+
+    return pairs.select("uid", "marks", "hashes", "sizes", "near_hashes", "near_sizes").mapInArrow(differ, "uid long, stays array<int>")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     ship_package(pages.sparkSession)
     parsed = written(_parsed(pages).withColumn("uid", F.monotonically_increasing_id()), "pages")
     places = written(_neighbours(parsed.where(F.col("host") != "").select("uid", "host", "path")), "neighbours")
-    marked = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    other = parsed.select(F.col("uid").alias("near"), F.col("hashes").alias("near_hashes"), F.col("sizes").alias("near_sizes"))
-    bare = parsed.where(F.col("text").isNull()).join(places, "uid", "left").join(other, "near", "left")
+    stays = written(_staying(parsed, places), "stays")  # written, so that its shuffle files go before the texts travel
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for row in batch.select(["lines", "hashes", "sizes", "near_hashes", "near_sizes"]).to_pylist():
-                lines = row["lines"]
-                keep = range(len(lines)) if row["near_hashes"] is None else _kept(row["hashes"], row["sizes"], row["near_hashes"], row["near_sizes"])
-                texts.append("\n\n".join([lines[i] for i in keep]))
+            for packed, places in zip(batch["packed"].to_pylist(), batch["stays"].to_pylist(), strict=True):
+                lines = _unpacked(packed)
+                texts.append("\n\n".join([lines[i] for i in places]))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    columns = ("page_id", "url", "lines", "hashes", "sizes", "near_hashes", "near_sizes")
-    differing = bare.select(*columns).mapInArrow(cut, "page_id long, url string, text string")
-    return marked.unionByName(differing).withColumn("n_chars", F.length("text").cast("long"))
+    differing = parsed.select("uid", "page_id", "url", "packed").join(stays, "uid")
+    texts = differing.select("page_id", "url", "packed", "stays").mapInArrow(cut, "page_id long, url string, text string")
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

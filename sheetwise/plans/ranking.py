@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sheetwise.operators.candidates import (
-    argmax_pick, best_rows, counted_rivals, gate, grow_to_whole, joined_growth, split_crowded, with_close_rivals, with_grown,
+    argmax_pick, counted_rivals, gate, grow_to_whole, joined_growth, split_crowded, with_close_rivals, with_grown,
 )
 from sheetwise.operators.evidence import PAIR, Frame, appearance, grow_by_evidence, pair_evidence
 from sheetwise.operators.ordered import HOT_ROWS, computed_once, first_of_group, group_size, ordered, position
