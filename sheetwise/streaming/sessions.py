@@ -46,8 +46,11 @@ def scan_sessions(
             F.struct(F.col("gone.at").alias("at"), F.col("gone.seq").alias("seq"), F.lit("delete").alias("op")),
         ))).filter(F.col("at").isNotNull()).withColumn("_known", F.lit(True))
         judged = judge_events(rows.unionByName(before, allowMissingColumns=True), ["session"], ["at", "seq"]).filter(F.col("_known").isNull())
+        # judged once: the answers and the state read the same rows, and nothing is joined back
+        judged = judged.drop("_known")
+        judged.write.mode("overwrite").parquet(f"{table}/judged")
+        judged = spark.read.schema(judged.schema).parquet(f"{table}/judged")
         judged.select("session", "seq", "status").write.mode("overwrite").parquet(f"{table}/answers/batch={batch_id}")
-        judged = judged.drop("status").join(spark.read.parquet(f"{table}/answers/batch={batch_id}"), ["session", "seq"])
         place, good = F.struct("at", "seq"), F.col("status") < 400
         fresh = judged.groupBy("session").agg(
             F.min(F.when(F.col("op") == "create", place)).alias("made"), F.min(F.when(F.col("op") == "delete", place)).alias("gone"),
@@ -60,6 +63,7 @@ def scan_sessions(
         )
         rows.agg(F.max("at").alias("now")).write.mode("overwrite").parquet(f"{table}/clock/after={batch_id}")
         merged.write.mode("overwrite").parquet(f"{table}/state/after={batch_id}")
+        _remove(spark, f"{table}/judged")
         for old in range(max(0, batch_id - 2 * every), _snapshot_before(batch_id, every)):
             _remove(spark, f"{table}/state/after={old}")
 
