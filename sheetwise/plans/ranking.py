@@ -57,7 +57,7 @@ def candidate_features(
     line = W.partitionBy(photo).orderBy("_order", "cand_idx")
     told = ["cand_idx", "score", "area", *([] if picks is not None else ["source", *shape])]
     others = F.collect_list(F.struct(*told)).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    joined = with_close_rivals(joined.withColumn("_others", others), "_others", summed=False)
+    joined = with_close_rivals(joined.withColumn("_others", others), "_others")
     if picks is None:
         joined = with_grown(joined, "_others", overlap, accept, where=F.col("_pos") == 1)
         joined = joined.withColumn("_rule", F.first("_grown.cand_idx").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("_grown")

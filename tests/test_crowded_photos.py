@@ -105,6 +105,13 @@ def test_rows_of_one_index_are_one_candidate(spark):
         got = [tuple(r) for r in candidates.close_rivals(cands, hot_rows=hot_rows).collect()]
         assert sorted(got) == sorted((*k, *v) for k, v in close.items())
 
+    zero = {n: F.lit(0.0) for n in ranking.MEASURED}
+    featured = ranking.candidate_features(cands.withColumns(zero), F.lit(400.0), ["kind"], _overlap, _accept).collect()
+    at = [ranking.FEATURES.index(n) for n in ("n_larger_close", "n_smaller_close")]
+    assert len(featured) == len(rows)
+    for r in featured:
+        assert tuple(r["features"][i] for i in at) == close[r["photo_id"], r["cand_idx"]]
+
 
 def test_rivals_and_features_of_one_index_match_their_sql(spark, tmp_path):
     """Prices that differ by less than a hundredth give one index to two lines, as some do in large tables."""
@@ -120,5 +127,5 @@ def test_rivals_and_features_of_one_index_match_their_sql(spark, tmp_path):
     lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
-    for name in ("joi04_close_rivals",):
+    for name in ("joi04_close_rivals", "win03_candidate_features"):
         assert compare(bindings.QUERIES[name](spark, str(tmp_path)), con, bindings.SQL[name]) == "", name
