@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,12 @@ MAX_NODES = 200_000
 
 #: Rows of the training set that one task holds while trees are grown.
 TASK_ROWS = 500_000
+#: A training set of more rows is put into ranges before trees are grown.
+RANGED_ROWS = 2_000_000
+#: Ranges of a feature, as many as the booster tells apart, found on a grid of quantiles.
+RANGES, GRID = 32, 1000
+#: Rows alike in all ranges are kept as at most so many; a tree draws each or leaves it out.
+SHARES = 16
 
 
 def holdout_split(rows: DataFrame, group: str) -> DataFrame:
@@ -65,19 +72,78 @@ def train_ranker(
 ) -> GBTRegressionModel:
     """Gradient-boosted regression of the overlap; ``features`` is an array column.
 
-    The booster keeps its rows as they are dealt, at several hundred bytes each, so a large matrix is dealt to more tasks first.
+    The booster keeps its rows as they are dealt, at several hundred bytes each, so a large matrix is dealt to more tasks first. More than
+    ``RANGED_ROWS`` rows are put into ranges and added up before (see :func:`in_ranges`): the trees then grow on what can differ, with every row
+    in the weights, and ``min_leaf`` counts rows by them.
     """
-    shared_folder(matrix.sparkSession)  # the booster writes checkpoints there
-    parts = -(-matrix.count() // TASK_ROWS)
+    spark = matrix.sparkSession
+    shared_folder(spark)  # the booster writes checkpoints there
+    matrix = matrix.select(F.col(features).alias(features), F.col(label).cast("double").alias(label))
+    rows, cuts = matrix.count(), None
+    leaf = {"minInstancesPerNode": min_leaf}
+    if rows > RANGED_ROWS:
+        matrix, cuts = in_ranges(matrix, features, label, seed)
+        leaf = {"weightCol": "weight", "minInstancesPerNode": 1, "minWeightFractionPerNode": min_leaf / rows}
+        rows = matrix.count()
+    parts = -(-rows // TASK_ROWS)
     if parts > 1:
-        slim = matrix.select(F.col(features).alias(features), F.col(label).alias(label))
-        matrix = slim.repartition(max(parts, int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ready = matrix.select(array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"), F.col(label).cast("double").alias("label"))
+        matrix = matrix.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    vector = array_to_vector(F.transform(features, lambda v: v.cast("double")))
+    ready = matrix.select(vector.alias("features"), F.col(label).alias("label"), *(["weight"] if cuts else []))
     booster = GBTRegressor(
-        maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed,
-        featuresCol="features", labelCol="label", checkpointInterval=10,
+        maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed,
+        featuresCol="features", labelCol="label", checkpointInterval=10, **leaf,
     )
-    return booster.fit(ready)
+    model = booster.fit(ready)
+    return model if cuts is None else _on_values(model, cuts, spark)
+
+
+def in_ranges(matrix: DataFrame, features: str, label: str, seed: int) -> tuple[DataFrame, list[list[float]]]:
+    """``features`` as numbers of ranges with the mean ``label`` and the ``weight`` of the rows that lie in the same ones; and the cuts.
+
+    The k-th range of a feature ends at its k-th cut, included; what is missing lies in the last one. The booster splits between
+    ``RANGES`` ranges a feature at most, and squared errors from a mean differ from those of its rows by a constant, so sums over these rows are
+    sums over all. The rows of a cell are dealt to ``SHARES`` at random, so that a tree draws some of each.
+    """
+    sizes = matrix.agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labels"), F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most")).first()
+    if sizes["labels"] < sizes["n"] or sizes["least"] != sizes["most"]:
+        raise ValueError("rows of the training set lack a label or features")
+    names = [f"f{i}" for i in range(sizes["most"])]
+    wide = matrix.select(label, *[F.coalesce(F.get(features, F.lit(i)).cast("double"), F.lit(float("nan"))).alias(n) for i, n in enumerate(names)])
+    cuts = [_cuts(grid) for grid in wide.approxQuantile(names, [i / GRID for i in range(GRID + 1)], 1 / GRID)]
+    # a bucket begins with its split: the next number after the cut
+    splits = [[-np.inf, *np.nextafter(c, np.inf).tolist(), np.inf] for c in cuts]
+    numbers = [f"r{i}" for i in range(len(names))]
+    ranged = Bucketizer(splitsArray=splits, inputCols=names, outputCols=numbers, handleInvalid="keep").transform(wide)
+    ranged = ranged.select(label, *[F.least(F.col(n), F.lit(float(len(c)))).alias(n) for n, c in zip(numbers, cuts)])
+    share = F.floor(F.rand(seed) * SHARES).cast("int").alias("_share")
+    cells = ranged.groupBy(*numbers, share).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight"))
+    return settle(cells.select(F.array(*numbers).alias(features), label, "weight"), "cells"), cuts
+
+
+def _cuts(grid: list[float]) -> list[float]:
+    """Where a feature is cut, given its quantiles: after every value where they are few, else at every ``RANGES``-th part of the rows."""
+    values = sorted(set(grid))
+    if len(values) > RANGES:
+        values = sorted({grid[round(k * GRID / RANGES)] for k in range(1, RANGES)} - {values[-1]}) + values[-1:]
+    return values[:-1] or [0.0]
+
+
+def _on_values(model: GBTRegressionModel, cuts: list[list[float]], spark) -> GBTRegressionModel:
+    """The model of numbers of ranges as one of values: a threshold between two ranges becomes the cut between them."""
+    ranged, valued = scratch_path(spark, "ranged"), scratch_path(spark, "valued")
+    model.write().save(ranged)
+    table = spark.createDataFrame([(i, k, float(c)) for i, own in enumerate(cuts) for k, c in enumerate(own)], "_feature int, _range long, _cut double")
+    nodes = spark.read.parquet(f"{ranged}/data")
+    split = F.col("nodeData.split")
+    at = F.floor(F.get(split["leftCategoriesOrThreshold"], F.lit(0)))
+    named = nodes.join(F.broadcast(table), (split["featureIndex"] == F.col("_feature")) & (at == F.col("_range")), "left")
+    threshold = F.when(F.col("_cut").isNull(), split["leftCategoriesOrThreshold"]).otherwise(F.array("_cut"))
+    node = F.col("nodeData").withField("split", split.withField("leftCategoriesOrThreshold", threshold)).alias("nodeData")
+    named.select(*[node if c == "nodeData" else F.col(c) for c in nodes.columns]).write.parquet(f"{valued}/data")
+    spark.read.parquet(f"{ranged}/treesMetadata").write.parquet(f"{valued}/treesMetadata")
+    spark.read.text(f"{ranged}/metadata").coalesce(1).write.text(f"{valued}/metadata")
+    return GBTRegressionModel.load(valued)
 
 
 def top_importances(model: GBTRegressionModel, names: Sequence[str], spark, k: int = 14) -> DataFrame:
@@ -145,12 +211,22 @@ def predict_overlap(cands: DataFrame, nodes: DataFrame, features: str = "feature
     roots = [place[tree, 0] for tree in sorted({r["tree"] for r in rows})]
     width = int(feature.max(initial=0)) + 1
 
-    def walk(batch: pd.Series) -> pd.Series:
-        x = np.full((len(batch), width), np.nan, np.float32)
-        for i, given in enumerate(batch):
-            if given is not None:
-                own = np.asarray(given, dtype=np.float32)[:width]
-                x[i, : len(own)] = own
+    def matrix_of(lists: pa.Array) -> np.ndarray:
+        """The features of a batch side by side; what is missing is NaN."""
+        n = len(lists)
+        values = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float32)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        if n and sizes[0] >= width and (sizes == sizes[0]).all():
+            return values.reshape(n, -1)[:, :width]
+        x = np.full((n, width), np.nan, np.float32)
+        row = np.repeat(np.arange(n), sizes)
+        column = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = column < width
+        x[row[kept], column[kept]] = values[kept]
+        return x
+
+    def walk(batch: pa.Array) -> pa.Array:
+        x = matrix_of(batch)
         row = np.arange(len(batch))
         total = np.full(len(batch), float(bias))
         for root in roots:
@@ -158,9 +234,9 @@ def predict_overlap(cands: DataFrame, nodes: DataFrame, features: str = "feature
             while not leaf[at].all():
                 at = np.where(x[row, feature[at]] <= threshold[at], left[at], right[at])
             total = total + float(rate) * value[at]
-        return pd.Series(total)
+        return pa.array(total)
 
-    return cands.withColumn(out, F.pandas_udf(walk, "double")(F.transform(features, lambda v: v.cast("float"))))
+    return cands.withColumn(out, F.arrow_udf(walk, "double")(F.transform(features, lambda v: v.cast("float"))))
 
 
 def incremental_labels(

@@ -118,3 +118,65 @@ def test_results_are_one_row_per_key_before_the_join(spark):
     have, lack = scoring.with_results(samples, results, "k")
     assert [r.k for r in have.collect()] == [1] and {r.k for r in lack.collect()} == {2, None}
     assert "Aggregate" in have._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_missing_features_go_right(spark):
+    nodes = spark.createDataFrame(
+        [(0, 0, 1, 0.5, 1, 2, 0.0), (0, 1, 0, 0.0, -1, -1, 1.0), (0, 2, 0, 0.0, -1, -1, 5.0)], training.NODE_COLUMNS
+    )
+    rows = spark.createDataFrame([([1.0, 0.1, 9.0],), ([1.0],), (None,), ([0.0, None],), ([0.0, 0.5],), ([],)], "features array<double>").coalesce(1)
+    assert [r.pred for r in training.predict_overlap(rows, nodes, rate=1.0).collect()] == [1.0, 5.0, 5.0, 5.0, 1.0, 5.0]
+
+
+def _smooth(spark, n):
+    u, v = F.rand(1).cast("float"), F.rand(2).cast("float")
+    rows = spark.range(n, numPartitions=3).select(u.alias("u"), (v * v).alias("v"), (F.col("id") % 7).cast("float").alias("w"), F.randn(3).alias("e"))
+    label = F.sin(3 * F.col("u")) + F.col("v") * F.col("w") / 7 + 0.1 * F.col("e")
+    return rows.select(F.array("u", "v", "w", F.lit(1.0).cast("float")).alias("features"), label.alias("label")).persist()
+
+
+def test_trees_of_a_large_matrix_grow_on_its_ranges(spark, monkeypatch):
+    """Every row of the matrix is in the weights, and the booster is given less than the rows."""
+    rows = _smooth(spark, 60_000)
+
+    def error(model):
+        found = training.predict_overlap(rows, training.tree_table(model, spark), rate=0.2)
+        return found.agg(F.avg((F.col("pred") - F.col("label")) ** 2)).first()[0]
+
+    plain = error(training.train_ranker(rows, trees=20, rate=0.2))
+    monkeypatch.setattr(training, "RANGED_ROWS", 10_000)
+    given = {}
+    fit = training.GBTRegressor.fit
+
+    def seen(self, ready):
+        given.update(ready.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("rows"), F.sum(F.col("weight") * F.col("label")).alias("labels")).first().asDict())
+        return fit(self, ready)
+
+    monkeypatch.setattr(training.GBTRegressor, "fit", seen)
+    model = training.train_ranker(rows, trees=20, rate=0.2)
+    assert given["rows"] == 60_000 and given["n"] < 60_000
+    assert given["labels"] == pytest.approx(rows.agg(F.sum("label")).first()[0])
+    assert error(model) == pytest.approx(plain, rel=0.1)
+    from pyspark.ml.functions import array_to_vector
+
+    native = model.transform(rows.withColumn("own", F.col("features")).withColumn("features", array_to_vector(F.transform("own", lambda v: v.cast("double")))))
+    mine = training.predict_overlap(native, training.tree_table(model, spark), "own", rate=0.2)
+    assert mine.filter(F.abs(F.col("pred") - F.col("prediction")) > 1e-4).isEmpty()
+    splits = [r for r in training.tree_table(model, spark).collect() if r["left"] >= 0]
+    assert {r["threshold"] for r in splits if r["feature"] == 2} <= {0.0, 1.0, 2.0, 3.0, 4.0, 5.0} and 3 not in {r["feature"] for r in splits}
+    assert model.getOrDefault("stepSize") == 0.2 and model.getNumTrees == 20
+
+
+def test_few_values_are_all_told_apart():
+    assert training._cuts([0.0] * 900 + [1.0] * 100 + [2.0]) == [0.0, 1.0]
+    assert training._cuts([4.0] * 1001) == [0.0] and training._cuts([]) == [0.0]
+    cuts = training._cuts([float(i) for i in range(1001)])
+    assert len(cuts) == training.RANGES - 1 and cuts[0] == 31 and max(cuts) < 1000
+
+
+def test_a_large_matrix_must_be_whole(spark, monkeypatch):
+    monkeypatch.setattr(training, "RANGED_ROWS", 2)
+    for label in ("IF(id = 3, NULL, id)", "id"):
+        rows = spark.range(9).selectExpr("IF(id = 4, array(id), array(id, id))" if label == "id" else "array(id, id)", f"{label} AS label").toDF("features", "label")
+        with pytest.raises(ValueError):
+            training.train_ranker(rows, trees=1)
