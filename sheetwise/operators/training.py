@@ -83,7 +83,7 @@ def train_ranker(
     leaf = {"minInstancesPerNode": min_leaf}
     if rows > RANGED_ROWS:
         matrix, cuts = in_ranges(matrix, features, label, seed)
-        leaf = {"weightCol": "weight", "minInstancesPerNode": 1, "minWeightFractionPerNode": min_leaf / rows}
+        leaf = {"weightCol": "weight", "minInstancesPerNode": 1, "minWeightFractionPerNode": min_leaf / rows, "maxBins": RANGES + 1}  # and one for 0
         rows = matrix.count()
     parts = -(-rows // TASK_ROWS)
     if parts > 1:
@@ -99,14 +99,16 @@ def train_ranker(
 
 
 def in_ranges(matrix: DataFrame, features: str, label: str, seed: int) -> tuple[DataFrame, list[list[float]]]:
-    """``features`` as numbers of ranges with the mean ``label`` and the ``weight`` of the rows that lie in the same ones; and the cuts.
+    """``features`` as numbers of ranges, from 1, with the mean ``label`` and the ``weight`` of the rows that lie in the same ones; and the cuts.
 
     The k-th range of a feature ends at its k-th cut, included; what is missing lies in the last one. The booster splits between
     ``RANGES`` ranges a feature at most, and squared errors from a mean differ from those of its rows by a constant, so sums over these rows are
-    sums over all. The rows of a cell are dealt to ``SHARES`` at random, so that a tree draws some of each.
+    sums over all. The rows of a cell are dealt to ``SHARES`` at random, so that a tree draws some of each. No range has the number 0, which the
+    booster guesses at instead of counting it when it looks for splits.
     """
-    sizes = matrix.agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labels"), F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most")).first()
-    if sizes["labels"] < sizes["n"] or sizes["least"] != sizes["most"]:
+    whole, size = F.when(F.col(label).isNotNull() & F.col(features).isNotNull(), 1), F.size(features)
+    sizes = matrix.agg((F.count(whole) == F.count(F.lit(1))).alias("whole"), F.min(size).alias("least"), F.max(size).alias("most")).first()
+    if not sizes["whole"] or sizes["least"] != sizes["most"]:
         raise ValueError("rows of the training set lack a label or features")
     names = [f"f{i}" for i in range(sizes["most"])]
     wide = matrix.select(label, *[F.coalesce(F.get(features, F.lit(i)).cast("double"), F.lit(float("nan"))).alias(n) for i, n in enumerate(names)])
@@ -115,7 +117,7 @@ def in_ranges(matrix: DataFrame, features: str, label: str, seed: int) -> tuple[
     splits = [[-np.inf, *np.nextafter(c, np.inf).tolist(), np.inf] for c in cuts]
     numbers = [f"r{i}" for i in range(len(names))]
     ranged = Bucketizer(splitsArray=splits, inputCols=names, outputCols=numbers, handleInvalid="keep").transform(wide)
-    ranged = ranged.select(label, *[F.least(F.col(n), F.lit(float(len(c)))).alias(n) for n, c in zip(numbers, cuts)])
+    ranged = ranged.select(label, *[(F.least(F.col(n), F.lit(float(len(c)))) + 1).alias(n) for n, c in zip(numbers, cuts)])
     share = F.floor(F.rand(seed) * SHARES).cast("int").alias("_share")
     cells = ranged.groupBy(*numbers, share).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight"))
     return settle(cells.select(F.array(*numbers).alias(features), label, "weight"), "cells"), cuts
@@ -133,7 +135,7 @@ def _on_values(model: GBTRegressionModel, cuts: list[list[float]], spark) -> GBT
     """The model of numbers of ranges as one of values: a threshold between two ranges becomes the cut between them."""
     ranged, valued = scratch_path(spark, "ranged"), scratch_path(spark, "valued")
     model.write().save(ranged)
-    table = spark.createDataFrame([(i, k, float(c)) for i, own in enumerate(cuts) for k, c in enumerate(own)], "_feature int, _range long, _cut double")
+    table = spark.createDataFrame([(i, k, float(c)) for i, own in enumerate(cuts) for k, c in enumerate(own, 1)], "_feature int, _range long, _cut double")
     nodes = spark.read.parquet(f"{ranged}/data")
     split = F.col("nodeData.split")
     at = F.floor(F.get(split["leftCategoriesOrThreshold"], F.lit(0)))

@@ -176,7 +176,7 @@ def test_few_values_are_all_told_apart():
 
 def test_a_large_matrix_must_be_whole(spark, monkeypatch):
     monkeypatch.setattr(training, "RANGED_ROWS", 2)
-    for label in ("IF(id = 3, NULL, id)", "id"):
-        rows = spark.range(9).selectExpr("IF(id = 4, array(id), array(id, id))" if label == "id" else "array(id, id)", f"{label} AS label").toDF("features", "label")
+    for features, label in (("array(id, id)", "IF(id = 3, NULL, id)"), ("IF(id = 4, array(id), array(id, id))", "id"), ("IF(id = 4, NULL, array(id, id))", "id")):
+        rows = spark.range(9).selectExpr(f"{features} AS features", f"{label} AS label")
         with pytest.raises(ValueError):
             training.train_ranker(rows, trees=1)
