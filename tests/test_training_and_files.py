@@ -129,9 +129,10 @@ def test_missing_features_go_right(spark):
 
 
 def _smooth(spark, n):
-    u, v = F.rand(1).cast("float"), F.rand(2).cast("float")
-    rows = spark.range(n, numPartitions=3).select(u.alias("u"), (v * v).alias("v"), (F.col("id") % 7).cast("float").alias("w"), F.randn(3).alias("e"))
-    label = F.sin(3 * F.col("u")) + F.col("v") * F.col("w") / 7 + 0.1 * F.col("e")
+    """Features and labels by hashes: numbers of ``rand`` may be the very ones by which the booster draws rows."""
+    u, v, e = (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1_000_003)) / 1_000_003 for i in range(3))
+    rows = spark.range(n, numPartitions=3).select(u.cast("float").alias("u"), (v * v).cast("float").alias("v"), (F.col("id") % 7).cast("float").alias("w"), e.alias("e"))
+    label = F.sin(3 * F.col("u")) + F.col("v") * F.col("w") / 7 + 0.3 * F.col("e")
     return rows.select(F.array("u", "v", "w", F.lit(1.0).cast("float")).alias("features"), label.alias("label")).persist()
 
 
@@ -180,3 +181,16 @@ def test_a_large_matrix_must_be_whole(spark, monkeypatch):
         rows = spark.range(9).selectExpr(f"{features} AS features", f"{label} AS label")
         with pytest.raises(ValueError):
             training.train_ranker(rows, trees=1)
+
+
+def test_importances_of_ranges_are_those_of_rows(spark, monkeypatch):
+    rows, names = _smooth(spark, 30_000), ["u", "v", "w", "one"]
+    plain = training.top_importances(training.train_ranker(rows, trees=8, rate=0.3), names, spark).collect()
+    monkeypatch.setattr(training, "RANGED_ROWS", 10_000)
+    grouped = []
+    in_ranges = training.in_ranges
+    monkeypatch.setattr(training, "in_ranges", lambda *given: grouped.append(in_ranges(*given)) or grouped[0])
+    ranged = training.top_importances(training.train_ranker(rows, trees=8, rate=0.3), names, spark).collect()
+    assert grouped[0][0].agg(F.sum("weight")).first()[0] == 30_000
+    want = {r["feature"]: r["importance"] for r in plain}
+    assert want["one"] == 0 and {r["feature"]: r["importance"] for r in ranged} == pytest.approx(want, abs=0.1)
